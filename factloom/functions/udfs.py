@@ -9,11 +9,12 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import lexicon as lx
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
@@ -70,12 +71,12 @@ def jaro_winkler_batch(left: pd.Series, right: pd.Series) -> np.ndarray:
     return np.where((left == right).to_numpy(), 1.0, score)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(jaro_winkler_batch(left.fillna(""), right.fillna("")))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def word_edit_distance(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Word-level Levenshtein distance."""
 
@@ -170,7 +171,7 @@ def main_text(html: str, min_chars: int, max_chars: int) -> str | None:
 
 
 def page_text_udf(min_chars: int, max_chars: int):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def extract(html: pd.Series) -> pd.Series:
         return html.map(lambda h: None if h is None else main_text(h, min_chars, max_chars))
 
@@ -206,7 +207,7 @@ def chunk_text(text: str, min_words: int, max_words: int, overlap: int) -> list[
 
 
 def chunk_udf(min_words: int, max_words: int, overlap: int):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def chunk(text: pd.Series) -> pd.Series:
         return text.map(lambda t: [] if t is None else chunk_text(t, min_words, max_words, overlap))
 
