@@ -28,14 +28,12 @@ def distinct_ignoring_case(values: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words without empty strings."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return find_all(text, r"\S+")
 
 
 def word_set(text: Column, min_chars: int = 3) -> Column:
     """Distinct lower-case words of at least ``min_chars`` characters, in first-seen order."""
-    return F.array_distinct(
-        F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) >= min_chars)
-    )
+    return F.array_distinct(find_all(F.lower(text), r"\S{%d,}" % min_chars))
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -60,5 +58,5 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    """Trimmed non-empty pieces between full stops and line breaks."""
-    return F.filter(F.transform(F.split(text, r"[.\n]+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Non-empty pieces between full stops and line breaks, without outer spaces."""
+    return find_all(text, r"[^.\n ](?:[^.\n]*[^.\n ])?")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from ..functions.text import jaccard, round_half_up, word_set
+from ..functions.text import find_all, jaccard, round_half_up, word_set
 from ..functions.udfs import jaro_winkler
 from .normalize import claim_metadata, collapse_spaces
 from .simjoin import distinct_sets, set_key, similar_sets
@@ -22,14 +22,15 @@ def search_query(normalized: Column, limit: int = lx.SEARCH_QUERY_CHARS) -> Colu
 
 
 def search_words(text: Column) -> Column:
-    return word_set(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " "))
+    """Distinct lower-case words of three or more letters, digits or underscores."""
+    return F.array_distinct(find_all(F.lower(text), r"[\p{L}\p{N}_]{3,}"))
 
 
 def match_key(normalized: Column, metadata: Column) -> Column:
     """Claims that must get the same match: equal text, numbers, entities, dates and negation."""
     parts = [F.array_join(metadata[f], "\u0001") for f in COMPARED[:3]]
     negated = (F.size(metadata["negation"]) > 0).cast("string")
-    return F.sha2(F.concat_ws("\u0002", normalized, *parts, negated), 256)
+    return F.coalesce(F.sha2(F.concat_ws("\u0002", normalized, *parts, negated), 256), F.lit(""))
 
 
 def fact_check_candidates(
@@ -52,21 +53,23 @@ def fact_check_candidates(
     wanted = claims.select(
         "match_key", search_words(search_query(F.col("normalized"))).alias("words")
     ).withColumn("left_set", set_key(F.col("words")))
-    stored = fact_checks.select("fc_id", search_words(F.col("claim_text")).alias("words"))
-    pairs = similar_sets(
-        distinct_sets(wanted, "words"), distinct_sets(stored, "words"), min_overlap
-    )
-    copies = Window.partitionBy("right_set").orderBy("fc_id")
-    ids = (
-        stored.filter(F.size("words") > 0)
-        .select("fc_id", set_key(F.col("words")).alias("right_set"))
+    copies = Window.partitionBy("set_id").orderBy("fc_id")
+    stored = (
+        fact_checks.select("fc_id", F.sort_array(search_words(F.col("claim_text"))).alias("tokens"))
+        .select("fc_id", "tokens", set_key(F.col("tokens")).alias("set_id"))
         .withColumn("copy", F.row_number().over(copies))
         .filter(F.col("copy") <= k)
+        .withColumn("lowest", F.min("fc_id").over(Window.partitionBy("set_id")))
+    )
+    pairs = similar_sets(
+        distinct_sets(wanted, "words"),
+        stored.filter(F.col("fc_id") == F.col("lowest")),
+        min_overlap,
+        right_rows=stored.select("set_id", "tokens", "fc_id"),
     )
     best = Window.partitionBy("left_set").orderBy(F.desc("similarity"), "fc_id")
     top = (
-        pairs.join(ids, "right_set")
-        .withColumn("rank", F.row_number().over(best))
+        pairs.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("left_set", "fc_id", F.col("similarity").alias("overlap"), "rank")
     )

@@ -132,7 +132,8 @@ def normalize_claims(
 
 
 def claim_hash(normalized: Column) -> Column:
-    return F.sha2(normalized, 256)
+    """Never null, so that joins on it add no null check that repeats the normalisation."""
+    return F.coalesce(F.sha2(normalized, 256), F.lit(""))
 
 
 def short_hash(normalized: Column) -> Column:

@@ -19,15 +19,17 @@ BUCKETS = 65536
 
 
 def set_key(tokens: Column) -> Column:
-    """Identifier of a token set, independent of order."""
-    return F.sha2(F.array_join(F.array_sort(tokens), "\u0001"), 256)
+    """Identifier of a token set, independent of order.
+
+    Never null, so joins on it need no null filter that would compute the tokens twice.
+    """
+    return F.coalesce(F.sha2(F.array_join(F.sort_array(tokens), "\u0001"), 256), F.lit(""))
 
 
 def distinct_sets(df: DataFrame, tokens: str) -> DataFrame:
-    """(set_id, tokens): one row per different non-empty set."""
+    """(set_id, tokens): one row per different set (the empty set never matches)."""
     return (
-        df.select(F.array_sort(F.col(tokens)).alias("tokens"))
-        .filter(F.size("tokens") > 0)
+        df.select(F.sort_array(F.col(tokens)).alias("tokens"))
         .select(set_key(F.col("tokens")).alias("set_id"), "tokens")
         .groupBy("set_id")
         .agg(F.first("tokens").alias("tokens"))
@@ -59,7 +61,7 @@ def _prefixes(sets: DataFrame, order: DataFrame, threshold: float, side: str) ->
         .join(F.broadcast(order), "bucket", "left")
         .groupBy("set_id")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token"))
             ).alias("ranked")
         )
@@ -74,15 +76,22 @@ def _prefixes(sets: DataFrame, order: DataFrame, threshold: float, side: str) ->
 
 
 def similar_sets(
-    left: DataFrame, right: DataFrame | None, threshold: float
+    left: DataFrame,
+    right: DataFrame | None,
+    threshold: float,
+    right_rows: DataFrame | None = None,
 ) -> DataFrame:
     """(left_set, right_set, similarity) for all pairs with Jaccard >= ``threshold``.
 
-    Inputs come from :func:`distinct_sets`; ``right=None`` is a self join that
-    returns each unordered pair once.
+    Inputs have one row per set, as from :func:`distinct_sets`; ``right=None`` is a
+    self join that returns each unordered pair once.  ``right_rows`` may hold several
+    rows per right set with further columns, which are then kept in the result.
     """
     other = left if right is None else right
-    order = token_order(left if right is None else left.unionByName(right))
+    rows = other.select("set_id", "tokens") if right_rows is None else right_rows
+    order = token_order(
+        left.select("tokens") if right is None else left.select("tokens").union(right.select("tokens"))
+    )
     a = _prefixes(left, order, threshold, "l")
     b = _prefixes(other, order, threshold, "r")
     overlap_needed = F.ceil(
@@ -104,12 +113,13 @@ def similar_sets(
         F.col("l_set_id").alias("left_set"), F.col("r_set_id").alias("right_set")
     ).agg(F.count("*").alias("shared_prefix"))
     l = left.select(F.col("set_id").alias("left_set"), F.col("tokens").alias("l_tokens"))
-    r = other.select(F.col("set_id").alias("right_set"), F.col("tokens").alias("r_tokens"))
+    r = rows.withColumnsRenamed({"set_id": "right_set", "tokens": "r_tokens"})
     both = F.size(F.array_intersect("l_tokens", "r_tokens"))
     union = F.size("l_tokens") + F.size("r_tokens") - both
     return (
         pairs.join(l, "left_set")
         .join(r, "right_set")
-        .select("left_set", "right_set", (both / union.cast("double")).alias("similarity"))
+        .withColumn("similarity", both / union.cast("double"))
         .filter(F.col("similarity") >= threshold)
+        .drop("l_tokens", "r_tokens", "shared_prefix")
     )
