@@ -141,8 +141,11 @@ def extract_evidence(
     joined = (
         pairs.join(chunk_features(wanted), "page_id")
         .join(claim_features(claims), "claim_id")
-        .withColumn("relevance", relevance())
-        .filter(F.col("relevance") >= min_relevance)
+        # scored inside the generator, so that filtering does not compute the score twice
+        .withColumn(
+            "relevance",
+            F.explode(F.filter(F.array(relevance()), lambda r: r >= F.lit(min_relevance))),
+        )
         .withColumn("direction", direction())
         .drop("lowered", "keywords", "bigrams", "c_numbers", "p_numbers", "c_names", "p_names", "c_words", "p_words", "against", "in_favour")
         .withColumnRenamed("chunk", "excerpt")

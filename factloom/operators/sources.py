@@ -38,14 +38,7 @@ def normalize_url(
 
 
 def is_private_ip(host: Column) -> Column:
-    octets = F.split(host, r"\.")
-    value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + F.coalesce(F.get(octets, F.lit(i)).try_cast("bigint"), F.lit(0))
-    inside = F.lit(False)
-    for low, high in lx.PRIVATE_IPV4_RANGES:
-        inside = inside | value.between(low, high)
-    return host.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") & inside
+    return host.rlike(lx.PRIVATE_IPV4)
 
 
 def is_safe_url(url: Column, schemes: tuple[str, ...] = ("https", "http")) -> Column:
@@ -76,9 +69,11 @@ def prepare_sources(
     Adds ``host`` and ``source_pos`` (place in the kept list).  All windows share the
     claim key, so one exchange serves them.
     """
-    df = results.withColumn("url", normalize_url(F.col("url"), schemes, blocked))
-    df = df.filter(F.col("url").isNotNull()).filter(is_safe_url(F.col("url"), schemes))
-    df = df.withColumn("host", url_host(F.col("url"))).repartition("claim_id")
+    df = results.withColumn("host", url_host(F.col("url")))
+    df = df.filter(is_safe_url(F.col("url"), schemes))
+    if blocked:
+        df = df.filter(~F.col("host").isin(*blocked))
+    df = df.withColumn("url", normalize_url(F.col("url"), schemes)).repartition("claim_id")
     first = Window.partitionBy("claim_id", F.lower("url")).orderBy(*order)
     df = df.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     hosts = Window.partitionBy("claim_id", "host").orderBy(*order)

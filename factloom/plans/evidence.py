@@ -59,11 +59,15 @@ def ranked_rows(spark, sf_dir):
 
 
 # --------------------------------------------------------------- SQL twins
+_PRIVATE_RANGES = [
+    (0x0A000000, 0x0AFFFFFF), (0x7F000000, 0x7FFFFFFF), (0xAC100000, 0xAC1FFFFF),
+    (0xC0A80000, 0xC0A8FFFF), (0xA9FE0000, 0xA9FEFFFF),
+]
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def url_ctes(source: str, out: str, keep_bad: bool = False) -> str:
-    private = " or ".join(f"ip between {a} and {b}" for a, b in lx.PRIVATE_IPV4_RANGES)
+    private = " or ".join(f"ip between {a} and {b}" for a, b in _PRIVATE_RANGES)
     octets = " + ".join(f"coalesce(try_cast(split_part(host, '.', {i + 1}) as bigint), 0) * {256 ** (3 - i)}" for i in range(4))
     return f"""
 u0 as (select *, regexp_extract(url, {st.q(_URL)}, ['scheme', 'netloc', 'path', 'query']) as p from {source}),
@@ -157,9 +161,9 @@ e1 as (select * exclude (c_words, p_words, against, in_favour), case when in_fav
 RANK_CTES = f"""{EVIDENCE_CTES},
 p0 as (select *, row_number() over (partition by claim_id order by source_pos, page_rank) as pos from e1),
 p1 as (select * from (select *, row_number() over (partition by claim_id, content_hash order by pos) as n3 from p0) where n3 = 1),
-p2 as (select *, row_number() over (partition by claim_id order by pos) as rn,
+p2 as materialized (select *, row_number() over (partition by claim_id order by pos) as rn,
   list_distinct(regexp_extract_all(lower(excerpt), '\\S+')) as ws from p1),
-near as (select b.claim_id, b.rn, list(a.rn) as dups from p2 a join p2 b on a.claim_id = b.claim_id and a.rn < b.rn
+near as materialized (select b.claim_id, b.rn, list(a.rn) as dups from p2 a join p2 b on a.claim_id = b.claim_id and a.rn < b.rn
   where len(a.ws) > 0 and len(b.ws) > 0 and
     len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))::double >= 0.85 group by all),
 greedy as (select claim_id, 0::bigint as rn, []::bigint[] as kept from p2 group by claim_id
