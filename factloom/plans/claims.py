@@ -245,7 +245,7 @@ g as (select claim_id, count(distinct sha256(normalized)) as hashes from norm gr
 select count(*) as groups, count_if(hashes = 1) as one_hash, count_if(hashes = 1) / count(*)::double as determinism from g""",
 )
 def hash_determinism(spark, sf_dir):
-    from .metrics import hash_determinism_rate
+    from ..operators.evaluation import hash_determinism_rate
     from .tables import bench_claims
 
     claims = bench_claims(spark, sf_dir).select(
