@@ -88,7 +88,7 @@ def ranking_inversions(ranked: DataFrame, score: str) -> DataFrame:
 
 
 def confusion(df: DataFrame) -> DataFrame:
-    return df.groupBy("truth").pivot("pred", lx.VERDICTS).agg(F.count("*")).fillna(0)
+    return df.groupBy("truth").pivot("pred", lx.VERDICTS).agg(F.count(F.lit(1))).fillna(0)
 
 
 def class_report(df: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ results as (select t.claim_id, t.query_no, t.rank, d.page_id, d.url, d.title, d.
 s1 as (select * from (select *, row_number() over (partition by claim_id, lower(norm_url) order by query_no, rank) as n1 from urls where {SAFE}) where n1 = 1),
 s2 as (select * from (select *, row_number() over (partition by claim_id, host order by query_no, rank) as n2 from s1) where n2 <= 3),
 s3 as (select *, row_number() over (partition by claim_id order by query_no, rank) as source_pos, {TYPE_SQL} as source_type from s2),
-sources as (select claim_id, page_id, norm_url as url, title, published_at, host, publisher, source_pos, source_type,
+sources as materialized (select claim_id, page_id, norm_url as url, title, published_at, host, publisher, source_pos, source_type,
   {authority_sql('source_type')} as authority, {recency_sql('published_at')} as recency from s3)"""
 
 _W = r"[\p{L}\p{N}_]+"
@@ -154,7 +154,7 @@ e0 as (select s.*, g.chunk_index, g.chunk as excerpt, c.c_words, g.p_words, agai
     + least(len(list_intersect(c_numbers, p_numbers)) * 0.15::double, 0.3::double)
     + least(len(list_intersect(c_names, p_names)) * 0.1::double, 0.2::double), 1.0::double) end as relevance
   from sources s join sig g using (page_id) join cf c using (claim_id)),
-e1 as (select * exclude (c_words, p_words, against, in_favour), case when in_favour > against then 'SUPPORTS' when against > in_favour then 'CONTRADICTS'
+e1 as materialized (select * exclude (c_words, p_words, against, in_favour), case when in_favour > against then 'SUPPORTS' when against > in_favour then 'CONTRADICTS'
     when len(list_intersect(c_words, p_words)) > 3 then 'CONTEXTUAL' else 'UNCLEAR' end as direction,
   concat('sha256:', substring(sha256(excerpt), 1, 16)) as content_hash,
   row_number() over (partition by claim_id, page_id order by relevance desc, chunk_index) as page_rank from e0 where relevance >= 0.3)"""

@@ -54,9 +54,10 @@ def wer_substitutions(spark, sf_dir):
 
 @query(
     "noise_robustness",
-    f"""with {SQL_ALL}, noisy as (select claim_id, claim as original, pos % 3 as kind, case pos % 3 when 0 then concat('  ', replace(claim, ' ', chr(10)), ' ')
-  when 1 then concat(claim, '!!!') else {NOISY} end as claim from claims), {st.normalized_ctes('noisy', out='n1')}, {st.normalized_ctes('n1', 'original', 'n2', 'z').replace('as normalized', 'as renorm')}
-select kind, count(*) as claims, count_if(sha256(normalized) = sha256(renorm)) as recovered from n2 group by 1""".replace("n1 as (select *, trim(regexp_replace(regexp_replace(substring(claim", "m1 as (select *, trim(regexp_replace(regexp_replace(substring(claim"),
+    f"""with {SQL_ALL}, noisy as (select claim as original, pos % 3 as kind, case pos % 3 when 0 then concat('  ', replace(claim, ' ', chr(10)), ' ')
+  when 1 then concat(claim, '!!!') else {NOISY} end as noise from claims), {st.normalized_ctes('noisy', 'noise', 'na')},
+mid as (select kind, original, normalized as noisy_norm from na), {st.normalized_ctes('mid', 'original', 'nb', 'z')}
+select kind, count(*) as claims, count_if(sha256(normalized) = sha256(noisy_norm)) as recovered from nb group by 1""",
 )
 def noise_robustness(spark, sf_dir):
     kind = F.col("pos") % 3
