@@ -98,10 +98,13 @@ def fact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verification log lines; one claim takes a third of the traffic."""
+    return log_columns(read(spark, sf_dir, "events"))
+
+
+def log_columns(events: DataFrame) -> DataFrame:
     claim_no = F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % 97)
     return (
-        read(spark, sf_dir, "events")
-        .select(
+        events.select(
             F.col("event_id").alias("request_id"),
             F.col("ts").cast("timestamp").alias("ts"),
             F.col("user_id").alias("client_id"),
