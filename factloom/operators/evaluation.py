@@ -179,8 +179,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     chance = rows.join(cols, "c").agg(F.sum(F.col("na") * F.col("nb")).alias("chance"))
     po = F.col("same") / F.col("total").cast("double")
     pe = F.col("chance") / (F.col("total") * F.col("total")).cast("double")
-    one = F.lit(1).alias("one")
-    return total.select("*", one).join(chance.select("*", one), "one").select(
+    return total.withColumn("chance", chance.scalar()).select(
         F.col("total").alias("n"), po.alias("observed"), pe.alias("expected"), ((po - pe) / (1 - pe)).alias("kappa")
     )
 
@@ -191,11 +190,11 @@ def krippendorff_alpha(ratings: DataFrame) -> DataFrame:
     units = cells.groupBy("unit").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq")).filter("m > 1")
     disagree = units.agg(
         F.sum((F.col("m") * F.col("m") - F.col("sq")) / (F.col("m") - 1).cast("double")).alias("d"), F.sum("m").alias("total")
-    ).withColumn("one", F.lit(1))
+    )
     values = cells.join(units.select("unit"), "unit").groupBy("value").agg(F.sum("n").alias("nv"))
-    chance = values.agg(F.sum(F.col("nv") * F.col("nv")).alias("sqv")).withColumn("one", F.lit(1))
+    chance = values.agg(F.sum(F.col("nv") * F.col("nv")).alias("sqv"))
     expected = (F.col("total") * F.col("total") - F.col("sqv")) / (F.col("total") - 1).cast("double")
-    return disagree.join(chance, "one").select(
+    return disagree.withColumn("sqv", chance.scalar()).select(
         F.col("total").alias("ratings"), (1 - F.col("d") / expected).alias("alpha")
     )
 

@@ -162,14 +162,12 @@ def search_pages(
     q_words = distinct.select("query_key", F.explode(search_words(F.col("query"))).alias("token"))
     p_sets = pages.select("page_id", search_words(F.col("text")).alias("page_words"))
     index = p_sets.select("page_id", F.explode("page_words").alias("token"))
-    n_pages = F.broadcast(pages.agg(F.count("*").alias("n_pages")).withColumn("one", F.lit(1)))
+    n_pages = pages.agg(F.count("*")).scalar()
     uses = (
         index.join(q_words.select("token").distinct(), "token", "left_semi")
         .groupBy("token")
         .agg(F.count("*").alias("uses"))
-        .withColumn("one", F.lit(1))
-        .join(n_pages, "one")
-        .select("token", "uses", F.floor(F.log(F.col("n_pages") / F.col("uses")) * 1000).alias("weight"))
+        .withColumn("weight", F.floor(F.log(n_pages / F.col("uses")) * 1000))
     )
     weighted = (
         q_words.join(uses, "token", "left")
