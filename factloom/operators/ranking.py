@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.text import find_all
+from ..session import shuffle_width
 
 
 def drop_exact_copies(evidence: DataFrame, order: str = "pos") -> DataFrame:
@@ -82,7 +83,8 @@ def rank_evidence(
     One exchange on the claim key serves all steps: the finer keys of the inner
     windows are clustered by it.
     """
-    df = evidence.filter(F.col("relevance") >= min_relevance).repartition("claim_id")
+    df = evidence.filter(F.col("relevance") >= min_relevance)
+    df = df.repartition(shuffle_width(df), "claim_id")
     df = drop_exact_copies(with_position(df))
     df = per_host(drop_near_copies(df, similarity), per_host_limit, ["pos"])
     df = df.withColumn("combined", combined_score())

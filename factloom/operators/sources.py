@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
+from ..session import shuffle_width
 from .matching import search_words
 
+SEED_MATCHES = 3
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -73,7 +75,7 @@ def prepare_sources(
     df = df.filter(is_safe_url(F.col("url"), schemes))
     if blocked:
         df = df.filter(~F.col("host").isin(*blocked))
-    df = df.withColumn("url", normalize_url(F.col("url"), schemes)).repartition("claim_id")
+    df = df.withColumn("url", normalize_url(F.col("url"), schemes)).repartition(shuffle_width(df), "claim_id")
     first = Window.partitionBy("claim_id", F.lower("url")).orderBy(*order)
     df = df.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     hosts = Window.partitionBy("claim_id", "host").orderBy(*order)
@@ -148,9 +150,10 @@ def search_pages(
 ) -> DataFrame:
     """(claim_id, query_no, page_id, score, rank): the best pages per query.
 
-    A page qualifies when it has at least ``min_share`` of the query's distinct words.
-    It then has one of the query's rarest ``n - ceil(n * share) + 1`` words, so only
-    those are looked up in the word index and common words are not join keys.
+    A page qualifies when it has at least ``needed = ceil(n * min_share)`` of the query's
+    ``n`` distinct words.  It then has at least ``s = min(SEED_MATCHES, needed)`` of the
+    query's rarest ``n - needed + s`` words, so only those are looked up in the word
+    index: the most common words are not join keys, and few pairs are left to check.
     Score = sum of ``floor(1000 * ln(pages / pages with the word))``; ties by page id.
     Equal queries are searched once.
     """
@@ -162,6 +165,7 @@ def search_pages(
     q_words = distinct.select("query_key", F.explode(search_words(F.col("query"))).alias("token"))
     p_sets = pages.select("page_id", search_words(F.col("text")).alias("page_words"))
     index = p_sets.select("page_id", F.explode("page_words").alias("token"))
+    width = shuffle_width(queries)
     n_pages = pages.agg(F.count("*")).scalar()
     uses = (
         index.join(q_words.select("token").distinct(), "token", "left_semi")
@@ -183,23 +187,41 @@ def search_pages(
             ).alias("terms")
         )
         .withColumn("needed", F.ceil(F.size("terms") * F.lit(min_share) - F.lit(1e-9)))
+        .withColumn("matches", F.least(F.lit(SEED_MATCHES).cast("bigint"), F.col("needed")))
     )
     seeds = (
         weighted.select(
             "query_key",
-            F.explode(F.slice("terms", F.lit(1), (F.size("terms") - F.col("needed") + 1).cast("int"))).alias("t"),
+            "matches",
+            F.explode(
+                F.slice("terms", F.lit(1), (F.size("terms") - F.col("needed") + F.col("matches")).cast("int"))
+            ).alias("t"),
         )
-        .select("query_key", "t.token")
+        .select("query_key", "matches", "t.token")
+        .repartition(width, "query_key", "token")
         .join(index, "token")
+        .groupBy("query_key", "page_id")
+        .agg(F.count("*").alias("found"), F.first("matches").alias("matches"))
+        .filter(F.col("found") >= F.col("matches"))
         .select("query_key", "page_id")
-        .distinct()
+        .repartition(width, "query_key", "page_id")
     )
+    # the smaller array second: its values become the hash set
+    shared = F.array_intersect(F.col("page_words"), F.transform("terms", lambda t: t["token"]))
     hits = (
         seeds.join(weighted, "query_key")
         .join(p_sets, "page_id")
-        .withColumn("found", F.filter("terms", lambda t: F.array_contains(F.col("page_words"), t["token"])))
-        .filter(F.size("found") >= F.col("needed"))
-        .withColumn("score", F.aggregate("found", F.lit(0).cast("bigint"), lambda s, t: s + t["weight"]))
+        .select(
+            "query_key", "page_id", "terms",
+            F.explode(F.filter(F.array(shared), lambda w: F.size(w) >= F.col("needed"))).alias("found"),
+        )
+        .withColumn(
+            "score",
+            F.aggregate(
+                "terms", F.lit(0).cast("bigint"),
+                lambda s, t: s + F.when(F.array_contains("found", t["token"]), t["weight"]).otherwise(0),
+            ),
+        )
     )
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), "page_id")
     top = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_query)

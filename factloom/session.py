@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spark_session(app: str = "factloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions for small rows that a following step multiplies.
+
+    Adaptive execution would merge such rows into one task because they are few; an
+    explicit count keeps the work that grows out of them on all executors.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
