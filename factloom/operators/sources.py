@@ -204,7 +204,8 @@ def search_pages(
         .agg(F.count("*").alias("found"), F.first("matches").alias("matches"))
         .filter(F.col("found") >= F.col("matches"))
         .select("query_key", "page_id")
-        .repartition(width, "query_key", "page_id")
+        # another key order than the grouping, or this exchange would be dropped as redundant
+        .repartition(width, "page_id", "query_key")
     )
     # the smaller array second: its values become the hash set
     shared = F.array_intersect(F.col("page_words"), F.transform("terms", lambda t: t["token"]))

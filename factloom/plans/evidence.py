@@ -12,6 +12,7 @@ from ..operators import ranking as rk
 from ..operators import sources as so
 from ..operators.simjoin import distinct_sets, set_key, similar_sets
 from ..functions.text import word_set
+from ..session import ensure_checkpoint_dir
 from . import sqltext as st
 from .catalog import query
 from .claims import ANALYZED, QUERIES_SQL
@@ -48,6 +49,9 @@ def search_results(spark, sf_dir):
 def evidence_rows(spark, sf_dir):
     claims, pages, results = search_results(spark, sf_dir)
     sources = so.score_sources(so.prepare_sources(results), AS_OF).drop("query_no", "rank", "score")
+    # used three times below; stored once in the shared folder instead of searched again
+    ensure_checkpoint_dir(spark)
+    sources = sources.checkpoint()
     wanted = pages.join(sources.select("page_id").distinct(), "page_id", "left_semi")
     rows = ev.extract_evidence(claims, ev.line_chunks(wanted), sources)
     return claims, pages, sources, rows
