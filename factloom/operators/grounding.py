@@ -12,7 +12,6 @@ OUTPUT_SCHEMA = (
     "verdict string, confidence double, summary string, reasoning string, supporting_evidence array<string>, "
     "contradicting_evidence array<string>, contextual_evidence array<string>"
 )
-EMPTY = F.array
 
 
 def parse_outputs(outputs: DataFrame, col: str = "raw") -> DataFrame:

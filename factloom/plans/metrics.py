@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from ..functions.text import find_all, round_half_up
+from ..functions.text import round_half_up
 from ..operators import evaluation as evl
 from ..operators import matching as mt
 from ..operators import normalize as nm
 from ..operators.ranking import retrieval_status
 from . import sqltext as st
 from .catalog import query
-from .claims import NORM_SQL
 from .matching import DATE_SQL, NUMBER_SQL, _candidates, BASE
-from .tables import SQL_ALL, SQL_BENCH, SQL_LABELLED, SQL_LOG, all_claims, bench_claims, labelled, read, request_log
+from .tables import SQL_ALL, SQL_LABELLED, all_claims, labelled, read
 
 # transcripts: a deterministic misreading of every claim
 NOISY = "translate(claim, 'oielas', '01316')"
