@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, pivotal, warc
+from . import content_sort, pivotal, sentencepiece_bpe, token_records, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    encoded = sentencepiece_bpe.encode(_table(spark, sf_dir, "documents"), model)
+    return sentencepiece_bpe.decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, _table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -26,13 +42,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_records.token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_token_records": op9_token_records,
     "op10_mixing": op10_mixing,
 }
 
