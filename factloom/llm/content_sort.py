@@ -1,15 +1,15 @@
 """Exact deduplication by sorting whole contents.
 
-Sampled splitters deal (normalised bytes, length, id) over range partitions, Spark's
-external sort puts equal contents next to each other, and one pass compares every row
-with its neighbour in full.  The id is part of the sort key, so a group of copies of any
-size spreads over partitions; groups that cross a border are joined from the first and
-last run of each partition.
+Sampled splitters deal rows over range partitions by (first normalised bytes, digest of
+all bytes, length, id), Spark's external sort puts equal contents next to each other, and
+one pass compares every row with its neighbour in full.  The digest keeps the splitters
+that the driver samples short however long the texts are.  The id is part of the sort key,
+so a group of copies of any size spreads over partitions; groups that cross a border are
+joined from the first and last run of each partition.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, stored, whole
 
 _BATCH = 20_000
+#: bytes of a content that come before its digest in the sort key
+SPLITTER_BYTES = 32
 
 
 def without_space(text: str | Column) -> Column:
@@ -35,11 +37,10 @@ def _runs(schema: pa.Schema):
         run, content, members = -1, None, []
 
         def close(last: bool) -> None:
-            digest = hashlib.sha256(content).hexdigest()
             head, size = members[0][0], len(members)
             edge = content if run == 0 or last else None
-            for k, (name, *rest) in enumerate(members):
-                out.append((name, *rest, digest, part, run, last, head, size, k == 0, edge if k == 0 else None))
+            for k, row in enumerate(members):
+                out.append((*row, part, run, last, head, size, k == 0, edge if k == 0 else None))
 
         def batch() -> pa.RecordBatch:
             columns = zip(*out, strict=True) if out else [[] for _ in schema]
@@ -83,8 +84,9 @@ def content_groups(
         F.encode(key, "UTF-8").alias("content"), F.col(id_col).alias("id"),
         *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], F.char_length(whole(text_col)).alias("points"),
     )
-    order = [F.col("content"), F.desc("points"), F.asc_nulls_last("id")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("points")
+    rows = rows.select("*", F.substring("content", 1, SPLITTER_BYTES).alias("begin"), F.sha2("content", 256).alias("digest"))
+    order = [F.col("begin"), F.col("digest"), F.desc("points"), F.asc_nulls_last("id")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order[:2], "content", *order[2:]).drop("points", "begin")
     ddl = ", ".join(
         [f"id {id_type}", *[f"carry_{i} {kinds[c]}" for i, c in enumerate(carry)],
          "digest string, part int, run long, last boolean, head " + id_type, "size long, first boolean, edge binary"]
