@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, pivotal, sentencepiece_bpe, simhash, token_records, warc
+from . import content_sort, language_gru, pivotal, sentencepiece_bpe, simhash, token_records, warc
+from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +48,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = language_gru.fit(docs, learn=fold("doc_id", 3) != 1)
+    return language_gru.identify(docs, net).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_records.token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -61,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_language": op5_language,
     "op9_token_records": op9_token_records,
     "op10_mixing": op10_mixing,
 }
