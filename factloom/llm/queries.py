@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, language_gru, pivotal, sentencepiece_bpe, simhash, token_records, warc
+from . import content_sort, language_gru, pivotal, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_gru.identify(docs, net).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_records.token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_token_records": op9_token_records,
     "op10_mixing": op10_mixing,
 }
