@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, context_tree, language_gru, pivotal, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
+from . import content_sort, context_tree, cross_polytope, language_gru, pivotal, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = context_tree.score(_table(spark, sf_dir, "documents"), learn=fold("doc_id", 7) != 2)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_neighbours": op7_neighbours,
     "op8_context_tree": op8_context_tree,
     "op9_token_records": op9_token_records,
     "op10_mixing": op10_mixing,
