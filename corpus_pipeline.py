@@ -1,10 +1,96 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: language, copies, near copies, source weights, token ids.
+
+``run`` applies ``STAGES`` to the documents table.  Every stage is written as Parquet and
+read again before the next one starts.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import content_sort, language_gru, pivotal, sentencepiece_bpe, simhash
+from factloom.llm.common import stored
+from factloom.llm.queries import tokenizer_file
+
+#: a text whose best language has less probability is of no known language
+LEAST_LANGUAGE_SCORE = 0.3
+#: near copies: five-word shingles, Jaccard similarity of 0.8 as 128-bit fingerprints estimate it
+WORDS, SIMILARITY, BITS = 5, 0.8, 128
+#: candidate tables of near copies, and bits of each
+TABLES, TABLE_BITS = 64, 16
+
+_ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """A number for every row, the same in every reading of a table."""
+    return docs.withColumn(_ROW, F.monotonically_increasing_id())
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter (null and empty ones too) and texts of no known language.
+
+    The network learns from a bounded sample of the labelled documents.  Without any
+    labelled text no language is known, and only texts without a letter go.
+    """
+    net = language_gru.fit(docs, learn=F.lit(True))
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW))
+    found = language_gru.identify(rows, net, carry=(_ROW,))
+    if net is None:
+        return found.filter(language_gru.has_letter(F.col(f"{_ROW}.text"))).select(f"{_ROW}.*")
+    kept = (F.col("lang_pred") != language_gru.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return found.filter(kept).select(f"{_ROW}.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for ASCII white space one stays: most code points, then smallest id."""
+    rows = _numbered(docs)
+    kept = content_sort.content_groups(rows, carry=(_ROW,)).filter("kept").select(_ROW)
+    return rows.join(kept, _ROW, "left_semi").drop(_ROW)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the row with the smallest id stays."""
+    rows = _numbered(docs)
+    ranked = rows.select(_ROW, F.coalesce("doc_id", F.lit(2**62)).alias("id"), "text")
+    found = simhash.near_duplicates(
+        ranked, WORDS, simhash.distance_for(SIMILARITY, BITS), simhash.sampled_masks(TABLE_BITS, TABLES, BITS), BITS, id_col=_ROW
+    )
+    first = found.join(ranked.select(_ROW, "id"), _ROW).groupBy("component_id").agg(F.min(F.struct("id", _ROW))[_ROW].alias(_ROW))
+    return rows.join(first.select(_ROW), _ROW, "left_semi").drop(_ROW)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; the sources come to their target weights."""
+    rows = _numbered(docs)
+    mixed = pivotal.mix(rows, row_col=_ROW).filter("copies > 0").select(_ROW, F.col("copies").alias("__copies"))
+    taken = rows.join(mixed, _ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every document in the mix."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    return sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model), model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", sentencepiece),
+]
+
+#: SQL can't express the trained network, the shingle hashes, the random rounding or the token ids
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

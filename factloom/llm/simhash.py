@@ -67,19 +67,33 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 hash bits of the same shingles."""
+    h = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def _signed(value: int) -> int:
-    return value - (1 << BITS) if value >> (BITS - 1) else value
+    return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, fp`` of every whole text; ``fp`` is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, words: int, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, fp, fp2`` of every whole text: its fingerprint as signed 64-bit integers.
+
+    ``fp2`` has the second 64 of 128 bits, and is 0 for fingerprints of 64 bits.
+    """
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    out = rows.select("id", F.lit(0).cast("long").alias("fp")).schema
+    out = rows.select("id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("fp2")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_signed(fingerprint(shingle_hashes(t.as_py(), words))) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+            first, second = [], []
+            for t in b.column(1):
+                hashes = shingle_hashes(t.as_py(), words)
+                first.append(_signed(fingerprint(hashes)))
+                second.append(_signed(fingerprint(_second(hashes))) if bits > BITS else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["id", "fp", "fp2"])
 
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
@@ -88,30 +102,33 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
 
 
 def block_masks(distance: int) -> list[int]:
-    """Masks of two blocks out of ``distance + 2``: no pair within the distance misses all."""
+    """Masks of two blocks out of ``distance + 2``: no pair of 64-bit fingerprints within the distance misses all."""
     cuts = [BITS * i // (distance + 2) for i in range(distance + 3)]
     blocks = [(1 << b) - (1 << a) for a, b in itertools.pairwise(cuts)]
     return [a | b for a, b in itertools.combinations(blocks, 2)]
 
 
-def sampled_masks(bits: int, tables: int, seed: int = SEED) -> list[int]:
-    """Masks of ``bits`` random bits each."""
+def sampled_masks(chosen: int, tables: int, bits: int, seed: int = SEED) -> list[int]:
+    """Masks of ``chosen`` random bits each."""
     rng = random.Random(seed)
-    return [sum(1 << i for i in rng.sample(range(BITS), bits)) for _ in range(tables)]
+    return [sum(1 << i for i in rng.sample(range(bits), chosen)) for _ in range(tables)]
 
 
-def expected_distance(similarity: float) -> int:
-    """Whole bits that SimHash expects between texts of this Jaccard similarity, at most."""
-    return math.floor(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def distance_for(similarity: float, bits: int) -> int:
+    """Differing bits up to which texts count as similar: mean and one standard deviation at this Jaccard similarity."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
-def pivots(count: int = PIVOTS, seed: int = SEED) -> np.ndarray:
-    return np.array([random.Random(seed * 1000 + i).getrandbits(BITS) for i in range(count)], np.uint64)
+def pivots(bits: int, count: int = PIVOTS, seed: int = SEED) -> np.ndarray:
+    """Random reference fingerprints as rows of two 64-bit words."""
+    found = [random.Random(seed * 1000 + i).getrandbits(bits) for i in range(count)]
+    return np.array([[x & _ALL, x >> BITS] for x in found], np.uint64)
 
 
 def distance_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Hamming distance of every fingerprint to every pivot, as bytes."""
-    return np.bitwise_count(fps[:, None] ^ references[None, :])
+    """Hamming distance of every fingerprint to every pivot."""
+    return sum(np.bitwise_count(fps[:, None, k] ^ references[None, :, k]) for k in range(2)).astype(np.int16)
 
 
 def _near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
@@ -121,10 +138,10 @@ def _near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, dist
         at = np.flatnonzero(keep)
         if not len(at):
             return keep
-        apart = np.abs(table[i[at], p : p + 4].astype(np.int8) - table[j[at], p : p + 4].astype(np.int8)).max(1)
+        apart = np.abs(table[i[at], p : p + 4] - table[j[at], p : p + 4]).max(1)
         keep[at[apart > distance]] = False
     at = np.flatnonzero(keep)
-    keep[at] = np.bitwise_count(fps[i[at]] ^ fps[j[at]]) <= distance
+    keep[at] = np.bitwise_count(fps[i[at]] ^ fps[j[at]]).sum(1) <= distance
     return keep
 
 
@@ -170,33 +187,33 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int, references: n
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
-def links(nodes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
-    """``node, fp`` with distinct fingerprints -> linked nodes ``a, b``.
+def links(nodes: DataFrame, distance: int, masks: list[int], bits: int = BITS) -> DataFrame:
+    """``node, fp, fp2`` with distinct fingerprints -> linked nodes ``a, b``.
 
     Every node goes to one bucket per mask.  Buckets are streamed from sorted partitions; a
-    task holds whole buckets, and what it holds is eight bytes and the pivot distances of
+    task holds whole buckets, and what it holds is the numbers and pivot distances of
     *distinct* fingerprints that agree on a mask's bits.
     """
-    count = len(masks)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, fp = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            node, fp, fp2 = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             for t, mask in enumerate(masks):
-                key = fp & np.int64(_signed(mask))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(fp), t, np.int32)), pa.array(key), pa.array(node), pa.array(fp)], ["mask", "key", "node", "fp"]
-                )
+                key = (fp & np.int64(_signed(mask & _ALL))).view(np.uint64)
+                if mask >> BITS:  # one number for the bits of both words; a rare clash only adds candidates
+                    key = key * np.uint64(0x9E3779B97F4A7C15) + _second((fp2 & np.int64(_signed(mask >> BITS))).view(np.uint64))
+                columns = [pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), *(pa.array(x) for x in (node, fp, fp2))]
+                yield pa.RecordBatch.from_arrays(columns, ["mask", "key", "node", "fp", "fp2"])
 
-    references = pivots()
+    references = pivots(bits)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            mask, key, node, fp = (np.concatenate(c) for c in zip(*parts, strict=True))
+            mask, key, node, fp, fp2 = (np.concatenate(c) for c in zip(*parts, strict=True))
             bucket = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (mask[1:] != mask[:-1])])
-            found = bucket_links(bucket, fp.view(np.uint64), distance, references)
+            found = bucket_links(bucket, np.stack([fp, fp2], 1).view(np.uint64), distance, references)
             if len(found):
                 a, b = node[found[:, 0]], node[found[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -205,11 +222,10 @@ def links(nodes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
             part = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
             if not len(part[0]):
                 continue
-            cut = len(part[0])  # rows of the last bucket wait for the next batch
+            # rows of the last bucket wait for the next batch
             last = np.flatnonzero((part[1] != part[1][-1]) | (part[0] != part[0][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
-            same = held and held[-1][1][-1] == part[1][0] and held[-1][0][-1] == part[0][0]
-            if held and not same:
+            if held and (held[-1][1][-1] != part[1][0] or held[-1][0][-1] != part[0][0]):
                 yield from flush(held)
                 held = []
             if cut:
@@ -219,8 +235,8 @@ def links(nodes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
         if held:
             yield from flush(held)
 
-    keyed = nodes.select("node", "fp").mapInArrow(spread, "mask int, key long, node long, fp long") if count else nodes
-    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+    keyed = nodes.select("node", "fp", "fp2").mapInArrow(spread, "mask int, key long, node long, fp long, fp2 long")
+    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "fp2")
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
@@ -254,19 +270,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, words: int, distance: int, masks: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, fp, component_id`` of every row: the smallest id reachable over links.
+def near_duplicates(
+    docs: DataFrame, words: int, distance: int, masks: list[int] | None = None, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``id_col, fp, fp2, component_id`` of every row: the smallest id reachable over links.
 
     Fingerprints of at most ``distance`` differing bits are linked; ``masks`` defaults to
-    tables that miss no such pair.  Null and empty texts have fingerprint zero and are
-    linked like any other; shorter texts than ``words`` are one shingle.  Equal
-    fingerprints meet once, so copies of any number cost nothing more.  Rows repeated with
-    their id keep their rows; a null id never is the smallest while there is another.  An
-    empty table gives no rows; other columns are not read.
+    tables that miss no such pair of 64-bit fingerprints.  Null and empty texts have
+    fingerprint zero and are linked like any other; texts shorter than ``words`` are one
+    shingle.  Equal fingerprints meet once, so copies of any number cost nothing more.
+    Rows repeated with their id keep their rows; a null id never is the smallest while
+    there is another.  An empty table gives no rows; other columns are not read.
     """
-    fps = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    # a null id has no place in a component's name: such a row can be reached, not named
-    nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("node")).filter("node is not null"), "nodes")
-    found = components(links(nodes, distance, masks if masks is not None else block_masks(distance)))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, "fp", "left").select(id_col, "fp", "component_id")
+    fps = stored(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
+    # a null id can't name a component: such rows take part where another row has their fingerprint
+    nodes = stored(fps.groupBy("fp", "fp2").agg(F.min(id_col).cast("long").alias("node")).filter("node is not null"), "nodes")
+    found = components(links(nodes, distance, masks if masks is not None else block_masks(distance), bits))
+    classes = nodes.join(found, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(classes, ["fp", "fp2"], "left").select(id_col, "fp", "fp2", "component_id")
