@@ -55,7 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     ranked = rows.select(_ROW, F.coalesce("doc_id", F.lit(2**62)).alias("id"), "text")
     found = simhash.near_duplicates(
-        ranked, WORDS, simhash.distance_for(SIMILARITY, BITS), simhash.sampled_masks(TABLE_BITS, TABLES, BITS), BITS, id_col=_ROW
+        ranked, WORDS, simhash.distance_for(SIMILARITY, BITS), simhash.sampled_masks(TABLE_BITS, TABLES, BITS), BITS, distinct=True, id_col=_ROW
     )
     first = found.join(ranked.select(_ROW, "id"), _ROW).groupBy("component_id").agg(F.min(F.struct("id", _ROW))[_ROW].alias(_ROW))
     return rows.join(first.select(_ROW), _ROW, "left_semi").drop(_ROW)

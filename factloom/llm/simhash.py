@@ -78,10 +78,11 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, words: int, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int, bits: int = BITS, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fp, fp2`` of every whole text: its fingerprint as signed 64-bit integers.
 
-    ``fp2`` has the second 64 of 128 bits, and is 0 for fingerprints of 64 bits.
+    ``fp2`` has the second 64 of 128 bits, and is 0 for fingerprints of 64 bits.  With
+    ``distinct`` repeated shingles count once, as they do in Jaccard similarity.
     """
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     out = rows.select("id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("fp2")).schema
@@ -91,6 +92,7 @@ def fingerprints(docs: DataFrame, words: int, bits: int = BITS, id_col: str = "d
             first, second = [], []
             for t in b.column(1):
                 hashes = shingle_hashes(t.as_py(), words)
+                hashes = np.unique(hashes) if distinct else hashes
                 first.append(_signed(fingerprint(hashes)))
                 second.append(_signed(fingerprint(_second(hashes))) if bits > BITS else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["id", "fp", "fp2"])
@@ -114,10 +116,10 @@ def sampled_masks(chosen: int, tables: int, bits: int, seed: int = SEED) -> list
     return [sum(1 << i for i in rng.sample(range(bits), chosen)) for _ in range(tables)]
 
 
-def distance_for(similarity: float, bits: int) -> int:
-    """Differing bits up to which texts count as similar: mean and one standard deviation at this Jaccard similarity."""
+def distance_for(similarity: float, bits: int, deviations: float = 2.0) -> int:
+    """Differing bits that texts of this Jaccard similarity rarely exceed: mean and some standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def pivots(bits: int, count: int = PIVOTS, seed: int = SEED) -> np.ndarray:
@@ -271,8 +273,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int, distance: int, masks: list[int] | None = None, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, words: int, distance: int, masks: list[int] | None = None, bits: int = BITS, distinct: bool = False,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """``id_col, fp, fp2, component_id`` of every row: the smallest id reachable over links.
 
     Fingerprints of at most ``distance`` differing bits are linked; ``masks`` defaults to
@@ -282,7 +285,7 @@ def near_duplicates(
     Rows repeated with their id keep their rows; a null id never is the smallest while
     there is another.  An empty table gives no rows; other columns are not read.
     """
-    fps = stored(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
+    fps = stored(fingerprints(docs, words, bits, distinct, id_col, text_col), "fingerprints")
     # a null id can't name a component: such rows take part where another row has their fingerprint
     nodes = stored(fps.groupBy("fp", "fp2").agg(F.min(id_col).cast("long").alias("node")).filter("node is not null"), "nodes")
     found = components(links(nodes, distance, masks if masks is not None else block_masks(distance), bits))
