@@ -10,6 +10,7 @@ end is marked in a bit field and never entered again.
 from __future__ import annotations
 
 import codecs
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from .common import whole
 
 SPACE_MARK = "▁"
 #: entries of the two memo tables of a worker, which start again when full
-WORDS_KEPT, PAIRS_KEPT = 1_000_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 500_000, 500_000
 #: numbers of characters that are no piece begin here; above all of them
 _CHARACTER, _BASE = 1 << 24, 1 << 26
 
@@ -65,6 +66,7 @@ class Model:
             else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(SPACE_MARK, " ").encode()
             for i, p in enumerate(self.pieces)
         ]
+        self.control = {i for i, data in enumerate(self.as_bytes) if not data}
         reachable = [p for p in self.ids if self.merge(p) == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in reachable:
@@ -164,12 +166,16 @@ class Model:
         return self.line_end.join(lines)
 
     def decode(self, ids: list[int]) -> str:
-        """Text of ids: space marks become spaces, the one before the text goes, bytes are joined."""
-        data = b"".join(map(self.as_bytes.__getitem__, ids))
+        """Text of ids: space marks become spaces, the one before the text goes, runs of bytes are joined."""
         first = next((i for i in ids if self.as_bytes[i]), None)
-        if first is not None and first not in self.is_byte and self.pieces[first].startswith(SPACE_MARK):
-            data = data[1:]
-        return data.decode("utf-8", "each_byte")
+        inner = self.control.intersection(ids[:-1])
+        runs = [ids]
+        if inner:  # a control id ends a run of bytes
+            cuts = [-1, *(k for k, i in enumerate(ids) if i in inner), len(ids)]
+            runs = [ids[a + 1 : b] for a, b in itertools.pairwise(cuts)]
+        text = "".join(b"".join(map(self.as_bytes.__getitem__, r)).decode("utf-8", "each_byte") for r in runs)
+        leads = first is not None and first not in self.is_byte and self.pieces[first].startswith(SPACE_MARK)
+        return text[1:] if leads else text
 
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))

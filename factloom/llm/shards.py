@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, whole, width
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 SHARD_DDL = "shard long, ids array<long>, flags array<boolean>, sizes array<long>, text binary"
 
 
@@ -39,8 +39,8 @@ class Shard:
         return np.frombuffer(self.text, np.uint8)
 
 
-def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def pack(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unpack(data: bytes) -> bytes:
@@ -62,7 +62,7 @@ def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def close() -> pa.RecordBatch:
             held.sort(key=lambda r: (r[0] is None, r[0] or 0))
-            row = [(part << 32) + made, [r[0] for r in held], [r[1] for r in held], [len(r[2]) for r in held], pack(b"".join(r[2] for r in held))]
+            row = [(part << 32) + made, [r[0] for r in held], [r[1] for r in held], [len(r[2]) for r in held], pack(b"".join(r[2] for r in held), 3)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kind, strict=True)], schema=kind)
 
         for b in batches:

@@ -392,13 +392,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (found,) in sh.each_shard(batches):
-            start = np.zeros(len(s.text) + 1, np.int32)
+            start = np.zeros(len(s.text) + 1, np.int16)  # a byte lies in at most ``length`` spans
             for x in map(sh.unpack, found or []):
                 span = np.frombuffer(x, _SPAN)
                 base = s.bounds[span["doc"]]
                 np.add.at(start, base + span["first"], 1)
                 np.add.at(start, base + span["last"] + length, -1)
-            gone = np.cumsum(start[:-1], dtype=np.int32) > 0
+            gone = np.cumsum(start[:-1], dtype=np.int16) > 0
             data, rows = s.bytes, []
             for k, key in enumerate(s.ids):
                 b, e = int(s.bounds[k]), int(s.bounds[k + 1])

@@ -38,8 +38,17 @@ WORDS_KEPT = 1_000_000
 # Letters and digits of Latin-1, and the split pattern of byte-level BPE over them.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-#: texts of these characters split alike in every regular expression library
-_PLAIN = re.compile(r"[\t\n\r -~¡-ÿ]*")
+#: bytes of Latin-1 that are split alike in every regular expression library
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
+#: where white space meets white space, words depend on what follows
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+
+
+def _plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
 
 
 class ByteBpe:
@@ -68,20 +77,28 @@ class ByteBpe:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _words(self, text: str) -> list[str]:
+        """Keys of the parts of a text: its first part is marked, one behind a line end begins with it, others had a space before them."""
+        if any(run in text for run in _RUNS):
+            return ["\0" + w for w in _SPLIT.findall(text)]
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return ["\0" + first, *rest]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         rest, split, missing = [], [], set()
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
         for i, text in enumerate(texts):
-            if self.by_word and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                words = _SPLIT.findall(text)
-                missing.update(set(words) - self.words.keys())
+            if self.by_word and _plain(text) and not any(s in text for s in self.special):
+                words = self._words(text)
+                missing.update(w for w in set(words) if w not in self.words)
                 split.append((i, words))
             else:
                 rest.append(i)
         new = list(missing)
-        self.words.update(zip(new, self._library(new), strict=True))
+        parts = [w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in new]
+        self.words.update(zip(new, self._library(parts), strict=True))
         for i, words in split:
             out[i] = b"".join(map(self.words.__getitem__, words))
         for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
