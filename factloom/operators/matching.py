@@ -57,13 +57,13 @@ def fact_check_candidates(
     stored = (
         fact_checks.select("fc_id", F.sort_array(search_words(F.col("claim_text"))).alias("tokens"))
         .select("fc_id", "tokens", set_key(F.col("tokens")).alias("set_id"))
-        .withColumn("copy", F.row_number().over(copies))
-        .filter(F.col("copy") <= k)
-        .withColumn("lowest", F.min("fc_id").over(Window.partitionBy("set_id")))
+        # a fact-check that came twice counts once: equal ids have equal texts
+        .withColumns({"copy": F.dense_rank().over(copies), "again": F.coalesce(F.lag("fc_id").over(copies) == F.col("fc_id"), F.lit(False))})
+        .filter((F.col("copy") <= k) & ~F.col("again"))
     )
     pairs = similar_sets(
         distinct_sets(wanted, "words"),
-        stored.filter(F.col("fc_id") == F.col("lowest")),
+        stored.filter("copy = 1"),
         min_overlap,
         right_rows=stored.select("set_id", "tokens", "fc_id"),
     )

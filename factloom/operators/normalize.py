@@ -216,9 +216,12 @@ def confusable_digits(text: Column) -> Column:
 
 
 def sub_claims(posts: DataFrame, id_col: str = "post_id", col: str = "text") -> DataFrame:
-    """One row per sentence of a post with its own id."""
+    """One row per sentence of a post with its own id.
+
+    Ids leave room for 2^24 sentences in a post, more than an admitted text has characters.
+    """
     from ..functions.text import split_sentences
 
     return posts.select(
         F.col(id_col).alias("post_id"), F.posexplode(split_sentences(F.col(col))).alias("pos", "claim")
-    ).withColumn("claim_id", F.col("post_id") * 1000 + F.col("pos"))
+    ).withColumn("claim_id", F.col("post_id") * 2**24 + F.col("pos"))

@@ -29,7 +29,7 @@ def set_key(tokens: Column) -> Column:
 def distinct_sets(df: DataFrame, tokens: str) -> DataFrame:
     """(set_id, tokens): one row per different set (the empty set never matches)."""
     return (
-        df.select(F.sort_array(F.col(tokens)).alias("tokens"))
+        df.select(F.sort_array(F.array_distinct(F.col(tokens))).alias("tokens"))
         .select(set_key(F.col("tokens")).alias("set_id"), "tokens")
         .groupBy("set_id")
         .agg(F.first("tokens").alias("tokens"))
@@ -56,7 +56,7 @@ def _needed(size: Column, threshold: float) -> Column:
 def _prefixes(sets: DataFrame, order: DataFrame, threshold: float, side: str) -> DataFrame:
     """(set_id, size, place, token) for the prefix tokens of each set."""
     ranked = (
-        sets.select("set_id", F.explode("tokens").alias("token"))
+        sets.select("set_id", F.explode(F.array_distinct("tokens")).alias("token"))
         .withColumn("bucket", _bucket(F.col("token")))
         .join(F.broadcast(order), "bucket", "left")
         .groupBy("set_id")

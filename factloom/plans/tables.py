@@ -82,7 +82,7 @@ def fact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
     rating = F.element_at(F.array(*[F.lit(r) for r in RATINGS]), (F.col("doc_id") % 12 + 1).cast("int"))
     return pieces.select(
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("fc_id"),
+        (F.col("doc_id") * 2**24 + F.col("pos")).alias("fc_id"),
         F.expr(DECORATE_CHECKED).alias("claim_text"),
         F.lit(None).cast("string").alias("claimant"),
         F.date_format(date, "yyyy-MM-dd").alias("claim_date"),
@@ -151,7 +151,7 @@ sentences as (
   select post_id, unnest(pieces) as b, unnest(range(len(pieces))) as pos
   from (select post_id, {SQL_PIECES} as pieces from posts))"""
 SQL_CLAIMS = f"""
-claims as (select post_id * 1000 + pos as claim_id, post_id, pos, {DECORATE} as claim from sentences)"""
+claims as (select post_id * 16777216 + pos as claim_id, post_id, pos, {DECORATE} as claim from sentences)"""
 SQL_BENCH = f"""
 posts as (select item_id as post_id, text from benchmark),{SQL_SENTENCES},{SQL_CLAIMS}"""
 SQL_ALL = f"""
@@ -163,7 +163,7 @@ checked as (
   select doc_id, source, unnest(pieces) as b, unnest(range(len(pieces))) as pos
   from (select doc_id, source, {SQL_PIECES} as pieces from documents)),
 fact_checks as (
-  select doc_id * 100000 + pos as fc_id, {DECORATE_CHECKED} as claim_text, source as publisher,
+  select doc_id * 16777216 + pos as fc_id, {DECORATE_CHECKED} as claim_text, source as publisher,
     cast(date '2024-01-01' + cast(doc_id % 1000 as integer) as varchar) as review_date,
     concat('https://', source, '.example.org/d/', doc_id) as url,
     list_extract({RATINGS!r}, doc_id % 12 + 1) as rating

@@ -77,8 +77,9 @@ def flatten_fact_checks(responses: DataFrame) -> DataFrame:
 
 
 def with_fact_check_id(checks: DataFrame) -> DataFrame:
-    """A stable id from the content, so that ties are broken the same way in every run."""
-    return checks.withColumn("fc_id", F.xxhash64("claim_text", "review.url", "review.textual_rating"))
+    """A stable id from the content; a fact-check in several responses is one row."""
+    parts = [F.coalesce(c, F.lit("")) for c in ("claim_text", "review.url", "review.textual_rating")]
+    return checks.withColumn("fc_id", F.sha2(F.concat_ws("\u0001", *parts), 256)).dropDuplicates(["fc_id"])
 
 
 def read_fact_checks(spark: SparkSession, path: str) -> DataFrame:
