@@ -154,10 +154,14 @@ def capped_confidence() -> Column:
 
 def ground(parsed: DataFrame, profile: DataFrame) -> DataFrame:
     """Add the grounding findings, filtered citations, ``warnings`` and ``grounded``."""
-    df = parsed.join(profile, "claim_id", "left")
+    return _findings(parsed.join(profile, "claim_id", "left"))
+
+
+def _findings(df: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
+    evidence = ("evidence_count", "domains", "avg_relevance", "avg_authority", "ids", "e_numbers", "e_names", "e_years", "items")
     df = df.select(
-        *parsed.columns, "evidence_count", "domains", "avg_relevance", "avg_authority",
+        *[c for c in df.columns if c not in evidence], "evidence_count", "domains", "avg_relevance", "avg_authority",
         *[F.coalesce(c, none).alias(c) for c in ("ids", "e_numbers", "e_names", "e_years")],
         F.coalesce("items", F.array().cast("array<struct<context_no:int,evidence_id:string,direction:string,excerpt:string>>")).alias("items"),
     ).fillna({"evidence_count": 0, "domains": 0})
@@ -194,32 +198,47 @@ def ground(parsed: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def apply_rules(df: DataFrame) -> DataFrame:
-    """Business rules in fixed order on ``verdict``/``confidence``; adds ``rule_notes``."""
+    """Business rules in fixed order on ``verdict``/``confidence``; adds ``rule_notes``.
+
+    Evidence is counted in the package: ``evidence_count`` and ``domains``.  A forced verdict
+    replaces the summary and is noted behind the reasoning.
+    """
     n = F.col("evidence_count")
     firm = F.col("verdict").isin("SUPPORTED", "FALSE")
     df = df.withColumn("rule_notes", F.array().cast("array<string>"))
 
-    def rule(df: DataFrame, when: Column, note: Column, confidence: Column | None = None, unverified: bool = False) -> DataFrame:
+    def rule(df: DataFrame, when: Column, note: Column, confidence: Column | None = None, forced: Column | None = None) -> DataFrame:
         df = df.withColumn("_on", F.coalesce(when, F.lit(False)))
         updates = {"rule_notes": F.when(F.col("_on"), F.concat("rule_notes", F.array(note))).otherwise(F.col("rule_notes"))}
-        if unverified:
-            updates["verdict"] = F.when(F.col("_on"), "UNVERIFIED").otherwise(F.col("verdict"))
-            updates["confidence"] = F.when(F.col("_on"), F.lit(0.0)).otherwise(F.col("confidence"))
+        if forced is not None:
+            changed = {
+                "verdict": F.lit("UNVERIFIED"), "confidence": F.lit(0.0), "summary": forced,
+                "reasoning": F.concat("reasoning", F.lit(" [Forced UNVERIFIED: "), forced, F.lit("]")),
+            }
+            updates |= {k: F.when(F.col("_on"), v).otherwise(F.col(k)) for k, v in changed.items()}
         elif confidence is not None:
             updates["confidence"] = F.when(F.col("_on"), confidence).otherwise(F.col("confidence"))
         return df.withColumns(updates).drop("_on")
 
+    def of_confidence(digits: int) -> Column:
+        return F.format_string(f"%.{digits}f", "confidence")
+
     open_verdict = F.col("verdict") != "UNVERIFIED"
-    df = rule(df, (n == 0) & open_verdict, F.lit("RULE: No evidence available, forcing UNVERIFIED"), unverified=True)
+    df = rule(df, (n == 0) & open_verdict, F.lit("RULE: No evidence available, forcing UNVERIFIED"), forced=F.lit("No evidence available"))
     df = rule(
         df, F.col("status").isin(lx.UNVERIFIED_STATUSES) & open_verdict,
-        F.concat(F.lit("RULE: Retrieval status "), "status", F.lit(" forces UNVERIFIED")), unverified=True,
+        F.concat(F.lit("RULE: Retrieval status "), "status", F.lit(" forces UNVERIFIED")),
+        forced=F.concat(F.lit("Retrieval status: "), "status"),
     )
     df = rule(
-        df, ~F.col("confidence").between(0, 1), F.lit("RULE: Confidence out of bounds [0,1], clamping"),
+        df, ~F.col("confidence").between(0, 1),
+        F.concat(F.lit("RULE: Confidence "), F.col("confidence").cast("string"), F.lit(" out of bounds [0,1], clamping")),
         confidence=F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))),
     )
-    df = rule(df, ~F.col("verdict").isin(lx.VERDICTS + ["AI_ERROR"]), F.lit("RULE: Invalid verdict, defaulting to UNVERIFIED"), unverified=True)
+    df = rule(
+        df, ~F.col("verdict").isin(lx.VERDICTS + ["AI_ERROR"]),
+        F.concat(F.lit("RULE: Invalid verdict '"), "verdict", F.lit("', defaulting to UNVERIFIED")), forced=F.lit("Invalid verdict from model"),
+    )
     df = rule(
         df, (F.col("status") == "CONFLICTING_EVIDENCE") & firm & (F.col("confidence") > F.lit(0.7)),
         F.lit("RULE: Conflicting evidence with high confidence, reducing confidence"),
@@ -228,7 +247,7 @@ def apply_rules(df: DataFrame) -> DataFrame:
     for threshold, least in lx.EVIDENCE_COUNT_RULES:
         df = rule(
             df, firm & (F.col("confidence") >= F.lit(threshold)) & (n < least),
-            F.lit(f"RULE: Confidence at {threshold} or more requires ≥{least} evidence items"),
+            F.concat(F.lit("RULE: Confidence "), of_confidence(1), F.lit(f" requires ≥{least} evidence items, have "), n.cast("string")),
             confidence=F.least(F.col("confidence"), F.lit(threshold - 0.1)),
         )
     df = rule(
@@ -242,32 +261,42 @@ def apply_rules(df: DataFrame) -> DataFrame:
     )
 
 
+#: package columns that replace what the context alone would say
+PACKAGE_COUNTS = {"items": "evidence_count", "independent_domains": "domains", "avg_relevance": "avg_relevance", "avg_authority": "avg_authority"}
+
+
 def validate_verdicts(outputs: DataFrame, packages: DataFrame, context: DataFrame) -> DataFrame:
-    """Final verdict per package.
+    """Final verdict per package: ``claim_id, status, verdict, confidence, summary, reasoning, grounded, validation``.
 
-    ``packages``: claim_id, status.  Claims without evidence or with a status that needs
-    no model become UNVERIFIED 0 and their outputs are never parsed; an unusable output
-    is AI_ERROR, not a verdict about the claim.
+    ``packages``: claim_id, status, and the counts of :func:`ranking.package_evidence`, which
+    rules and confidence use; a package without them is counted by its context.  Claims
+    without evidence or with a status that needs no model become UNVERIFIED 0 and their
+    outputs are not parsed; an unusable output is AI_ERROR, not a verdict about the claim;
+    a claim that the model was needed for and has no output has no row.
     """
+    counts = [c for c in PACKAGE_COUNTS if c in packages.columns]
     profile = evidence_profile(context)
-    sized = packages.select("claim_id", "status").join(profile.select("claim_id", F.col("evidence_count").alias("_n")), "claim_id", "left")
-    skip = F.col("_n").isNull() | F.col("status").isin(lx.NO_MODEL_STATUSES)
-    closed = sized.filter(skip).select(
-        "claim_id", "status", F.lit("UNVERIFIED").alias("verdict"), F.lit(0.0).alias("confidence"),
-        F.when(F.col("_n").isNull(), "No evidence available for this claim.")
-        .otherwise(F.concat(F.lit("Insufficient evidence: "), "status")).alias("summary"),
-        F.lit(None).cast("boolean").alias("grounded"), F.lit("").alias("validation"),
-    )
-    needed = sized.filter(~skip).select("claim_id", "status")
-    parsed = parse_outputs(outputs.join(needed, "claim_id"))
-    checked = ground(parsed.filter("valid"), profile)
-    checked = apply_rules(checked.withColumn("confidence", capped_confidence()))
-    final = checked.select(
-        "claim_id", "status", "verdict", "confidence", "summary", "grounded",
-        F.array_join(F.transform(F.concat("warnings", "rule_notes"), lambda w: F.concat(F.lit("[VALIDATION] "), w)), "\n").alias("validation"),
-    )
-    broken = parsed.filter(~F.col("valid")).select(
-        "claim_id", "status", F.lit("AI_ERROR").alias("verdict"), F.lit(0.0).alias("confidence"),
-        F.lit("Invalid model output").alias("summary"), F.lit(None).cast("boolean").alias("grounded"), F.lit("").alias("validation"),
+    sized = packages.select("claim_id", "status", *[F.col(c).alias(f"_{PACKAGE_COUNTS[c]}") for c in counts]).join(profile, "claim_id", "left")
+    if counts:
+        sized = sized.withColumns({PACKAGE_COUNTS[c]: F.coalesce(f"_{PACKAGE_COUNTS[c]}", PACKAGE_COUNTS[c]) for c in counts})
+    none = F.coalesce("evidence_count", F.lit(0)) == 0
+    sized = sized.withColumn("skip", none | F.col("status").isin(lx.NO_MODEL_STATUSES)).withColumn("none", none)
+    said = sized.join(outputs.select("claim_id", "raw"), "claim_id", "left").filter("skip or raw is not null")
+    parsed = parse_outputs(said.withColumn("raw", F.when(~F.col("skip"), F.col("raw"))))
+    # findings of unusable outputs are computed on empty texts and never read
+    df = parsed.fillna({"reasoning": "", "summary": "", "verdict": "", "confidence": 0.0})
+    checked = apply_rules(_findings(df).withColumn("confidence", capped_confidence()))
+    usable = ~F.col("skip") & F.col("valid")
+    notes = F.array_join(F.transform(F.concat("warnings", "rule_notes"), lambda w: F.concat(F.lit("[VALIDATION] "), w)), "\n")
+
+    def told(skipped: Column, unusable: Column, checked_: Column) -> Column:
+        return F.when(F.col("skip"), skipped).when(~F.col("valid"), unusable).otherwise(checked_)
+
+    insufficient = F.when(F.col("none"), "No evidence available for this claim.").otherwise(F.concat(F.lit("Insufficient evidence: "), "status"))
+    return checked.select(
+        "claim_id", "status", told(F.lit("UNVERIFIED"), F.lit("AI_ERROR"), F.col("verdict")).alias("verdict"),
+        F.when(usable, F.col("confidence")).otherwise(0.0).alias("confidence"),
+        told(insufficient, F.lit("Invalid model output"), F.col("summary")).alias("summary"),
+        F.when(usable, F.col("reasoning")).otherwise("").alias("reasoning"),
+        F.when(usable, F.col("grounded")).alias("grounded"), F.when(usable, notes).otherwise("").alias("validation"),
     )
-    return closed.unionByName(final).unionByName(broken)

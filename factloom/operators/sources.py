@@ -18,9 +18,9 @@ def _part(url: Column, group: int) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host without user and port; empty when there is none."""
+    """Lower-case host without user, port and the brackets of an IPv6 address; empty when there is none."""
     netloc = F.regexp_replace(_part(url, 2), r"^.*@", "")
-    return F.lower(F.regexp_replace(netloc, r":\d*$", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(netloc, r":\d*$", ""), r"^\[|\]$", ""))
 
 
 def normalize_url(
@@ -30,9 +30,10 @@ def normalize_url(
     scheme, host = F.lower(_part(url, 1)), url_host(url)
     params = F.filter(
         F.split(_part(url, 4), "&"),
-        lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(lx.TRACKING_PARAMS),
+        lambda p: ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(lx.TRACKING_PARAMS),
     )
-    query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")
+    joined = F.array_join(params, "&")
+    query = F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")
     ok = scheme.isin(*schemes) & (host != "")
     if blocked:
         ok = ok & ~host.isin(*blocked)

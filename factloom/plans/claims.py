@@ -275,7 +275,7 @@ def digit_confusion(spark, sf_dir):
 
 @query(
     "sub_claims",
-    f"with {SQL_ALL} select post_id, pos, post_id * 1000 + pos as claim_id, b as claim from sentences",
+    f"with {SQL_ALL} select post_id, pos, post_id * 16777216 + pos as claim_id, b as claim from sentences",
 )
 def sub_claims(spark, sf_dir):
     bench = read(spark, sf_dir, "benchmark").selectExpr("item_id as post_id", "text")

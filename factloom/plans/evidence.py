@@ -75,10 +75,10 @@ def url_ctes(source: str, out: str, keep_bad: bool = False) -> str:
     octets = " + ".join(f"coalesce(try_cast(split_part(host, '.', {i + 1}) as bigint), 0) * {256 ** (3 - i)}" for i in range(4))
     return f"""
 u0 as (select *, regexp_extract(url, {st.q(_URL)}, ['scheme', 'netloc', 'path', 'query']) as p from {source}),
-u1 as (select *, lower(p.scheme) as scheme, lower(regexp_replace(regexp_replace(p.netloc, '^.*@', ''), ':\\d*$', '')) as host,
-  list_filter(string_split(p.query, '&'), lambda x: x <> '' and lower(split_part(x, '=', 1)) not in {st.in_list(lx.TRACKING_PARAMS)}) as params from u0),
+u1 as (select *, lower(p.scheme) as scheme, lower(regexp_replace(regexp_replace(regexp_replace(p.netloc, '^.*@', ''), ':\\d*$', ''), '^\\[|\\]$', '', 'g')) as host,
+  list_filter(string_split(p.query, '&'), lambda x: lower(split_part(x, '=', 1)) not in {st.in_list(lx.TRACKING_PARAMS)}) as params from u0),
 u2 as (select *, case when scheme in ('https', 'http') and host <> '' then concat(scheme, '://', host, p.path,
-    case when len(params) > 0 then concat('?', array_to_string(params, '&')) else '' end) end as norm_url, {octets} as ip from u1),
+    case when array_to_string(params, '&') <> '' then concat('?', array_to_string(params, '&')) else '' end) end as norm_url, {octets} as ip from u1),
 {out} as (select *, regexp_matches(host, '^(\\d{{1,3}}\\.){{3}}\\d{{1,3}}$') and ({private}) as private,
   replace(host, 'www.', '') as domain,
   array_to_string(list_transform(string_split(regexp_replace(split_part(replace(host, 'www.', ''), '.', 1), '([^a-z])', '\\1 ', 'g'), ' '),
@@ -215,11 +215,11 @@ HOSTS = [
     "ministry-of-truth.example.org", "10.0.0.5", "127.0.0.1", "172.20.1.1", "192.168.1.1", "169.254.169.254",
     "100.100.100.200", "8.8.8.8", "localhost", "news18.com", "spam-farm.example.org", "medium.com", "who.int",
 ]
-LINK = f"""case page_id % 3 when 0 then url when 1 then concat('HTTPS://user@', element(HOSTS), ':8443/P/', cast(page_id as varchar(20)), '?UTM_Source=a&id=', cast(page_id as varchar(20)), '&gclid=z#frag')
+LINK = f"""case page_id % 3 when 0 then url when 1 then concat('HTTPS://user@', element(HOSTS), ':8443/P/', cast(page_id as varchar(20)), '?UTM_Source=a&&id=', cast(page_id as varchar(20)), '&gclid=z#frag')
   else case page_id % 4 when 0 then concat('ftp://', url) when 1 then 'not a url' else concat('http://', element(HOSTS), '/q/', cast(page_id % 50 as varchar(20)), '?ref=1') end end"""
 _LINK_SPARK = LINK.replace("element(HOSTS)", f"element_at(array({', '.join(st.q(h) for h in HOSTS)}), cast(page_id % {len(HOSTS)} + 1 as int))")
 _LINK_SQL = LINK.replace("element(HOSTS)", f"list_extract({st.sql_list(HOSTS)}, page_id % {len(HOSTS)} + 1)")
-_PAGE_CLAIM = "page_id % 25"
+_PAGE_CLAIM = "cast(floor(page_id / 10) as bigint)"  # keys grow with the pages
 
 
 def link_rows(spark, sf_dir):
@@ -343,7 +343,7 @@ def packages(spark, sf_dir):
 
 @query("package_status", with_sql(PACKAGE_CTES, "select * from packages"))
 def package_status(spark, sf_dir):
-    return packages(spark, sf_dir)[2].drop("evidence")
+    return packages(spark, sf_dir)[2].drop("evidence", "avg_relevance", "avg_authority")
 
 
 @query(
@@ -529,15 +529,15 @@ def passage_context(spark, sf_dir):
 
 @query(
     "content_changes",
-    """with s as (select url, 1 as snapshot, min(html) as html from pages group by url union all
-  select url, 2, min(case when page_id % 5 = 0 then concat(html, '<!-- edited -->') else html end) from pages group by url)
+    """with s as (select url, page_id * 2 as snapshot, html from pages union all
+  select url, page_id * 2 + 1, case when page_id % 5 = 0 then concat(html, '<!-- edited -->') else html end from pages)
 select url, snapshot, sha256(html) as hash, coalesce(lag(sha256(html)) over (partition by url order by snapshot) <> sha256(html), false) as changed from s""",
 )
 def content_changes(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     edited = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<!-- edited -->"))).otherwise(F.col("html"))
-    first = pages.groupBy("url").agg(F.lit(1).alias("snapshot"), F.min("html").alias("html"))
-    second = pages.groupBy("url").agg(F.lit(2).alias("snapshot"), F.min(edited).alias("html"))
+    first = pages.select("url", (F.col("page_id") * 2).alias("snapshot"), "html")
+    second = pages.select("url", (F.col("page_id") * 2 + 1).alias("snapshot"), edited.alias("html"))
     return ev.content_changes(first.unionByName(second)).select("url", "snapshot", "hash", "changed")
 
 

@@ -15,7 +15,12 @@ from .matching import FULL, keyed_claims, verdict_rows
 from .tables import SQL_LOG, read, request_log
 
 AS_OF = "2024-02-01 00:00:00"
-NOW = F.lit(AS_OF).cast("timestamp")
+
+
+def now():
+    return F.lit(AS_OF).cast("timestamp")
+
+
 _AGE = "(claim_id * 13) % 200000"
 
 # stored verdicts of documents: some entries broken on purpose
@@ -40,7 +45,7 @@ def stored_cache(spark, sf_dir):
     """Verdicts stored at different times, one per distinct benchmark claim of two in three."""
     claims = keyed_claims(spark, sf_dir).filter("claim_id % 3 <> 0")
     base = claims.groupBy("claim_hash").agg(F.min("claim_id").alias("claim_id"))
-    created = F.timestamp_seconds(F.unix_seconds(NOW) - F.expr(_AGE))
+    created = F.timestamp_seconds(F.unix_seconds(now()) - F.expr(_AGE))
     return base.select(
         "claim_hash",
         F.expr("element_at(array('SUPPORTED','FALSE','MISLEADING','UNVERIFIED'), cast(claim_id % 4 + 1 as int))").alias("verdict"),
@@ -62,7 +67,7 @@ cache as (select claim_hash, list_extract(['SUPPORTED','FALSE','MISLEADING','UNV
 )
 def cache_lookup(spark, sf_dir):
     claims = keyed_claims(spark, sf_dir).select("claim_id", "claim_hash")
-    return ca.cache_lookup(claims, stored_cache(spark, sf_dir), NOW).select("claim_id", "hit", "verdict", "confidence")
+    return ca.cache_lookup(claims, stored_cache(spark, sf_dir), now()).select("claim_id", "hit", "verdict", "confidence")
 
 
 @query(
@@ -78,8 +83,8 @@ def cache_upsert(spark, sf_dir):
         "claim_hash", F.lit("UNVERIFIED").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("none found").alias("explanation"),
         F.lit("FACT_CHECK_API").alias("source_tier"), F.lit("NO_MATCH").alias("outcome"),
     )
-    merged = ca.cache_upsert(cache, fresh, NOW, ca.outcome_ttl(F.col("outcome")))
-    return merged.select("claim_hash", "verdict", (F.unix_seconds("expires_at") - F.unix_seconds(NOW)).alias("seconds_left"))
+    merged = ca.cache_upsert(cache, fresh, now(), ca.outcome_ttl(F.col("outcome")))
+    return merged.select("claim_hash", "verdict", (F.unix_seconds("expires_at") - F.unix_seconds(now())).alias("seconds_left"))
 
 
 @query(
@@ -152,11 +157,11 @@ select url, last_page, (last_page * 37) % 5000 + 3600 > 5000 as live from p""",
 )
 def page_cache(spark, sf_dir):
     """Stored page content: newest copy per url, live for an hour after it was fetched."""
-    fetched = F.timestamp_seconds(F.unix_seconds(NOW) - 5000 + (F.col("page_id") * 37) % 5000)
+    fetched = F.timestamp_seconds(F.unix_seconds(now()) - 5000 + (F.col("page_id") * 37) % 5000)
     rows = read(spark, sf_dir, "pages").select("url", "page_id", fetched.alias("fetched"))
     newest = rows.groupBy("url").agg(F.max_by("fetched", "page_id").alias("created_at"), F.max("page_id").alias("last_page"))
     entries = newest.withColumn("expires_at", F.timestamp_seconds(F.unix_seconds("created_at") + 3600))
-    return entries.select("url", "last_page", (F.col("expires_at") > NOW).alias("live"))
+    return entries.select("url", "last_page", (F.col("expires_at") > now()).alias("live"))
 
 
 # --------------------------------------------------------------- cascade
@@ -188,7 +193,7 @@ def cascade_inputs(spark, sf_dir):
 @query("cascade", f"{CASCADE_SQL} select claim_id, cached, outcome, verdict, confidence, source_tier from casc")
 def cascade(spark, sf_dir):
     claims, cache, matches, model = cascade_inputs(spark, sf_dir)
-    return cs.verify(claims, cache, matches, model, NOW).select(
+    return cs.verify(claims, cache, matches, model, now()).select(
         "claim_id", "cached", "outcome", "verdict", "confidence", "source_tier"
     )
 
@@ -200,7 +205,7 @@ where outcome not in ('HIT', 'ERROR') group by all""",
 )
 def cache_negative_ttl(spark, sf_dir):
     claims, cache, matches, model = cascade_inputs(spark, sf_dir)
-    rows = cs.to_cache_rows(cs.verify(claims, cache, matches, model, NOW))
+    rows = cs.to_cache_rows(cs.verify(claims, cache, matches, model, now()))
     return rows.groupBy("outcome", "ttl").agg(F.count("*").alias("n"))
 
 
@@ -219,7 +224,7 @@ def ablation(spark, sf_dir):
             "no_model": {"cache": cache, "matches": matches},
             "no_cache_no_model": {"matches": matches},
         },
-        NOW,
+        now(),
     )
     return runs.groupBy("config", "verdict").agg(F.count("*").alias("n"))
 

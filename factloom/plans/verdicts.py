@@ -164,18 +164,50 @@ def verdict_rules(spark, sf_dir):
     return gr.apply_rules(df).select("claim_id", "verdict", round_half_up(F.col("confidence"), 6).alias("confidence"))
 
 
+def _note(column: str, before: str, after: str) -> str:
+    return f"list_transform({column}, lambda x: concat({st.q(before)}, x, {st.q(after)}))"
+
+
+_NO_MODEL = f"n is null or status in {st.in_list(lx.NO_MODEL_STATUSES)}"
+_COUNT_NOTES = ", ".join(
+    f"case when firm and f{k + 2} >= {t} and evidence_count < {least} then concat('RULE: Confidence ', printf('%.1f', f{k + 2}), ' requires ≥{least} evidence items, have ', evidence_count) end"
+    for k, (t, least) in enumerate(lx.EVIDENCE_COUNT_RULES)
+)
+_STATUS_FORCED = f"verdict <> 'UNVERIFIED' and evidence_count > 0 and status in {st.in_list(lx.UNVERIFIED_STATUSES)}"
+NOTES_SQL = f"""list_filter(list_concat({_note('invalid_ids', "ERROR: Cited evidence ID '", "' not found in context")},
+  {_note('bad_numbers', "WARNING: Number '", "' in reasoning not found in evidence")}, {_note('bad_names', "WARNING: Entity '", "' in reasoning not found in evidence")},
+  {_note('bad_negations', "WARNING: Evidence ", " contains negation but reasoning may not reflect it")}, {_note('bad_years', "WARNING: Year '", "' mentioned in reasoning but not found in evidence")},
+  list_transform(unsupported, lambda x: concat('WARNING: Potentially unsupported factual claim in reasoning: ', substring(x, 1, 100), '...')),
+  list_transform(its, lambda t: case when list_contains(supporting, t.id) and t.d = 'CONTRADICTS' then concat('WARNING: Evidence ', t.id, ' classified as CONTRADICTS but cited as SUPPORTS') end),
+  list_transform(its, lambda t: case when list_contains(contradicting, t.id) and t.d = 'SUPPORTS' then concat('WARNING: Evidence ', t.id, ' classified as SUPPORTS but cited as CONTRADICTS') end),
+  [case when {_STATUS_FORCED} then concat('RULE: Retrieval status ', status, ' forces UNVERIFIED') end,
+   case when status = 'CONFLICTING_EVIDENCE' and v1 in ('SUPPORTED', 'FALSE') and f1 > 0.7 then 'RULE: Conflicting evidence with high confidence, reducing confidence' end,
+   {_COUNT_NOTES},
+   case when v1 = 'MISLEADING' and not regexp_matches(lower(reasoning), {st.q('|'.join(lx.MISLEADING_CUES))}) then 'RULE: MISLEADING verdict should explain missing context/exaggeration' end,
+   case when firm and domains < 2 and f6 > 0.7 then 'RULE: Single domain with high confidence, reducing confidence' end]), lambda x: x is not null)"""
+
+
 @query(
     "validated_verdicts",
-    f"""with {RULE_SQL}, every as (select d.claim_id, d.status, p.evidence_count as n, r.v1, r.f7, len(r.invalid_ids) = 0 as grounded, r.claim_id is not null as ok
-  from docs1 d left join prof p using (claim_id) left join ruled r using (claim_id))
-select claim_id, case when n is null or status in {st.in_list(lx.NO_MODEL_STATUSES)} then 'UNVERIFIED' when ok then v1 else 'AI_ERROR' end as verdict,
-  case when n is null or status in {st.in_list(lx.NO_MODEL_STATUSES)} or not ok then 0.0::double else {st.half_up('f7', 6)} end as confidence,
-  case when n is null or status in {st.in_list(lx.NO_MODEL_STATUSES)} or not ok then null else grounded end as grounded from every""",
+    f"""with {RULE_SQL}, every as (select d.claim_id, d.status, p.evidence_count as n, r.v1, r.f7, len(r.invalid_ids) = 0 as grounded, r.claim_id is not null as ok, r.validation,
+    case when r.forced then concat('Retrieval status: ', d.status) else r.summary end as summary,
+    case when r.forced then concat(r.reasoning, ' [Forced UNVERIFIED: Retrieval status: ', d.status, ']') else r.reasoning end as reasoning
+  from docs1 d left join prof p using (claim_id) left join (select *, {_STATUS_FORCED} as forced,
+    array_to_string(list_sort(list_transform({NOTES_SQL}, lambda w: concat('[VALIDATION] ', w))), chr(10)) as validation from ruled) r using (claim_id))
+select claim_id, case when {_NO_MODEL} then 'UNVERIFIED' when ok then v1 else 'AI_ERROR' end as verdict,
+  case when {_NO_MODEL} or not ok then 0.0::double else {st.half_up('f7', 6)} end as confidence,
+  case when {_NO_MODEL} or not ok then null else grounded end as grounded,
+  case when n is null then 'No evidence available for this claim.' when {_NO_MODEL} then concat('Insufficient evidence: ', status) when ok then summary else 'Invalid model output' end as summary,
+  case when {_NO_MODEL} or not ok then '' else reasoning end as reasoning,
+  case when {_NO_MODEL} or not ok then '' else validation end as validation from every""",
 )
 def validated_verdicts(spark, sf_dir):
     out = outputs(spark, sf_dir)
     final = gr.validate_verdicts(out.select("claim_id", "raw"), out.select("claim_id", "status"), evidence_lines(spark, sf_dir))
-    return final.select("claim_id", "verdict", round_half_up(F.col("confidence"), 6).alias("confidence"), "grounded")
+    notes = F.array_join(F.array_sort(F.split("validation", "\n")), "\n")
+    return final.select(
+        "claim_id", "verdict", round_half_up(F.col("confidence"), 6).alias("confidence"), "grounded", "summary", "reasoning", notes.alias("validation")
+    )
 
 
 @query(
