@@ -62,7 +62,7 @@ def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def close() -> pa.RecordBatch:
             held.sort(key=lambda r: (r[0] is None, r[0] or 0))
-            row = [(part << 32) + made, [r[0] for r in held], [r[1] for r in held], [len(r[2]) for r in held], pack(b"".join(r[2] for r in held), 3)]
+            row = [(part << 32) + made, [r[0] for r in held], [r[1] for r in held], [len(r[2]) for r in held], pack(b"".join(r[2] for r in held), 6)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kind, strict=True)], schema=kind)
 
         for b in batches:

@@ -19,10 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import shards as sh
-from .common import stored
 
 LENGTH = 100
 GRAM = 24
@@ -284,6 +282,21 @@ def _bucket_of(h: np.ndarray, count: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(count)).astype(np.int64)
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The hash bits that bucket numbers don't use; a rare clash only adds a candidate."""
+    return h & np.uint64((1 << 40) - 1)
+
+
+def _five(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(keys, kind="stable")
     cuts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1], True]) if len(keys) else np.zeros(1, int)
@@ -291,6 +304,10 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(keys[order[b]]), order[b:e]
 
 
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -312,32 +329,39 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         for s, _ in sh.each_shard(batches):
             _, _, _, anchor = anchors(s.bytes, s.bounds, length)
             h, n = np.unique(gram_hashes(s.bytes, anchor) if len(anchor) else np.empty(0, np.uint64), return_counts=True)
-            rows = [(b, s.number, h[at].tobytes() + (n[at] > 1).tobytes()) for b, at in _groups(_bucket_of(h, count))]
-            yield _batch(rows, ["bucket", "shard", "grams"], [pa.int32(), pa.int64(), pa.binary()])
+            rows = [(b, s.number, _five(_short(h[at])), np.packbits(n[at] > 1).tobytes()) for b, at in _groups(_bucket_of(h, count))]
+            yield _batch(rows, ["bucket", "shard", "grams", "often"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [(r["shard"], r["grams"]) for b in batches for r in b.to_pylist()]
-        if not asked:
-            return
-        grams = [np.frombuffer(g[: len(g) // 9 * 8], "<u8") for _, g in asked]
-        often = [np.frombuffer(g[len(g) // 9 * 8 :], bool) for _, g in asked]
-        every, n = np.unique(np.concatenate([*grams, *(g[o] for g, o in zip(grams, often, strict=True))]), return_counts=True)
-        again = every[n > 1]
-        for (shard, _), g in zip(asked, grams, strict=True):
-            at = np.minimum(np.searchsorted(again, g), max(0, len(again) - 1))
-            yield _batch([(shard, g[again[at] == g].tobytes() if len(again) else b"")], ["shard", "answer"], [pa.int64(), pa.binary()])
-
-    questions = packed.mapInArrow(ask, "bucket int, shard long, grams binary")
+        asked: dict[int, list[dict]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                asked.setdefault(r["bucket"], []).append(r)
+        for rows in asked.values():
+            grams = [_from_five(r["grams"]) for r in rows]
+            often = [g[np.unpackbits(np.frombuffer(r["often"], np.uint8), count=len(g)).astype(bool)] for g, r in zip(grams, rows, strict=True)]
+            every, n = np.unique(np.concatenate([*grams, *often]), return_counts=True)
+            again = every[n > 1]
+            if len(again):
+                found = [(r["shard"], r["bucket"], _five(g[_among(g, again)])) for r, g in zip(rows, grams, strict=True)]
+                yield _batch([(s, b.to_bytes(4, "little") + g) for s, b, g in found if g], ["shard", "answer"], [pa.int64(), pa.binary()])
+
+    questions = packed.mapInArrow(ask, "bucket int, shard long, grams binary, often binary")
     answers = sh.by_bucket(questions).mapInArrow(repeated, "shard long, answer binary")
 
+    piece = ["bucket", "shard", "data"], [pa.int32(), pa.int64(), pa.binary()]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (found,) in sh.each_shard(batches):
-            again = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in found])) if found else np.empty(0, np.uint64)
+            again = {int.from_bytes(x[:4], "little"): np.sort(_from_five(x[4:])) for x in found or []}
             doc, first, last, anchor = anchors(s.bytes, s.bounds, length)
-            if not len(again) or not len(anchor):
+            if not again or not len(anchor):
                 continue
             h = gram_hashes(s.bytes, anchor)
-            keep = again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h
+            keep = np.zeros(len(h), bool)
+            for b, at in _groups(_bucket_of(h, count)):
+                if b in again:
+                    keep[at] = _among(_short(h[at]), again[b])
             doc, first, last, anchor, h = (v[keep] for v in (doc, first, last, anchor, h))
             rows = contexts(s.bytes, first, last, anchor, length)
             low, high = (anchor - last).astype(np.uint8), (anchor - first).astype(np.uint8)
@@ -346,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             if copy.any():
                 spans = np.zeros(int(copy.sum()), _SPAN)
                 spans["doc"], spans["first"], spans["last"] = doc[copy], first[copy] - s.bounds[doc[copy]], last[copy] - s.bounds[doc[copy]]
-                yield _batch([(None, s.number, sh.pack(spans.tobytes()))], ["bucket", "shard", "data"], [pa.int32(), pa.int64(), pa.binary()])
+                yield _batch([(s.number % count, s.number, sh.pack(spans.tobytes()))], *piece)  # with its shard: ready spans
             member = np.zeros(len(rows), _MEMBER)
             ids = np.array([0 if i is None else i for i in s.ids], np.int64)
             null = np.array([i is None for i in s.ids], np.uint8)
@@ -356,16 +380,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for b, at in _groups(_bucket_of(h[left], count)):
                 at = left[at]
                 data = len(at).to_bytes(8, "little") + member[at].tobytes() + rows[at].tobytes()
-                yield _batch([(b, s.number, sh.pack(data))], ["bucket", "shard", "data"], [pa.int32(), pa.int64(), pa.binary()])
+                yield _batch([(b, None, sh.pack(data))], *piece)
 
-    pieces = stored(sh.with_answers(packed, answers).mapInArrow(cut, "bucket int, shard long, data binary"), "pieces")
+    pieces = sh.with_answers(packed, answers).mapInArrow(cut, "bucket int, shard long, data binary")
     size = length + length - GRAM
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for b in batches:
-            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(data)
+            for bucket, shard, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard is not None:
+                    yield _batch([(shard, data)], ["shard", "answer"], [pa.int64(), pa.binary()])
+                else:
+                    held.setdefault(bucket, []).append(data)
         for blobs in held.values():
             members, rows = [], []
             for data in map(sh.unpack, blobs):
@@ -385,8 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             out = [(shard, sh.pack(spans[at].tobytes())) for shard, at in _groups(member["shard"][i])]
             yield _batch(out, ["shard", "answer"], [pa.int64(), pa.binary()])
 
-    compared = sh.by_bucket(pieces.filter("bucket is not null").select("bucket", "data")).mapInArrow(compare, "shard long, answer binary")
-    spans = pieces.filter("bucket is null").select("shard", F.col("data").alias("answer")).unionByName(compared)
+    spans = sh.by_bucket(pieces).mapInArrow(compare, "shard long, answer binary")
     result = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,behind:long>>, kept binary"
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))
 
