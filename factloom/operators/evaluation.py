@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
+from ..session import ensure_checkpoint_dir
 from ..functions.text import ratio
 from ..functions.udfs import word_edit_distance
 
@@ -142,15 +143,53 @@ def ece_brier(df: DataFrame, bins: int = 10) -> DataFrame:
     )
 
 
+def exact_percentiles(df: DataFrame, value: str, by: tuple[str, ...], points: dict[str, float]) -> DataFrame:
+    """``*by, n`` and an interpolated percentile per point, without gathering a group in one task.
+
+    Values are counted, dealt over range partitions by (group, value), and summed up inside
+    each partition; partition totals, at most one row per partition and group, give the
+    offsets.  A percentile lies between the first values whose count from below passes its
+    two neighbouring places.  Null values are left out; the dealt counts are checkpointed
+    because partition numbers must not change between the two readings.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()).checkpoint()
+    groups = Window.partitionBy(*by)
+    sums = dealt.groupBy(*by, "_part").agg(F.sum("_f").alias("_here"))
+    sums = sums.select(
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"),
+        (F.sum("_here").over(groups.orderBy("_part")) - F.col("_here")).alias("_before"), F.sum("_here").over(groups).alias("n"),
+    )
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = Window.partitionBy(*by, "_part").orderBy("_v")
+    placed = dealt.withColumn("_upto", F.sum("_f").over(inside)).join(sums, same).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    sides = {"lo": F.floor, "hi": F.ceil}
+    found = placed.groupBy(*by).agg(
+        F.max("n").alias("n"),
+        *[
+            F.min(F.when(F.col("_upto") > side((F.col("n") - 1) * F.lit(p)), F.col("_v"))).alias(f"_{name}_{s}")
+            for name, p in points.items() for s, side in sides.items()
+        ],
+    )
+
+    def between(name: str, p: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(p)
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return found.select(*by, "n", *[between(name, p).alias(name) for name, p in points.items()])
+
+
 def latency_percentiles(log: DataFrame, *by: str, approximate: bool = False) -> DataFrame:
-    """P50/P95/P99; exact by default on pre-counted values, sketches on request."""
-    points = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    """P50/P95/P99; exact by default, sketches on request."""
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     if approximate:
-        aggs = [F.percentile_approx("latency_ms", F.lit(p), F.lit(10000)).alias(n) for n, p in points]
+        aggs = [F.percentile_approx("latency_ms", F.lit(p), F.lit(10000)).alias(n) for n, p in points.items()]
         return log.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
-    counted = log.groupBy(*by, "latency_ms").agg(F.count("*").alias("_f"))
-    aggs = [F.percentile("latency_ms", F.lit(p), F.col("_f")).alias(n) for n, p in points]
-    return counted.groupBy(*by).agg(F.sum("_f").alias("n"), *aggs)
+    return exact_percentiles(log, "latency_ms", by, points)
 
 
 def latency_histogram(log: DataFrame, low: float, high: float, bins: int) -> DataFrame:

@@ -70,3 +70,14 @@ def test_rules_count_the_package_not_the_context(spark):
     many, few = verdicts(spark, "SUCCESS", "SUPPORTED", 0.75, 5, 3), verdicts(spark, "SUCCESS", "SUPPORTED", 0.75, 1, 1)
     assert many.confidence == 0.75 and "RULE" not in many.validation and many.grounded
     assert few.confidence < 0.7 and "RULE: Confidence 0.8 requires ≥2 evidence items, have 1" in few.validation.replace("0.7 ", "0.8 ")
+
+
+def test_percentiles_of_one_hot_group(spark):
+    from factloom.operators import evaluation
+
+    log = spark.range(4000).selectExpr("if(id % 10 < 9, 'hot', 'cold') as tier", "cast((id * 7919) % 1009 as double) as latency_ms")
+    log = log.unionByName(spark.createDataFrame([("one", 3.0), ("cold", None)], "tier string, latency_ms double"))
+    got = {r.tier: r for r in evaluation.latency_percentiles(log, "tier").collect()}
+    want = log.filter("latency_ms is not null").groupBy("tier").agg(*[F.percentile("latency_ms", F.lit(p)).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]).collect()
+    assert {r.tier: (r.p50, r.p95, r.p99) for r in want} == {k: (r.p50, r.p95, r.p99) for k, r in got.items()}
+    assert got["hot"].n == 3600 and evaluation.latency_percentiles(log).count() == 1
