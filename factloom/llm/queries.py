@@ -105,4 +105,18 @@ with t as (select doc_id, length(coalesce(text, '')) as points,
 r as (select doc_id, sha256(n) as text_sha256, count(*) over (partition by n) as group_size,
     first_value(doc_id) over (partition by n order by points desc, doc_id) as keep_id from t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from r""",
+    "op6_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, p, substring(h, 2 * p + 1, 200) as s from (select *, unnest(range(n - 99)) as p from d where n >= 100)),
+again as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) as k from w) where k > 1),
+edges as (select *, coalesce(p > lag(p) over (partition by doc_id order by p) + 100, true) as opens from again),
+runs as (select *, sum(case when opens then 1 else 0 end) over (partition by doc_id order by p) as run from edges),
+spans as (select doc_id, min(p) as b, max(p) + 100 as e from runs group by doc_id, run),
+pieces as (select s.doc_id, s.b, s.e, coalesce(lag(s.e) over (partition by s.doc_id order by s.b), 0) as kept_from from spans s),
+kept as (select p.doc_id, count(*) as n_spans, sum(p.e - p.b) as n_removed, max(p.e) as behind,
+    string_agg(substring(d.h, 2 * p.kept_from + 1, 2 * (p.b - p.kept_from)), '' order by p.b) as begun
+  from pieces p join d on d.doc_id = p.doc_id group by p.doc_id)
+select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(case when k.doc_id is null then d.h else concat(begun, substring(d.h, 2 * behind + 1)) end)) as kept_sha256
+from d left join kept k on k.doc_id = d.doc_id""",
 }
