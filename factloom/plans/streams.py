@@ -63,7 +63,7 @@ def stream_fact_checks(spark, sf_dir):
         best = mt.match_fact_checks(keyed, checks)
         return keyed.select("match_key", "claim_id").join(best, "match_key").select("claim_id", "fc_id", "match_type")
 
-    folder = jobs.work_folder(spark)
+    folder = jobs.work_folder(spark, "stream")
     jobs.each_batch(posts, match, f"{folder}/rows", f"{folder}/state").awaitTermination()
     return spark.read.schema("claim_id long, fc_id long, match_type string").parquet(f"{folder}/rows/*")
 

@@ -17,13 +17,13 @@ def write_evidence_packages(packages: DataFrame, path: str, mode: str = "append"
 
 
 def write_cache(cache: DataFrame, path: str, version: str = lx.CACHE_SCHEMA_VERSION) -> None:
-    """Stored as one generation per version, partitioned by the first hash digit.
+    """Stored as one generation per version, partitioned by the first two hash digits.
 
-    Rows are clustered by that digit first, so each partition is few large files.  A
-    new generation must go to a new ``path``: a table is never overwritten while read.
+    Rows are dealt by ranges of the hash, so each partition is few large files and any
+    number of tasks can write.  A new generation must go to a new ``path``: a table is never overwritten while read.
     """
     out = cache.withColumn("version", F.lit(version)).withColumn("slot", F.substring("claim_hash", 1, 2))
-    out.repartition("slot").write.mode("errorifexists").partitionBy("version", "slot").parquet(path)
+    out.repartitionByRange("slot", "claim_hash").write.mode("errorifexists").partitionBy("version", "slot").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, version: str = lx.CACHE_SCHEMA_VERSION) -> DataFrame:

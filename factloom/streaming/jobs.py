@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import lexicon as lx
 from ..operators.limits import client_sessions, request_metrics
-from ..session import ensure_checkpoint_dir
+from ..session import work_folder
 
 WATERMARK = "10 minutes"
 
@@ -129,15 +128,10 @@ def each_batch(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def work_folder(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process everything that is there and return the written table."""
     spark = stream.sparkSession
-    folder = work_folder(spark)
+    folder = work_folder(spark, "stream")
     query = (
         stream.writeStream.format("parquet").outputMode(mode)
         .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows")

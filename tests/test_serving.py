@@ -51,7 +51,7 @@ def test_rate_limit_batch_and_stream(spark):
     want = slow_limit(rows, 60_000, 10)
     assert any(want.values())
     assert {r.request_id: r.rejected for r in li.rate_limit(log).collect()} == want
-    folder = jobs.work_folder(spark)
+    folder = jobs.work_folder(spark, "stream")
     log.write.parquet(f"{folder}/in")
     stream = jobs.stream_files(spark, f"{folder}/in", log.schema)
     got = jobs.run_available(jobs.stream_rate_limit(stream))
@@ -60,7 +60,7 @@ def test_rate_limit_batch_and_stream(spark):
 
 def test_stream_cache_over_many_batches(spark):
     rows = sorted(_rows(4), key=lambda r: (r[3], r[0]))
-    folder = jobs.work_folder(spark)
+    folder = jobs.work_folder(spark, "stream")
     for i in range(3):
         _log(spark, rows[i * 200 : (i + 1) * 200]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = jobs.stream_files(spark, f"{folder}/in", _log(spark, rows[:1]).schema, files_per_trigger=1)
