@@ -5,9 +5,10 @@ tokens of each, under *any* fixed order of tokens.  Joining on these prefixes
 alone finds every pair; common tokens hardly ever enter a prefix, so a token that
 occurs in a third of all rows does not become a join key for them.
 
-The order uses token counts kept in a fixed number of hash buckets: the count
-table has at most ``BUCKETS`` rows whatever the data size, so it can be broadcast,
-and collisions change only the order, never the result.
+The order uses token counts kept in a fixed number of hash buckets: one array of
+``BUCKETS`` numbers whatever the data size, which a scalar subquery gives to every
+task, so tokens are ranked inside their row.  Collisions change only the order, never
+the result.
 """
 
 from __future__ import annotations
@@ -41,35 +42,31 @@ def _bucket(token: Column) -> Column:
 
 
 def token_order(sets: DataFrame) -> DataFrame:
-    """Occurrences per hash bucket: at most ``BUCKETS`` rows."""
-    return (
+    """One row with the occurrences per hash bucket: an array of ``BUCKETS`` counts."""
+    counted = (
         sets.select(F.explode("tokens").alias("token"))
         .groupBy(_bucket(F.col("token")).alias("bucket"))
         .agg(F.count("*").alias("uses"))
     )
+    every = sets.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
+    filled = every.join(counted, "bucket", "left").select(F.struct("bucket", F.coalesce("uses", F.lit(0)).alias("uses")).alias("b"))
+    return filled.agg(F.sort_array(F.collect_list("b"))["uses"].alias("uses"))
 
 
 def _needed(size: Column, threshold: float) -> Column:
     return F.ceil(size * F.lit(threshold) - F.lit(1e-9))
 
 
-def _prefixes(sets: DataFrame, order: DataFrame, threshold: float, side: str) -> DataFrame:
-    """(set_id, size, place, token) for the prefix tokens of each set."""
-    ranked = (
-        sets.select("set_id", F.explode(F.array_distinct("tokens")).alias("token"))
-        .withColumn("bucket", _bucket(F.col("token")))
-        .join(F.broadcast(order), "bucket", "left")
-        .groupBy("set_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token"))
-            ).alias("ranked")
-        )
+def _prefixes(sets: DataFrame, uses: Column, threshold: float, side: str) -> DataFrame:
+    """(set_id, size, place, token) for the prefix tokens of each set, ranked inside the row."""
+    ranked = F.sort_array(
+        F.transform(F.array_distinct("tokens"), lambda t: F.struct(F.get(F.col("_uses"), _bucket(t).cast("int")).alias("uses"), t.alias("token")))
     )
+    df = sets.select("set_id", "tokens", uses.alias("_uses")).select("set_id", ranked.alias("ranked"))
     size = F.size("ranked")
     kept = F.slice("ranked", F.lit(1), (size - _needed(size, threshold) + 1).cast("int"))
     return (
-        ranked.select("set_id", size.alias("size"), F.posexplode(kept).alias("place", "entry"))
+        df.select("set_id", size.alias("size"), F.posexplode(kept).alias("place", "entry"))
         .select("set_id", "size", "place", "entry.token")
         .select(*[F.col(c).alias(c if c == "token" else f"{side}_{c}") for c in ("set_id", "size", "place", "token")])
     )
@@ -89,11 +86,9 @@ def similar_sets(
     """
     other = left if right is None else right
     rows = other.select("set_id", "tokens") if right_rows is None else right_rows
-    order = token_order(
-        left.select("tokens") if right is None else left.select("tokens").union(right.select("tokens"))
-    )
-    a = _prefixes(left, order, threshold, "l")
-    b = _prefixes(other, order, threshold, "r")
+    uses = token_order(left.select("tokens") if right is None else left.select("tokens").union(right.select("tokens"))).scalar()
+    a = _prefixes(left, uses, threshold, "l")
+    b = _prefixes(other, uses, threshold, "r")
     overlap_needed = F.ceil(
         F.lit(threshold / (1 + threshold)) * (F.col("l_size") + F.col("r_size")) - F.lit(1e-9)
     )
