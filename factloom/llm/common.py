@@ -37,6 +37,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: the lineage ends there and partitions stay as they are."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_path(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def width(spark: SparkSession) -> int:
     """Tasks for few rows that carry much work, which adaptive execution would merge."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shards as sh
-from .common import stored
+from .common import checkpointed
 
-DEPTH = 6
+DEPTH = 5
 #: marks the end of a text; no UTF-8 text has this byte
 END = 0xFF
 #: stands before the first byte of a text
@@ -92,35 +93,25 @@ def framed(s: sh.Shard, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shard_grams(s: sh.Shard, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of a shard and how often its training texts (flag set) have them."""
+    """Distinct grams of a shard, sorted, and how often its training texts (flag set) have them."""
     data, begins = framed(s, depth)
     train = np.array(s.flags, bool)
     codes, counts = [], []
     for part, weight in ((train, 1), (~train, 0)):
-        found = []
-        for at in _text_runs(begins, part):
-            for i in range(at[0], at[1], _PIECE):
-                piece = gram_codes(data[i : min(i + _PIECE + depth, at[1])], depth)
-                found.append(np.sort(_inside(piece)))
-        if found:
-            u, n = np.unique(np.concatenate(found), return_counts=True)
-            codes.append(u)
-            counts.append(n * weight)
+        runs = np.flatnonzero(np.diff(np.r_[False, part, False].astype(np.int8))).reshape(-1, 2)
+        if not len(runs):
+            continue
+        found = np.concatenate([gram_codes(data[begins[x] : begins[y]], depth) for x, y in runs])
+        found = found[(found & np.uint64(0xFF)) != START]  # start marks are no text
+        found.sort()
+        begin = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+        codes.append(found[begin])
+        counts.append(np.diff(np.r_[begin, len(found)]) * weight)
     if not codes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return _summed(np.concatenate(codes), np.concatenate(counts))
 
 
-def _text_runs(begins: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.r_[False, part, False].astype(np.int8))).reshape(-1, 2)
-    return [(int(begins[a]), int(begins[b])) for a, b in edge]
-
-
-def _inside(codes: np.ndarray) -> np.ndarray:
-    """Without grams whose byte is a start mark of the next text."""
-    return codes[(codes & np.uint64(0xFF)) != START]
-
-
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
@@ -131,112 +122,149 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 # ------------------------------------------------------------------ trees
 
 
-class Level:
-    """Nodes of one depth: key = context * 256 + bit prefix (1..255), with counts, sorted by key."""
+class Depth:
+    """Trees at one depth over the sorted (context, byte) pairs that occur there.
 
-    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray):
-        keys, zeros, ones = [], [], []
+    For each of the eight decisions: ``node`` of every pair, and of every node its counts,
+    estimate, own weight and mixture.  Pairs in order are also in order of every prefix of
+    their byte, so nodes are runs.
+    """
+
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
+        self.pairs, self.counts = pairs, counts
+        self.node, self.first, self.zeros, self.ones, self.kt, self.weight, self.mixed = ([] for _ in range(7))
+        for j in range(8):
+            key = pairs >> np.uint64(8 - j)
+            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
+            first = np.flatnonzero(new)
+            bit = ((pairs >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
+            zeros, ones = (np.add.reduceat(counts * x, first) if len(first) else counts[:0] for x in (1 - bit, bit))
+            kt = np.where(zeros + ones > 0, log_kt(zeros, ones), 0.0)
+            for values, value in zip(
+                (self.node, self.first, self.zeros, self.ones, self.kt, self.weight, self.mixed),
+                (np.cumsum(new) - 1, first, zeros, ones, kt, np.ones(len(first)), kt), strict=True,
+            ):
+                values.append(value)
+
+    def weigh(self, j: int, product: np.ndarray) -> None:
+        """Mix decision j's nodes with the products of their children."""
+        self.weight[j] = own_weight(self.kt[j], product)
+        self.mixed[j] = np.logaddexp(self.kt[j], product) - np.log(2)
+        self.mixed[j][self.zeros[j] + self.ones[j] == 0] = 0.0
+
+    def estimate(self, j: int, at: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+        """Probability of a bit at nodes; ``deeper`` is that of the next depth, nan where unknown."""
+        zeros, ones, w = self.zeros[j][at], self.ones[j][at], self.weight[j][at]
+        own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1.0)
+        p = np.where(np.isnan(deeper), own, w * own + (1 - w) * deeper)
+        return np.where(zeros + ones > 0, p, deeper)
+
+
+def grow(codes: np.ndarray, counts: np.ndarray, shallowest: int, depth: int) -> list[tuple[Depth, np.ndarray]]:
+    """Weighted depths from ``depth`` up to ``shallowest``, each with the pair of every gram in it."""
+    out = [(Depth(codes, counts), np.arange(len(codes)))]
+    for d in range(depth - 1, shallowest - 1, -1):
+        below, of_gram = out[-1]
+        pairs = ((below.pairs >> np.uint64(16)) << np.uint64(8)) | (below.pairs & np.uint64(0xFF))
+        own, up = np.unique(pairs, return_inverse=True)
+        level = Depth(own, np.bincount(up, below.counts, len(own)).astype(np.int64))
         for j in range(8):
-            prefix = (symbols >> np.uint64(8 - j)) | np.uint64(1 << j)
-            bit = ((symbols >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-            key = contexts * np.uint64(256) + prefix
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
-            keys.append(k[begin])
-            if len(k):
-                zeros.append(np.add.reduceat((counts * (1 - bit))[order], begin))
-                ones.append(np.add.reduceat((counts * bit)[order], begin))
-        self.key = np.concatenate(keys)
-        order = np.argsort(self.key, kind="stable")
-        self.key = self.key[order]
-        self.zeros = np.concatenate(zeros)[order] if zeros else np.empty(0, np.int64)
-        self.ones = np.concatenate(ones)[order] if ones else np.empty(0, np.int64)
-        self.kt = log_kt(self.zeros, self.ones)
-        self.weight = np.ones(len(self.key))
-        self.mixed = self.kt.copy()
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.key):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return at, self.key[at] == keys
-
-    def weigh(self, children: Level) -> None:
-        """Mix with the product of the children's probabilities."""
-        parent = (children.key >> np.uint64(16)) * np.uint64(256) + (children.key & np.uint64(0xFF))
-        at, _ = self.find(parent)
-        product = np.bincount(at, children.mixed, len(self.key))
-        self.weight = own_weight(self.kt, product)
-        self.mixed = np.logaddexp(self.kt, product) - np.log(2)
-
-
-def levels(codes: np.ndarray, counts: np.ndarray, shallowest: int, depth: int) -> dict[int, Level]:
-    """Weighted nodes from ``depth`` up to ``shallowest``, of the grams that training has."""
-    seen = counts > 0
-    codes, counts = codes[seen], counts[seen]
-    symbols = codes & np.uint64(0xFF)
-    out: dict[int, Level] = {}
-    for d in range(depth, shallowest - 1, -1):
-        contexts = codes >> np.uint64(8 * (depth - d + 1))
-        pair, n = _summed(contexts * np.uint64(256) + symbols, counts)
-        out[d] = Level(pair >> np.uint64(8), pair & np.uint64(0xFF), n)
-        if d < depth:
-            out[d].weigh(out[d + 1])
+            parent = level.node[j][up[below.first[j]]]
+            level.weigh(j, np.bincount(parent, below.mixed[j], len(level.kt[j])))
+        out.append((level, up[of_gram]))
     return out
 
 
-def gram_scores(codes: np.ndarray, below: dict[int, Level], top: dict[int, Level], depth: int) -> np.ndarray:
-    """log10 probability of every gram's byte in its context."""
-    symbols = codes & np.uint64(0xFF)
+@dataclass
+class Top:
+    """Nodes of depth 0 and 1 of the whole corpus."""
+
+    zero: Depth
+    one: Depth
+
+
+def top_depths(counts: dict[int, int], mixed: dict[tuple[int, int], float]) -> Top:
+    """``counts`` by c1 * 256 + byte; ``mixed`` the log products of the depth-2 nodes by (decision, (c1 * 256 + byte) >> (8 - decision))."""
+    pairs = np.array(sorted(counts), np.uint64)
+    one = Depth(pairs, np.array([counts[k] for k in sorted(counts)], np.int64))
+    for j in range(8):
+        keys = (pairs[one.first[j]] >> np.uint64(8 - j)).tolist()
+        one.weigh(j, np.array([mixed.get((j, k), 0.0) for k in keys]))
+    own, up = np.unique(pairs & np.uint64(0xFF), return_inverse=True)
+    zero = Depth(own, np.bincount(up, one.counts, len(own)).astype(np.int64))
+    for j in range(8):
+        zero.weigh(j, np.bincount(zero.node[j][up[one.first[j]]], one.mixed[j], len(zero.kt[j])))
+    return Top(zero, one)
+
+
+def _known(level: Depth, keys: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of keys (pairs without their last 8 - j bits) in a small depth, and which exist."""
+    have = level.pairs[level.first[j]] >> np.uint64(8 - j)
+    if not len(have):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return at, have[at] == keys
+
+
+def gram_scores(codes: np.ndarray, counts: np.ndarray, top: Top, depth: int) -> np.ndarray:
+    """log10 probability of every gram's byte in its context; ``codes`` sorted, all grams of their subtrees."""
     total = np.zeros(len(codes))
-    known = {**top, **below}
+    below = grow(codes, counts, 2, depth)
     for j in range(8):
-        prefix = (symbols >> np.uint64(8 - j)) | np.uint64(1 << j)
-        bit = (symbols >> np.uint64(7 - j)) & np.uint64(1)
+        bit = ((codes >> np.uint64(7 - j)) & np.uint64(1)) == 1
         p = np.full(len(codes), np.nan)
-        for d in range(depth, -1, -1):
-            level = known[d]
-            at, found = level.find((codes >> np.uint64(8 * (depth - d + 1))) * np.uint64(256) + prefix)
-            if not len(level.key):
-                continue
-            zeros, ones = level.zeros[at], level.ones[at]
-            own = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-            deeper = np.where(np.isnan(p), own, level.weight[at] * own + (1 - level.weight[at]) * p)
-            p = np.where(found, deeper, p)
+        for level, pair in below:
+            p = level.estimate(j, level.node[j][pair], bit, p)
+        pair = ((codes >> np.uint64(8 * depth)) << np.uint64(8)) | (codes & np.uint64(0xFF))
+        for level, keys in ((top.one, pair >> np.uint64(8 - j)), (top.zero, (codes & np.uint64(0xFF)) >> np.uint64(8 - j))):
+            at, there = _known(level, keys, j)
+            if len(level.pairs):
+                p = np.where(there, level.estimate(j, at, bit, p), p)
         total += np.log10(np.where(np.isnan(p), 0.5, p))
     return total
 
 
-def _top_levels(counts: list[tuple[int, int]], mixed: dict[int, float]) -> dict[int, Level]:
-    """Nodes of depth 0 and 1 of the whole corpus; ``mixed`` has the products of the depth-2 nodes by depth-1 key."""
-    codes = np.array([k for k, _ in counts], np.uint64)
-    n = np.array([c for _, c in counts], np.int64)
-    codes, n = _summed(codes, n)
-    one = Level(codes >> np.uint64(8), codes & np.uint64(0xFF), n)
-    product = np.array([mixed[k] for k in one.key.tolist()])
-    one.weight = own_weight(one.kt, product)
-    one.mixed = np.logaddexp(one.kt, product) - np.log(2)
-    pair, c = _summed(codes & np.uint64(0xFF), n)
-    zero = Level(np.zeros(len(pair), np.uint64), pair, c)
-    zero.weigh(one)
-    return {0: zero, 1: one}
+class Lookup:
+    """Open-addressing table of distinct 64-bit codes."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.bits = max(4, int(2 * len(codes)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(codes), dtype=np.int32), self._home(codes)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # the last one of several stays
+            again = self.slots[slot] != left
+            left, slot = left[again], (slot[again] + 1) & (len(self.slots) - 1)
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Position of every code; -1 if it isn't there."""
+        slot = self._home(codes)
+        out = self.slots[slot]
+        left = np.flatnonzero((out >= 0) & (self.codes[out] != codes)) if len(self.codes) else np.empty(0, np.int64)
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
+            out[left] = self.slots[slot[left]]
+            left = left[(out[left] >= 0) & (self.codes[out[left]] != codes[left])]
+        return out
 
 
 def _score_texts(s: sh.Shard, codes: np.ndarray, values: np.ndarray, depth: int) -> np.ndarray:
     """Sum of the gram scores of every text of a shard."""
     data, begins = framed(s, depth)
     total = np.zeros(len(s.ids))
+    table, values = Lookup(codes), np.r_[values, 0.0]  # -1: grams of start marks
     for at in range(0, len(data) - depth, _PIECE):
-        piece = gram_codes(data[at : at + _PIECE + depth], depth)
-        order = np.argsort(piece)  # sorted questions walk the table in step
-        got = np.empty(len(piece))
-        place = np.minimum(np.searchsorted(codes, piece[order]), len(codes) - 1)
-        got[order] = values[place]
-        got[(piece & np.uint64(0xFF)) == START] = 0.0
-        # of the bytes of this piece: text k has those from begins[k] + depth on
-        text = np.searchsorted(begins, np.arange(at + depth, at + depth + len(piece)), "right") - 1
-        total += np.bincount(text, got, len(total))
+        got = values[table.find(gram_codes(data[at : at + _PIECE + depth], depth))]
+        stop = at + depth + len(got)
+        k = int(np.searchsorted(begins, at + depth, "right")) - 1
+        cuts = begins[k : int(np.searchsorted(begins, stop, "left"))] - at - depth
+        cuts = np.maximum(cuts, 0)
+        total[k : k + len(cuts)] += np.add.reduceat(got, cuts)
     return total
 
 
@@ -247,17 +275,23 @@ def _word_bucket(word: bytes, count: int) -> int:
     return zlib.crc32(word) % count
 
 
-def _answer(kind: bytes, keys: bytes, values: bytes) -> bytes:
-    return kind + len(keys).to_bytes(8, "little") + keys + values
+def _answer(bucket: int, keys: bytes, values: bytes) -> bytes:
+    return bucket.to_bytes(4, "little") + len(keys).to_bytes(8, "little") + keys + values
 
 
-def _read_answer(data: bytes) -> tuple[bytes, bytes, bytes]:
-    n = int.from_bytes(data[1:9], "little")
-    return data[:1], data[9 : 9 + n], data[9 + n :]
+def _read_answer(data: bytes) -> tuple[int, bytes, bytes]:
+    n = int.from_bytes(data[4:12], "little")
+    return int.from_bytes(data[:4], "little"), data[12 : 12 + n], data[12 + n :]
 
 
-def _hash16(pair: np.ndarray, count: int) -> np.ndarray:
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(count)
+def _by_bucket(codes: np.ndarray, depth: int, count: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions of grams for each bucket: grams with the same last two context bytes go together."""
+    pair = codes >> np.uint64(8 * (depth - 1))
+    bucket = (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(count)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(codes) else [0]
+    for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[order[b]]), order[b:e]
 
 
 def _numbers(values: np.ndarray) -> bytes:
@@ -274,7 +308,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_ASK = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("kind", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ASK = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("gram", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("shard", pa.int64()), ("answer", pa.binary())])
 
 
@@ -292,14 +326,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, _ in sh.each_shard(batches):
+            rows = []
             codes, n = shard_grams(s, depth)
-            bucket = _hash16(codes >> np.uint64(8 * (depth - 1)), count)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order].astype(np.int64)) != 0, True]) if len(codes) else [0]
-            rows = [
-                (int(bucket[order[b]]), s.number, "gram", _numbers(codes[order[b:e]]), sh.pack(n[order[b:e]].astype("<u4").tobytes()))
-                for b, e in zip(cuts[:-1], cuts[1:], strict=True)
-            ]
+            for b, at in _by_bucket(codes, depth, count):
+                rows.append((b, s.number, True, _numbers(codes[at]), sh.pack(n[at].astype("<u4").tobytes())))
             words: Counter[bytes] = Counter()
             every: set[bytes] = set()
             for k, train in enumerate(s.flags):
@@ -310,28 +340,31 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             for w in every:
                 deal.setdefault(_word_bucket(w, count), []).append(w)
             for b, ws in deal.items():
-                rows.append((b, s.number, "word", sh.pack(b" ".join(ws)), sh.pack(np.array([words[w] for w in ws], "<u4").tobytes())))
+                rows.append((b, s.number, False, sh.pack(b" ".join(ws)), sh.pack(np.array([words[w] for w in ws], "<u4").tobytes())))
             yield _rows(rows, _ASK)
 
-    ddl = "bucket int, shard long, kind string, keys binary, counts binary"
-    asked = stored(packed.mapInArrow(ask, ddl), "asked")
+    asked = packed.mapInArrow(ask, "bucket int, shard long, gram boolean, keys binary, counts binary")
+    # partitions stay as they are, so both passes over the questions need no further shuffle
+    asked = checkpointed(sh.by_bucket(asked).sortWithinPartitions("bucket"))
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict]]]:
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], list[dict]]]:
         """Gram and word questions of one bucket after the other."""
         held: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
                 if held and r["bucket"] != held[0]["bucket"]:
-                    yield [x for x in held if x["kind"] == "gram"], [x for x in held if x["kind"] == "word"]
+                    yield held[0]["bucket"], [x for x in held if x["gram"]], [x for x in held if not x["gram"]]
                     held = []
                 held.append(r)
         if held:
-            yield [x for x in held if x["kind"] == "gram"], [x for x in held if x["kind"] == "word"]
+            yield held[0]["bucket"], [x for x in held if x["gram"]], [x for x in held if not x["gram"]]
 
-    def all_grams(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    def all_grams(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         codes = [_read_numbers(r["keys"]) for r in rows]
         counts = [np.frombuffer(sh.unpack(r["counts"]), "<u4").astype(np.int64) for r in rows]
-        return _summed(np.concatenate(codes), np.concatenate(counts)) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        if not rows:
+            return [], np.empty(0, np.uint64), np.empty(0, np.int64)
+        return codes, *_summed(np.concatenate(codes), np.concatenate(counts))
 
     def all_words(rows: list[dict]) -> Counter[bytes]:
         total: Counter[bytes] = Counter()
@@ -342,48 +375,51 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     total[w] += n
         return total
 
-    top_schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("mixed", pa.float64())])
+    top_schema = pa.schema([("kind", pa.string()), ("decision", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("mixed", pa.float64())])
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grams, words in group(batches):
+        for _, grams, words in group(batches):
             rows = []
-            codes, n = all_grams(grams)
+            _, codes, n = all_grams(grams)
             pair, c = _summed(((codes >> np.uint64(8 * depth)) << np.uint64(8)) | (codes & np.uint64(0xFF)), n)
-            rows += [("count", int(k), int(v), 0.0) for k, v in zip(pair, c, strict=True) if v]
-            level = levels(codes, n, 2, depth)[2]
-            parent = (level.key >> np.uint64(16)) * np.uint64(256) + (level.key & np.uint64(0xFF))
-            at, inverse = np.unique(parent, return_inverse=True)
-            rows += [("mixed", int(k), 0, float(v)) for k, v in zip(at, np.bincount(inverse, level.mixed, len(at)), strict=True)]
+            rows += [("count", 0, int(k), int(v), 0.0) for k, v in zip(pair, c, strict=True) if v]
+            level, _ = grow(codes, n, 2, depth)[-1]
+            for j in range(8):
+                first = level.pairs[level.first[j]]
+                keys = (((first >> np.uint64(16)) << np.uint64(8)) | (first & np.uint64(0xFF))) >> np.uint64(8 - j)
+                own, of = np.unique(keys, return_inverse=True)
+                rows += [("mixed", j, int(k), 0, float(v)) for k, v in zip(own, np.bincount(of, level.mixed[j], len(own)), strict=True)]
             total = all_words(words)
-            rows += [("tokens", 0, sum(total.values()), 0.0), ("types", 0, len(total), 0.0)]
+            rows += [("tokens", 0, 0, sum(total.values()), 0.0), ("types", 0, 0, len(total), 0.0)]
             yield _rows(rows, top_schema)
 
-    top_rows = (
-        sh.by_bucket(asked).sortWithinPartitions("bucket")
-        .mapInArrow(summarise, "kind string, key long, n long, mixed double")
-        .groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("mixed").alias("mixed"))
+    summary = (
+        asked.mapInArrow(summarise, "kind string, decision int, key long, n long, mixed double")
+        .groupBy("kind", "decision", "key").agg(F.sum("n").alias("n"), F.sum("mixed").alias("mixed"))
         .collect()
-    )  # at most 2 x 65,536 + 2 rows
+    )  # at most 65,536 counts, 65,280 mixtures and two totals
     n_end = int(packed.select(F.sum(F.size(F.filter("flags", lambda f: f)))).first()[0] or 0)
-    tokens = n_end + sum(r["n"] for r in top_rows if r["kind"] == "tokens")
-    types = (n_end > 0) + sum(r["n"] for r in top_rows if r["kind"] == "types")
-    top = _top_levels([(r["key"], r["n"]) for r in top_rows if r["kind"] == "count"], {r["key"]: r["mixed"] for r in top_rows if r["kind"] == "mixed"})
+    tokens = n_end + sum(r["n"] for r in summary if r["kind"] == "tokens")
+    types = (n_end > 0) + sum(r["n"] for r in summary if r["kind"] == "types")
+    top = top_depths(
+        {r["key"]: r["n"] for r in summary if r["kind"] == "count"}, {(r["decision"], r["key"]): r["mixed"] for r in summary if r["kind"] == "mixed"}
+    )
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grams, words in group(batches):
-            codes, n = all_grams(grams)
-            known = gram_scores(codes, levels(codes, n, 2, depth), top, depth).astype("<f4")
-            rows = []
-            for r in grams:
-                own = _read_numbers(r["keys"])
-                rows.append((r["shard"], _answer(b"g", r["keys"], sh.pack(known[np.searchsorted(codes, own)].tobytes()))))
+        for bucket, grams, words in group(batches):
+            asked_codes, codes, n = all_grams(grams)
+            known = gram_scores(codes, n, top, depth).astype("<f4")
+            rows = [
+                (r["shard"], _answer(bucket, b"", sh.pack(known[np.searchsorted(codes, own)].tobytes())))
+                for r, own in zip(grams, asked_codes, strict=True)
+            ]
             total = all_words(words)
             for r in words:
                 values = np.array([total[w] for w in sh.unpack(r["keys"]).split()], "<u8")
-                rows.append((r["shard"], _answer(b"w", r["keys"], sh.pack(values.tobytes()))))
+                rows.append((r["shard"], _answer(bucket, r["keys"], sh.pack(values.tobytes()))))
             yield _rows(rows, _ANSWER)
 
-    answers = sh.by_bucket(asked).sortWithinPartitions("bucket").mapInArrow(reply, "shard long, answer binary")
+    answers = asked.mapInArrow(reply, "shard long, answer binary")
     result = "id long, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = pa.schema(
         [("id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -392,17 +428,15 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (found,) in sh.each_shard(batches):
-            codes, values, counts = [], [], {}
-            for data in found or []:
-                kind, keys, answer = _read_answer(data)
-                if kind == b"g":
-                    codes.append(_read_numbers(keys))
-                    values.append(np.frombuffer(sh.unpack(answer), "<f4"))
-                else:
+            codes, _ = shard_grams(s, depth)  # the answers come in the order of the questions
+            values, counts, scored_by = np.zeros(len(codes)), {}, {}
+            for bucket, keys, answer in map(_read_answer, found or []):
+                if keys:
                     counts.update(zip(sh.unpack(keys).split(), np.frombuffer(sh.unpack(answer), "<u8").tolist(), strict=True))
-            codes, values = np.concatenate(codes), np.concatenate(values).astype(np.float64)
-            order = np.argsort(codes)
-            codes, values = codes[order], values[order]
+                else:
+                    scored_by[bucket] = np.frombuffer(sh.unpack(answer), "<f4")
+            for bucket, at in _by_bucket(codes, depth, count):
+                values[at] = scored_by[bucket]
             sums = _score_texts(s, codes, values, depth)
             logs = {w: float(np.log10((c + 1) / (tokens + types + 1))) for w, c in counts.items()}
             unknown = {w for w, c in counts.items() if not c}

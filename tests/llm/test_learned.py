@@ -196,18 +196,26 @@ def test_probabilities_of_a_byte_sum_to_one():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 100, 500).astype(np.uint8)
     codes, counts = context_tree._summed(context_tree.gram_codes(data, 3), np.ones(497, np.int64))
-    below = context_tree.levels(codes, counts, 2, 3)
-    pair, n = context_tree._summed(((codes >> np.uint64(24)) << np.uint64(8)) | (codes & np.uint64(0xFF)), counts)
-    two = below[2]
-    mixed = {}
-    for k, m in zip(two.key.tolist(), two.mixed.tolist(), strict=True):
-        at = (k >> 16) * 256 + (k & 255)
-        mixed[at] = mixed.get(at, 0) + m
-    top = context_tree._top_levels(list(zip(pair.tolist(), n.tolist(), strict=True)), mixed)
-    for context in ("abc", "aab", "zzz"):
+    for context in ("abc", "aab", "zzz"):  # all bytes of a context are asked for, as unseen ones
         number = int.from_bytes(context.encode()) << 8
-        every = np.arange(number, number + 256).astype(np.uint64)
-        assert (10 ** context_tree.gram_scores(every, below, top, 3)).sum() == pytest.approx(1)
+        every, n = context_tree._summed(np.r_[codes, np.arange(number, number + 256).astype(np.uint64)], np.r_[counts, np.zeros(256, np.int64)])
+        pair, c = context_tree._summed(((every >> np.uint64(24)) << np.uint64(8)) | (every & np.uint64(0xFF)), n)
+        two, _ = context_tree.grow(every, n, 2, 3)[-1]
+        mixed = Counter()
+        for j in range(8):
+            for p, m in zip(two.pairs[two.first[j]].tolist(), two.mixed[j].tolist(), strict=True):
+                mixed[j, ((p >> 16) << 8 | p & 255) >> 8 - j] += m
+        top = context_tree.top_depths({k: v for k, v in zip(pair.tolist(), c.tolist(), strict=True) if v}, mixed)
+        at = np.searchsorted(every, np.arange(number, number + 256).astype(np.uint64))
+        assert (10 ** context_tree.gram_scores(every, n, top, 3)[at]).sum() == pytest.approx(1)
+
+
+def test_lookup_finds_every_code():
+    codes = np.unique(np.random.default_rng(2).integers(0, 1 << 62, 5000).astype(np.uint64))
+    table = context_tree.Lookup(codes)
+    assert (table.find(codes[::-1]) == np.arange(len(codes))[::-1]).all()
+    assert (table.find(codes + np.uint64(1)) == np.where(np.isin(codes + np.uint64(1), codes), 0, -1)).all()
+    assert context_tree.Lookup(codes[:0]).find(codes).max() == -1
 
 
 def test_log_gamma():
