@@ -33,7 +33,7 @@ INDEX_TYPE = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("token
 READ_BYTES = 8 << 20
 #: texts encoded together, in characters
 ENCODE_CHARS = 1 << 20
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
 
 # Letters and digits of Latin-1, and the split pattern of byte-level BPE over them.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -51,17 +51,25 @@ def _plain(text: str) -> bool:
         return False
 
 
-class ByteBpe:
-    """Ids by the tokenizers library.
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    Texts of Latin-1 characters are split into the words between which the vocabulary
-    never merges, and the library encodes each distinct word once; other texts, and all
-    texts of tokenizers of another kind, are encoded by the library as they are.
+
+class ByteBpe(dict):
+    """Ids by the tokenizers library; a memo table from parts of texts to their ids.
+
+    Texts of Latin-1 characters are split into the words between which the vocabulary never
+    merges, and the library's model encodes each distinct word once; other texts, and all
+    texts of tokenizers of another kind, go through the whole library as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         kind = json.loads(self.tokenizer.to_str())
         before = kind.get("pre_tokenizer") or {}
@@ -71,13 +79,17 @@ class ByteBpe:
         )
         self.special = [t["content"] for t in kind.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+    def __missing__(self, key: str) -> bytes:
+        part = key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+        ids = [t.id for w in _SPLIT.findall(part) for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        got = self[key] = np.array(ids, self.dtype).tobytes()
+        return got
 
-    def _words(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> list[str]:
         """Keys of the parts of a text: its first part is marked, one behind a line end begins with it, others had a space before them."""
         if any(run in text for run in _RUNS):
             return ["\0" + w for w in _SPLIT.findall(text)]
@@ -86,23 +98,15 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        rest, split, missing = [], [], set()
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
+        rest = []
         for i, text in enumerate(texts):
             if self.by_word and _plain(text) and not any(s in text for s in self.special):
-                words = self._words(text)
-                missing.update(w for w in set(words) if w not in self.words)
-                split.append((i, words))
+                out[i] = b"".join(map(self.__getitem__, self._parts(text)))
             else:
                 rest.append(i)
-        new = list(missing)
-        parts = [w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in new]
-        self.words.update(zip(new, self._library(parts), strict=True))
-        for i, words in split:
-            out[i] = b"".join(map(self.words.__getitem__, words))
-        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
-            out[i] = ids
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        for i, x in zip(rest, found, strict=True):
+            out[i] = np.array(x.ids, self.dtype).tobytes()
         return out
 
 
