@@ -189,8 +189,33 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int, references: n
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
+def stars(edges: np.ndarray) -> np.ndarray:
+    """The same components as pairs of each node with the smallest one it reaches: one pair a node."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    parent = list(range(len(nodes)))
+    for a, b in ends.reshape(-1, 2).tolist():
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a < b:
+            parent[b] = a
+        else:
+            parent[a] = b
+    least = np.array(parent, np.int64)
+    while (least[least] != least).any():
+        least = least[least]
+    at = np.flatnonzero(least != np.arange(len(nodes)))
+    return np.stack([nodes[least[at]], nodes[at]], 1)
+
+
 def links(nodes: DataFrame, distance: int, masks: list[int], bits: int = BITS) -> DataFrame:
-    """``node, fp, fp2`` with distinct fingerprints -> linked nodes ``a, b``.
+    """``node, fp, fp2`` with distinct fingerprints -> nodes ``a, b`` that links connect.
+
+    ``a`` is the smallest node that the links of one batch of buckets connect with ``b``, so
+    that a group of near copies gives much the same pairs in every table.
 
     Every node goes to one bucket per mask.  Buckets are streamed from sorted partitions; a
     task holds whole buckets, and what it holds is the numbers and pivot distances of
@@ -217,8 +242,8 @@ def links(nodes: DataFrame, distance: int, masks: list[int], bits: int = BITS) -
             bucket = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (mask[1:] != mask[:-1])])
             found = bucket_links(bucket, np.stack([fp, fp2], 1).view(np.uint64), distance, references)
             if len(found):
-                a, b = node[found[:, 0]], node[found[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                pair = stars(node[found])
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
 
         for b in batches:
             part = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
