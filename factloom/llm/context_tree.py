@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import shards as sh
 from .common import checkpointed
 
-DEPTH = 5
+DEPTH = 6
 #: marks the end of a text; no UTF-8 text has this byte
 END = 0xFF
 #: stands before the first byte of a text
@@ -275,13 +275,13 @@ def _word_bucket(word: bytes, count: int) -> int:
     return zlib.crc32(word) % count
 
 
-def _answer(bucket: int, keys: bytes, values: bytes) -> bytes:
-    return bucket.to_bytes(4, "little") + len(keys).to_bytes(8, "little") + keys + values
+def _answer(kind: bytes, keys: bytes, values: bytes) -> bytes:
+    return kind + len(keys).to_bytes(8, "little") + keys + values
 
 
-def _read_answer(data: bytes) -> tuple[int, bytes, bytes]:
-    n = int.from_bytes(data[4:12], "little")
-    return int.from_bytes(data[:4], "little"), data[12 : 12 + n], data[12 + n :]
+def _read_answer(data: bytes) -> tuple[bytes, bytes, bytes]:
+    n = int.from_bytes(data[1:9], "little")
+    return data[:1], data[9 : 9 + n], data[9 + n :]
 
 
 def _by_bucket(codes: np.ndarray, depth: int, count: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -296,11 +296,21 @@ def _by_bucket(codes: np.ndarray, depth: int, count: int) -> Iterator[tuple[int,
 
 def _numbers(values: np.ndarray) -> bytes:
     """Sorted numbers as packed differences."""
-    return sh.pack(np.diff(values, prepend=values[:1] * 0).astype("<u8").tobytes())
+    return _planes(np.diff(values, prepend=values[:1] * 0).astype("<u8"))
 
 
 def _read_numbers(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(sh.unpack(data), "<u8"), dtype=np.uint64)
+    return np.cumsum(_read_planes(data, "<u8"), dtype=np.uint64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: equal bytes lie together."""
+    return sh.pack(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def _read_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(sh.unpack(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -329,7 +339,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             rows = []
             codes, n = shard_grams(s, depth)
             for b, at in _by_bucket(codes, depth, count):
-                rows.append((b, s.number, True, _numbers(codes[at]), sh.pack(n[at].astype("<u4").tobytes())))
+                rows.append((b, s.number, True, _numbers(codes[at]), _planes(n[at].astype("<u4"))))
             words: Counter[bytes] = Counter()
             every: set[bytes] = set()
             for k, train in enumerate(s.flags):
@@ -347,21 +357,21 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     # partitions stay as they are, so both passes over the questions need no further shuffle
     asked = checkpointed(sh.by_bucket(asked).sortWithinPartitions("bucket"))
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], list[dict]]]:
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict]]]:
         """Gram and word questions of one bucket after the other."""
         held: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
                 if held and r["bucket"] != held[0]["bucket"]:
-                    yield held[0]["bucket"], [x for x in held if x["gram"]], [x for x in held if not x["gram"]]
+                    yield [x for x in held if x["gram"]], [x for x in held if not x["gram"]]
                     held = []
                 held.append(r)
         if held:
-            yield held[0]["bucket"], [x for x in held if x["gram"]], [x for x in held if not x["gram"]]
+            yield [x for x in held if x["gram"]], [x for x in held if not x["gram"]]
 
     def all_grams(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         codes = [_read_numbers(r["keys"]) for r in rows]
-        counts = [np.frombuffer(sh.unpack(r["counts"]), "<u4").astype(np.int64) for r in rows]
+        counts = [_read_planes(r["counts"], "<u4").astype(np.int64) for r in rows]
         if not rows:
             return [], np.empty(0, np.uint64), np.empty(0, np.int64)
         return codes, *_summed(np.concatenate(codes), np.concatenate(counts))
@@ -378,7 +388,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     top_schema = pa.schema([("kind", pa.string()), ("decision", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("mixed", pa.float64())])
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, grams, words in group(batches):
+        for grams, words in group(batches):
             rows = []
             _, codes, n = all_grams(grams)
             pair, c = _summed(((codes >> np.uint64(8 * depth)) << np.uint64(8)) | (codes & np.uint64(0xFF)), n)
@@ -406,17 +416,17 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     )
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, grams, words in group(batches):
+        for grams, words in group(batches):
             asked_codes, codes, n = all_grams(grams)
             known = gram_scores(codes, n, top, depth).astype("<f4")
             rows = [
-                (r["shard"], _answer(bucket, b"", sh.pack(known[np.searchsorted(codes, own)].tobytes())))
+                (r["shard"], _answer(b"g", r["keys"], _planes(known[np.searchsorted(codes, own)])))
                 for r, own in zip(grams, asked_codes, strict=True)
             ]
             total = all_words(words)
             for r in words:
                 values = np.array([total[w] for w in sh.unpack(r["keys"]).split()], "<u8")
-                rows.append((r["shard"], _answer(bucket, r["keys"], sh.pack(values.tobytes()))))
+                rows.append((r["shard"], _answer(b"w", r["keys"], sh.pack(values.tobytes()))))
             yield _rows(rows, _ANSWER)
 
     answers = asked.mapInArrow(reply, "shard long, answer binary")
@@ -428,15 +438,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (found,) in sh.each_shard(batches):
-            codes, _ = shard_grams(s, depth)  # the answers come in the order of the questions
-            values, counts, scored_by = np.zeros(len(codes)), {}, {}
-            for bucket, keys, answer in map(_read_answer, found or []):
-                if keys:
-                    counts.update(zip(sh.unpack(keys).split(), np.frombuffer(sh.unpack(answer), "<u8").tolist(), strict=True))
+            codes, values, counts = [], [], {}
+            for kind, keys, answer in map(_read_answer, found or []):
+                if kind == b"g":
+                    codes.append(_read_numbers(keys))
+                    values.append(_read_planes(answer, "<f4"))
                 else:
-                    scored_by[bucket] = np.frombuffer(sh.unpack(answer), "<f4")
-            for bucket, at in _by_bucket(codes, depth, count):
-                values[at] = scored_by[bucket]
+                    counts.update(zip(sh.unpack(keys).split(), np.frombuffer(sh.unpack(answer), "<u8").tolist(), strict=True))
+            codes, values = np.concatenate(codes), np.concatenate(values).astype(np.float64)
             sums = _score_texts(s, codes, values, depth)
             logs = {w: float(np.log10((c + 1) / (tokens + types + 1))) for w, c in counts.items()}
             unknown = {w for w, c in counts.items() if not c}
