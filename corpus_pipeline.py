@@ -72,7 +72,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256`` of every document in the mix."""
     model = tokenizer_file("piece_bpe_32k.model")
-    return sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model), model).select(
+    return sentencepiece_bpe.encode(docs, model, round_trip=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

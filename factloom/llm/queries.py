@@ -25,8 +25,7 @@ def tokenizer_file(name: str) -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
-    encoded = sentencepiece_bpe.encode(_table(spark, sf_dir, "documents"), model)
-    return sentencepiece_bpe.decode(encoded, model).select(
+    return sentencepiece_bpe.encode(_table(spark, sf_dir, "documents"), model, round_trip=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

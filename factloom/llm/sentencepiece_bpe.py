@@ -24,7 +24,9 @@ from .common import whole
 
 SPACE_MARK = "▁"
 #: entries of the two memo tables of a worker, which start again when full
-WORDS_KEPT, PAIRS_KEPT = 500_000, 500_000
+WORDS_KEPT, PAIRS_KEPT = 400_000, 400_000
+#: rows of a batch that are worked on together
+_ROWS = 1000
 #: numbers of characters that are no piece begin here; above all of them
 _CHARACTER, _BASE = 1 << 24, 1 << 26
 
@@ -189,25 +191,36 @@ def load(path: str) -> Model:
     return _MODELS[path]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
+def _ids_array(found: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
+def encode(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True, round_trip: bool = False
+) -> DataFrame:
     """``id_col, ids`` of every whole text, with an end id if asked for.
 
-    Null and empty texts have no ids but the end id; texts of any length are encoded whole;
-    repeated rows and null ids stay as they are; an empty table gives no rows.  No other
-    column is read.
+    ``round_trip`` adds ``decoded``, the text that :meth:`Model.decode` gives for the ids,
+    in the same pass.  Null and empty texts have no ids but the end id; texts of any length
+    are encoded whole; repeated rows and null ids stay as they are; an empty table gives no
+    rows.  No other column is read.
     """
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    out = rows.select("id", F.lit(None).cast("array<int>").alias("ids")).schema
+    out = rows.select("id", F.lit(None).cast("array<int>").alias("ids"), *[F.lit("").alias("decoded")] * round_trip).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         tail = np.array([model.end], "<i4").tobytes() if end else b""
         for b in batches:
-            found = [model.encode(t.as_py()) + tail for t in b.column(1)]
-            offsets = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "ids"])
+            for at in range(0, len(b), _ROWS):
+                part = b.slice(at, _ROWS)
+                found = [model.encode(t.as_py()) + tail for t in part.column(1)]
+                columns = [part.column(0), _ids_array(found)]
+                if round_trip:
+                    columns.append(pa.array([model.decode(np.frombuffer(x, "<i4").tolist()) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in out])
 
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
 

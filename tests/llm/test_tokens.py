@@ -52,6 +52,8 @@ def test_encode_messy_rows(messy, none, library):
     back = sentencepiece_bpe.decode(sentencepiece_bpe.encode(messy, MODEL), MODEL).collect()
     want = sorted((str(r.doc_id), i, library.decode(i)) for r in messy.collect() for i in [library.encode(r.text or "", add_eos=True)])
     assert sorted((str(r.doc_id), r.ids, r.decoded) for r in back) == want
+    both = sentencepiece_bpe.encode(messy, MODEL, round_trip=True).collect()
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in both) == want
     assert sentencepiece_bpe.decode(sentencepiece_bpe.encode(none, MODEL), MODEL).collect() == []
 
 
