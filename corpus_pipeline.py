@@ -15,10 +15,10 @@ from factloom.llm.queries import tokenizer_file
 
 #: a text whose best language has less probability is of no known language
 LEAST_LANGUAGE_SCORE = 0.3
-#: near copies: five-word shingles, Jaccard similarity of 0.8 as 128-bit fingerprints estimate it
+#: near copies: Jaccard similarity of 0.8 of the sets of five-word shingles
 WORDS, SIMILARITY, BITS = 5, 0.8, 128
-#: candidate tables of near copies, and bits of each
-TABLES, TABLE_BITS = 64, 16
+#: pairs to compare: candidate tables, bits of each, and standard deviations of the distance at that similarity
+TABLES, TABLE_BITS, DEVIATIONS = 96, 14, 3.0
 
 _ROW = "__row"
 
@@ -53,11 +53,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the row with the smallest id stays."""
     rows = _numbered(docs)
-    ranked = rows.select(_ROW, F.coalesce("doc_id", F.lit(2**62)).alias("id"), "text")
-    found = simhash.near_duplicates(
-        ranked, WORDS, simhash.distance_for(SIMILARITY, BITS), simhash.sampled_masks(TABLE_BITS, TABLES, BITS), BITS, distinct=True, id_col=_ROW
-    )
-    first = found.join(ranked.select(_ROW, "id"), _ROW).groupBy("component_id").agg(F.min(F.struct("id", _ROW))[_ROW].alias(_ROW))
+    found = simhash.similar_groups(
+        rows.select(_ROW, "text"), WORDS, SIMILARITY, simhash.distance_for(SIMILARITY, BITS, DEVIATIONS),
+        simhash.sampled_masks(TABLE_BITS, TABLES, BITS), id_col=_ROW,
+    )
+    ranked = rows.select(_ROW, F.coalesce("doc_id", F.lit(2**62)).alias("id"))
+    first = found.join(ranked, _ROW).groupBy("component_id").agg(F.min(F.struct("id", _ROW))[_ROW].alias(_ROW))
     return rows.join(first.select(_ROW), _ROW, "left_semi").drop(_ROW)
 
 

@@ -267,6 +267,215 @@ def links(nodes: DataFrame, distance: int, masks: list[int], bits: int = BITS) -
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
+# ------------------------------------------------------------------ near copies by exact similarity
+
+
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str = "text") -> DataFrame:
+    """``node, digest, size, fp, fp2``: digest and size of a text's set of shingles, and its 128-bit fingerprint."""
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), whole(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for t in b.column(1):
+                hashes = np.unique(shingle_hashes(t.as_py(), words))
+                out.append((xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), _signed(fingerprint(hashes)), _signed(fingerprint(_second(hashes)))))
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64())
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["node", "digest", "size", "fp", "fp2"])
+
+    return rows.mapInArrow(run, "node long, digest binary, size int, fp long, fp2 long")
+
+
+def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str = "text") -> DataFrame:
+    """``node, hashes``: a text's different shingle hashes in order, as bytes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), whole(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return rows.mapInArrow(run, "node long, hashes binary")
+
+
+def forest(edges: np.ndarray) -> np.ndarray:
+    """Which of the edges join what earlier ones leave apart."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    parent = list(range(len(nodes)))
+    out = np.zeros(len(edges), bool)
+    for k, (a, b) in enumerate(ends.reshape(-1, 2).tolist()):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[b] = a
+            out[k] = True
+    return out
+
+
+def candidates(nodes: DataFrame, distance: int, similarity: float, masks: list[int], thin: bool) -> DataFrame:
+    """``node, label, size, fp, fp2`` -> pairs ``a, b`` of a bucket with different labels that may reach the similarity, and their first ``mask``.
+
+    A pair is within ``distance`` bits, and its sizes allow the similarity.  With ``thin`` a
+    batch of buckets gives a forest of its pairs, in which every node that has a pair keeps
+    one; without, it gives all pairs.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, label, size, fp, fp2 = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for t, mask in enumerate(masks):
+                key = (fp & np.int64(_signed(mask & _ALL))).view(np.uint64)
+                key = key * np.uint64(0x9E3779B97F4A7C15) + _second((fp2 & np.int64(_signed(mask >> BITS))).view(np.uint64))
+                columns = [pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), *(pa.array(x) for x in (node, label, size, fp, fp2))]
+                yield pa.RecordBatch.from_arrays(columns, ["mask", "key", "node", "label", "size", "fp", "fp2"])
+
+    references = pivots(2 * BITS)
+
+    def found(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        mask, key, node, label, size, fp, fp2 = (np.concatenate(c) for c in zip(*parts, strict=True))
+        ends = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (mask[1:] != mask[:-1]), True]) + 1
+        stop = np.repeat(ends, np.diff(np.r_[0, ends]))
+        fps = np.stack([fp, fp2], 1).view(np.uint64)
+        table = distance_table(fps, references)
+        kept: list[np.ndarray] = []
+
+        def batch() -> Iterator[pa.RecordBatch]:
+            pairs = np.concatenate(kept) if kept else np.empty((0, 2), np.int64)
+            kept.clear()
+            if len(pairs):
+                i, j = pairs.T
+                columns = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), mask[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "mask"])
+
+        def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+
+        later = stop - np.arange(len(stop)) - 1
+        if thin:  # in a large bucket each step looks only at what isn't reached yet
+            for begin, end in itertools.pairwise([0, *ends.tolist()]):
+                if end - begin <= 64:
+                    continue
+                later[begin:end] = 0
+                rest = np.arange(begin, end)
+                while len(rest):
+                    front, rest = [int(rest[0])], rest[1:]
+                    while front and len(rest):
+                        x = front.pop(0)
+                        near = able(np.full(len(rest), x), rest)
+                        at = np.flatnonzero(near)
+                        near[at] = _near(fps, table, np.full(len(at), x), rest[at], distance)
+                        if near.any():
+                            kept.append(np.stack([np.full(near.sum(), x), rest[near]], 1))
+                            front += rest[near].tolist()
+                            rest = rest[~near]
+        # rows with all later rows of their bucket, a bounded number of pairs at once
+        total = np.cumsum(later)
+        at = 0
+        while at < len(stop):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+            n = later[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            ok = able(i, j)
+            i, j = i[ok], j[ok]
+            ok = _near(fps, table, i, j, distance)
+            pairs = np.stack([i[ok], j[ok]], 1)
+            if thin and len(pairs):
+                kept.append(pairs)
+                joined = np.concatenate(kept)
+                kept[:] = [joined[forest(node[joined])]]
+            elif len(pairs):
+                kept.append(pairs)
+                yield from batch()
+            at = to
+        yield from batch()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            part = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(part[0]):
+                continue
+            # rows of the last bucket wait for the next batch
+            last = np.flatnonzero((part[1] != part[1][-1]) | (part[0] != part[0][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held and (held[-1][1][-1] != part[1][0] or held[-1][0][-1] != part[0][0]):
+                yield from found(held)
+                held = []
+            if cut:
+                yield from found([*held, tuple(c[:cut] for c in part)])
+                held = []
+            held.append(tuple(c[cut:] for c in part))
+        if held:
+            yield from found(held)
+
+    keyed = nodes.select("node", "label", "size", "fp", "fp2").mapInArrow(
+        spread, "mask int, key long, node long, label long, size int, fp long, fp2 long"
+    )
+    # another order in every table, so that forests of different tables differ
+    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", F.xxhash64("mask", "node"))
+    return dealt.mapInArrow(pairs, "a long, b long, mask int").groupBy("a", "b").agg(F.min("mask").alias("mask"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets ``node, hashes`` have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(
+    docs: DataFrame, words: int, similarity: float, distance: int, masks: list[int], id_col: str, text_col: str = "text", first: int = 4
+) -> DataFrame:
+    """``id_col, component_id`` of every row: the smallest id reachable over pairs of at least this Jaccard similarity.
+
+    Similarity is that of sets of word shingles, and exact: fingerprints only draw the pairs
+    that are compared.  Pairs of one component need no comparison, so forests of the pairs
+    come first (of ``first`` tables, then of the others), and after them all pairs between
+    different components.  Texts with equal sets meet once.  Ids are whole numbers, not null,
+    and a second reading of ``docs`` must give the same.
+    """
+    rows = stored(sketches(docs, words, id_col, text_col), "sketches")
+    nodes = stored(
+        rows.groupBy("digest").agg(F.min("node").alias("node"), *[F.first(c).alias(c) for c in ("size", "fp", "fp2")]), "nodes"
+    )
+    drawn = stored(candidates(nodes.withColumn("label", F.col("node")), distance, similarity, masks, thin=True), "drawn")
+    paired = stored(drawn.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
+    sets = stored(shingle_sets(docs.join(paired.select(F.col("node").alias(id_col)), id_col, "left_semi"), words, id_col, text_col), "sets")
+
+    def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs that the components leave apart."""
+        one, two = (found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
+        of = {c: F.coalesce(f"of_{c}", c) for c in ("a", "b")}
+        return pairs.join(one, "a", "left").join(two, "b", "left").filter(of["a"] != of["b"]).select("a", "b")
+
+    links = stored(similar(drawn.filter(F.col("mask") < first), sets, similarity), "links")
+    found = components(links)
+    later = similar(labelled(drawn.filter(F.col("mask") >= first), found), sets, similarity)
+    links = stored(links.unionByName(later), "links")
+    found = components(links)
+    apart = nodes.join(paired, "node").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    rest = candidates(apart, distance, similarity, masks, thin=False).join(drawn.select("a", "b"), ["a", "b"], "left_anti")
+    found = components(links.unionByName(similar(rest, sets, similarity)))
+    classes = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(classes, "digest").select(F.col("node").alias(id_col), "component_id")
+
+
 # ------------------------------------------------------------------ components
 
 

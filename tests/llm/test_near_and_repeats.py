@@ -126,6 +126,56 @@ def test_wider_fingerprints_find_edited_texts(spark):
     assert {r.doc_id: r.component_id for r in found} == {k: k % 100 for k, _ in rows}
 
 
+def one_word_changed(rng, words):
+    """Two texts of different words; of five-word shingles, ``words - 4``, all but five are in both."""
+    base = [f"w{x}" for x in rng.sample(range(10**6), words)]
+    at = rng.randrange(5, words - 5)
+    return " ".join(base), " ".join([*base[:at], "changed", *base[at + 1 :]])
+
+
+def test_near_copies_on_both_sides_of_the_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = []
+    for family in range(900):  # similarity 40 / 50, 39 / 49 and 20 / 30
+        one, two = one_word_changed(rng, [49, 48, 29][family % 3])
+        rows += [(2 * family, one, "x"), (2 * family + 1, two, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert {2 * f for f in range(900)} <= left
+    assert {2 * f + 1 for f in range(900) if f % 3} <= left  # below 0.8 everything stays
+    found = [f for f in range(0, 900, 3) if 2 * f + 1 not in left]
+    print("recall at 0.8:", len(found) / 300)
+    assert len(found) >= 0.97 * 300
+
+
+def test_groups_of_near_copies_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    base = [f"w{x}" for x in rng.sample(range(10**6), 120)]
+    texts = []
+    for _ in range(150):  # copies of one text that are near to some of the others
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3])):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += texts[:5] + ["", "a b", "a b"]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:  # labels spread over all links until nothing changes
+        before = list(least)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if len(x & y) >= 0.8 * len(x | y):
+                    least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    distance = simhash.distance_for(0.8, 128, 6.0)
+    found = simhash.similar_groups(docs, 5, 0.8, distance, [0, *simhash.sampled_masks(14, 8, 128)], "doc_id", first=1)
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(least))
+
+
 # ------------------------------------------------------------------ repeated strings
 
 
