@@ -24,8 +24,8 @@ _ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """A number for every row, the same in every reading of a table."""
-    return docs.withColumn(_ROW, F.monotonically_increasing_id())
+    """A number for every row, stored with it: another reading may be split, so numbered, in another way."""
+    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

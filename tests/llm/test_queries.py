@@ -69,3 +69,22 @@ def test_pipeline_of_messy_and_no_rows(spark, messy, none):
             docs = corpus_pipeline.stored(stage(spark, docs, ""), name)
         assert docs.columns[:2] == ["doc_id", "n_tokens"]
         assert (docs.count() > 0) == (start is messy)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.mixing])
+def test_rows_stay_the_same_when_the_input_is_split_anew(spark, tmp_path, stage):
+    texts = [" ".join(f"w{k * 100 + i}" for i in range(60)) for k in range(40)] * 2
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = sorted(map(tuple, stage(spark, docs, "").collect()))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "2k")
+        later = stage(spark, docs, "")
+        spark.conf.set(name, "1g")
+        assert sorted(map(tuple, later.collect())) == want
+    finally:
+        spark.conf.set(name, before)
