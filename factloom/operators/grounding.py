@@ -281,8 +281,9 @@ def validate_verdicts(outputs: DataFrame, packages: DataFrame, context: DataFram
         sized = sized.withColumns({PACKAGE_COUNTS[c]: F.coalesce(f"_{PACKAGE_COUNTS[c]}", PACKAGE_COUNTS[c]) for c in counts})
     none = F.coalesce("evidence_count", F.lit(0)) == 0
     sized = sized.withColumn("skip", none | F.col("status").isin(lx.NO_MODEL_STATUSES)).withColumn("none", none)
-    said = sized.join(outputs.select("claim_id", "raw"), "claim_id", "left").filter("skip or raw is not null")
-    parsed = parse_outputs(said.withColumn("raw", F.when(~F.col("skip"), F.col("raw"))))
+    # an output without text is an output: the marker, not the text, tells whether there is one
+    said = sized.join(outputs.select("claim_id", "raw", F.lit(True).alias("given")), "claim_id", "left").filter("skip or given")
+    parsed = parse_outputs(said.drop("given").withColumn("raw", F.when(~F.col("skip"), F.col("raw"))))
     # findings of unusable outputs are computed on empty texts and never read
     df = parsed.fillna({"reasoning": "", "summary": "", "verdict": "", "confidence": 0.0})
     checked = apply_rules(_findings(df).withColumn("confidence", capped_confidence()))

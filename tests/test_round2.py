@@ -66,6 +66,15 @@ def test_forced_verdicts_lose_the_models_summary(spark):
         assert got.summary == "Retrieval status: TIMEOUT" and got.reasoning.endswith(" [Forced UNVERIFIED: Retrieval status: TIMEOUT]")
 
 
+def test_an_output_without_text_is_an_error_and_no_output_is_no_row(spark):
+    outputs = spark.createDataFrame([(1, None)], "claim_id long, raw string")
+    packages = spark.createDataFrame([(1, "SUCCESS"), (2, "SUCCESS")], "claim_id long, status string")
+    item = ("E1", "SUPPORTS", "Reports say so", "h", 0.9, 0.9)
+    context = spark.createDataFrame([(c, 1, *item) for c in (1, 2)], "claim_id long, context_no int, evidence_id string, direction string, excerpt string, host string, relevance double, authority double")
+    got = grounding.validate_verdicts(outputs, packages, context).collect()
+    assert [(r.claim_id, r.verdict, r.confidence, r.summary) for r in got] == [(1, "AI_ERROR", 0.0, "Invalid model output")]
+
+
 def test_rules_count_the_package_not_the_context(spark):
     many, few = verdicts(spark, "SUCCESS", "SUPPORTED", 0.75, 5, 3), verdicts(spark, "SUCCESS", "SUPPORTED", 0.75, 1, 1)
     assert many.confidence == 0.75 and "RULE" not in many.validation and many.grounded
