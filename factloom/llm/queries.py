@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, context_tree, cross_polytope, language_gru, pivotal, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
+from . import content_sort, context_tree, cross_polytope, language_gru, merkle, pivotal, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.against_next(_table(spark, sf_dir, "documents"))
+    own, edited = F.col("tree"), F.col("edited_tree")
+    parts = found.select("*", merkle.pieces(own).alias("own_pieces"), merkle.pieces(edited).alias("edited_pieces"))
+    return parts.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), merkle.fingerprint(own).alias("fingerprint"), merkle.fingerprint(edited).alias("edited_fingerprint"),
+        merkle.likeness(own["root"], F.col("own_pieces"), edited["root"], F.col("edited_pieces")).alias("near_edited"),
+        merkle.likeness(own["root"], F.col("own_pieces"), F.col("next_root"), F.col("next_pieces")).alias("near_next"),
+        F.size(F.array_except(merkle.paragraph_nodes(edited), merkle.paragraph_nodes(own))).cast("long").alias("changed_paragraphs"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
@@ -87,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_context_tree": op8_context_tree,
     "op9_token_records": op9_token_records,
     "op10_mixing": op10_mixing,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +131,29 @@ kept as (select p.doc_id, count(*) as n_spans, sum(p.e - p.b) as n_removed, max(
 select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
   sha256(unhex(case when k.doc_id is null then d.h else concat(begun, substring(d.h, 2 * behind + 1)) end)) as kept_sha256
 from d left join kept k on k.doc_id = d.doc_id""",
+    "op13_merkle": r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('+' || doc_id || ':' || coalesce(text, '')) as k from documents),
+f as (select *, coalesce(lead(t) over w, first_value(t) over w) as nt, coalesce(lead(doc_id) over w, first_value(doc_id) over w) as next_id
+  from d window w as (order by doc_id desc, k rows between unbounded preceding and unbounded following)),
+e as (select *, substring(t, 1, n - n // 2) || substring(nt, 1, n // 2) as edited from f),
+texts as (select doc_id, 'own' as kind, t from e union all select doc_id, 'edited', edited from e),
+lines as (select doc_id, kind, unnest(l) as p, unnest(range(len(l))) as i from (select doc_id, kind, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as l from texts)),
+leaves as (select *, list_transform(regexp_extract_all(p,
+    '(?:[^\x20\x09-\x0D]{0,39}[^\x20\x09-\x0D.!?][\x20\x09-\x0D]+){0,7}[^\x20\x09-\x0D]{1,40}[\x20\x09-\x0D]*|[\x20\x09-\x0D]+'), lambda x: sha256(x)) as h from lines),
+nodes as (select *, sha256('p' || array_to_string(h, '')) as node, list_transform(h, lambda x: substring(x, 1, 16)) as short from leaves),
+parts as (select *, sum(case when node like '0%' or regexp_full_match(p, '[\x20\x09-\x0D]*') then 1 else 0 end)
+  over (partition by doc_id, kind order by i rows between unbounded preceding and 1 preceding) as sec from nodes),
+sections as (select doc_id, kind, coalesce(sec, 0) as sec, sha256('s' || string_agg(node, '' order by i)) as node,
+  string_agg(':' || substring(node, 1, 16) || '=' || array_to_string(short, ','), '' order by i) as below,
+  flatten(list(short)) as pieces, list(substring(node, 1, 16)) as paragraphs from parts group by all),
+trees as (select doc_id, kind, sha256('r' || string_agg(node, '' order by sec)) as root, string_agg(';' || substring(node, 1, 16) || below, '' order by sec) as branches,
+  list_distinct(flatten(list(pieces))) as pieces, list_distinct(flatten(list(paragraphs))) as paragraphs from sections group by all),
+whole as (select x.doc_id, x.kind, coalesce(root, sha256('r')) as root, coalesce(branches, '') as branches, coalesce(pieces, []) as pieces, coalesce(paragraphs, []) as paragraphs
+  from texts x left join trees t on x.doc_id = t.doc_id and x.kind = t.kind)
+select e.doc_id, e.n as n_chars, sha256(e.edited) as edited_sha256, a.root || a.branches as fingerprint, b.root || b.branches as edited_fingerprint,
+  2.0::double * (len(list_intersect(a.pieces, b.pieces)) + (a.root = b.root)::int) / (len(a.pieces) + len(b.pieces) + 2) as near_edited,
+  2.0::double * (len(list_intersect(a.pieces, c.pieces)) + (a.root = c.root)::int) / (len(a.pieces) + len(c.pieces) + 2) as near_next,
+  len(list_filter(b.paragraphs, lambda x: not list_contains(a.paragraphs, x))) as changed_paragraphs
+from e join whole a on a.doc_id = e.doc_id and a.kind = 'own' join whole b on b.doc_id = e.doc_id and b.kind = 'edited'
+join whole c on c.doc_id = e.next_id and c.kind = 'own'""",
 }
