@@ -44,7 +44,7 @@ def _paragraph(text: Column) -> Column:
     def made(pieces: Column) -> Column:
         return F.struct(
             _node("p", pieces).alias("node"), F.char_length(text).alias("chars"), F.transform(pieces, _short).alias("pieces"),
-            F.regexp_like(text, F.lit(rf"^{_S}*$")).alias("blank"),
+            F.regexp_like(text, F.lit(rf"\A{_S}*\z")).alias("blank"),
         )
 
     return _let(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda piece: F.sha2(piece, 256)), made)
@@ -95,6 +95,15 @@ def pieces(of: Column) -> Column:
     return F.array_distinct(F.flatten(F.flatten(of["sections"]["paragraphs"])["pieces"]))
 
 
+def _packed(nodes: Column) -> Column:
+    """Nodes as they travel: eight bytes each."""
+    return F.unhex(F.array_join(nodes, ""))
+
+
+def _unpacked(packed: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(packed)), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+
+
 def likeness(root_a: Column, pieces_a: Column, root_b: Column, pieces_b: Column) -> Column:
     """Share of equal nodes of two trees (roots and different pieces), 1 for equal texts only.
 
@@ -172,12 +181,12 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = stored(_order(rows), "followers")
     readers = order.select(F.col("next_key").alias("key"), F.col("key").alias("reader"), "half", F.col("id").alias("reader_id"))
     sent = texts.join(readers, "key").select("reader", F.substring("text", F.lit(1), F.col("half")).alias("begin"), tree(F.col("text")).alias("next"))
-    sent = sent.select(F.col("reader").alias("key"), "begin", F.col("next.root").alias("next_root"), pieces(F.col("next")).alias("next_pieces"))
+    sent = sent.select(F.col("reader").alias("key"), "begin", F.col("next.root").alias("next_root"), _packed(pieces(F.col("next"))).alias("next_pieces"))
     next_ids = order.select(F.col("key").alias("next_key"), F.col("id").alias("next_id"))
     own = order.join(next_ids, "next_key").select("key", "id", "copies", "n", "half", "next_id")
     met = texts.join(own, "key").join(sent, "key")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("half")), F.col("begin"))
-    made = met.select("id", "copies", F.col("n").cast("long").alias("n_chars"), "next_id", edited.alias("edited"), tree(F.col("text")).alias("tree"), "next_root", "next_pieces")
+    made = met.select("id", "copies", F.col("n").cast("long").alias("n_chars"), "next_id", edited.alias("edited"), tree(F.col("text")).alias("tree"), "next_root", _unpacked(F.col("next_pieces")).alias("next_pieces"))
     made = made.select("*", tree(F.col("edited")).alias("edited_tree"))
     return made.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         F.col("id").alias(id_col), "n_chars", "next_id", "edited", "tree", "edited_tree", "next_root", "next_pieces"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, context_tree, cross_polytope, language_gru, merkle, pivotal, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
+from . import content_sort, context_tree, cross_polytope, language_gru, merkle, pivotal, role_repair, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.against_next(_table(spark, sf_dir, "documents"))
     own, edited = F.col("tree"), F.col("edited_tree")
@@ -99,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_context_tree": op8_context_tree,
     "op9_token_records": op9_token_records,
     "op10_mixing": op10_mixing,
+    "op12_role_repair": op12_role_repair,
     "op13_merkle": op13_merkle,
 }
 
