@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, context_tree, cross_polytope, language_gru, merkle, pivotal, role_repair, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
+from . import content_sort, context_tree, cross_polytope, language_gru, merkle, pivotal, ranked_search, role_repair, sentencepiece_bpe, simhash, suffix_dedup, token_records, warc
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair(_table(spark, sf_dir, "conversations"))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_context_tree": op8_context_tree,
     "op9_token_records": op9_token_records,
     "op10_mixing": op10_mixing,
+    "op11_ranked_search": op11_ranked_search,
     "op12_role_repair": op12_role_repair,
     "op13_merkle": op13_merkle,
 }
@@ -136,6 +141,18 @@ kept as (select p.doc_id, count(*) as n_spans, sum(p.e - p.b) as n_removed, max(
 select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
   sha256(unhex(case when k.doc_id is null then d.h else concat(begun, substring(d.h, 2 * behind + 1)) end)) as kept_sha256
 from d left join kept k on k.doc_id = d.doc_id""",
+    "op11_ranked_search": r"""
+with d as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') as ts from documents),
+q as (select item_id, t, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) as t from benchmark) group by all),
+s as (select count(*) as n, sum(len(ts))::bigint as l from d where len(ts) > 0),
+p as (select id, t, size, count(*) as tf from (select id, len(ts) as size, unnest(ts) as t from d) group by all),
+w as (select t, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::bigint as w from p, s group by t, n),
+r as (select item_id, id as doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // l))))::bigint as score
+  from q join w using (t) join p using (t), s group by all)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0)
+where rank <= 20""",
     "op13_merkle": r"""
 with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('+' || doc_id || ':' || coalesce(text, '')) as k from documents),
 f as (select *, coalesce(lead(t) over w, first_value(t) over w) as nt, coalesce(lead(doc_id) over w, first_value(doc_id) over w) as next_id

@@ -256,7 +256,7 @@ def with_faults(rows: DataFrame) -> DataFrame:
     there = counted.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))))
     place = F.struct(*ORDER, "copy")  # nulls come first in Spark's order
     said = ["conv_id", "role", "digest"]
-    first = there.filter(F.col("kind") != BLANK).groupBy(*said).agg(F.min(place).alias("first"))
+    first = there.groupBy(*said).agg(F.min(place).alias("first"))
     met = there.alias("t").join(first.alias("f"), F.col("t.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("t.role") == F.col("f.role")) & (F.col("t.digest") == F.col("f.digest")), "left")
     at = F.struct(*[F.col(f"t.{c}") for c in [*ORDER, "copy"]])
     fault = F.when(F.col("t.kind") == BLANK, BLANK).when(~at.eqNullSafe(F.col("f.first")), DUPLICATE).otherwise(F.col("t.kind"))

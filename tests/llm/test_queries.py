@@ -5,12 +5,12 @@ import __spark_entry__ as entry_point
 import corpus_pipeline
 from factloom.llm import queries
 
-TABLES = "documents pages embeddings".split()
+TABLES = "documents pages embeddings benchmark conversations".split()
 
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == [*range(1, 11), 12, 13] and "pipeline" in entry_point.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry_point.queries()
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) <= set(entry_point.queries())
 
 
