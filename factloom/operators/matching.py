@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..functions.text import find_all, jaccard, round_half_up, word_set
 from ..functions.udfs import jaro_winkler
+from ..session import stored
 from .normalize import claim_metadata, collapse_spaces
-from .simjoin import distinct_sets, set_key, similar_sets
+from .simjoin import set_key
+from .wordindex import WordIndex, best_members, best_sets, build_index
 
 COMPARED = ["numbers", "entities", "dates", "negation"]
 
 
-def search_query(normalized: Column, limit: int = lx.SEARCH_QUERY_CHARS) -> Column:
-    """Long texts are searched by their first and last halves of the limit."""
+def search_query(normalized: Column, limit: int | None = None) -> Column:
+    """The text to search; with a limit, as remote services have, the first and last halves of it."""
+    if limit is None:
+        return normalized
     half = limit // 2
     both = F.concat(F.substring(normalized, 1, half), F.lit(" ... "), F.right(normalized, F.lit(half)))
     return F.when(F.length(normalized) <= limit, normalized).otherwise(both)
@@ -33,47 +37,46 @@ def match_key(normalized: Column, metadata: Column) -> Column:
     return F.coalesce(F.sha2(F.concat_ws("\u0002", normalized, *parts, negated), 256), F.lit(""))
 
 
+def recent(fact_checks: DataFrame, as_of: str, max_age_days: int) -> DataFrame:
+    return fact_checks.filter(F.date_diff(F.to_date(F.lit(as_of)), F.to_date("review.review_date")) <= max_age_days)
+
+
+def index_fact_checks(fact_checks: DataFrame, path: str | None = None) -> WordIndex:
+    """The words of all fact-checks, stored; a search or a micro-batch probes it without reading a text again."""
+    return build_index(fact_checks, "fc_id", search_words(F.col("claim_text")), path)
+
+
 def fact_check_candidates(
     claims: DataFrame,
-    fact_checks: DataFrame,
+    fact_checks: DataFrame | None,
     k: int = lx.SEARCH_PAGE_SIZE,
-    min_overlap: float = 0.5,
+    min_overlap: float | None = None,
     as_of: str | None = None,
     max_age_days: int | None = None,
+    index: WordIndex | None = None,
 ) -> DataFrame:
-    """(match_key, fc_id, overlap, rank): the ``k`` best fact-checks per claim.
+    """(match_key, fc_id, score, overlap, rank): the ``k`` best fact-checks per claim.
 
-    A fact-check qualifies with word Jaccard >= ``min_overlap``; ties go to the
-    lower ``fc_id``.  Texts with equal word sets are searched once.  Of such copies
-    only the ``k`` lowest ids can enter a top ``k``, so no more are carried.
+    Best by the weight of shared words, then word Jaccard (``overlap``), then lower
+    ``fc_id``; there is no floor.  Claims with equal words are searched once, and of
+    fact-checks with equal words only the ``k`` lowest ids are carried.  ``min_overlap``
+    drops results of the ``k`` best, for callers that want no distant ones.  ``index`` is
+    a stored index to probe; without one, ``fact_checks`` are indexed first.
     """
-    if max_age_days is not None:
-        age = F.date_diff(F.to_date(F.lit(as_of)), F.to_date("review.review_date"))
-        fact_checks = fact_checks.filter(age <= max_age_days)
-    wanted = claims.select(
-        "match_key", search_words(search_query(F.col("normalized"))).alias("words")
-    ).withColumn("left_set", set_key(F.col("words")))
-    copies = Window.partitionBy("set_id").orderBy("fc_id")
-    stored = (
-        fact_checks.select("fc_id", F.sort_array(search_words(F.col("claim_text"))).alias("tokens"))
-        .select("fc_id", "tokens", set_key(F.col("tokens")).alias("set_id"))
-        # a fact-check that came twice counts once: equal ids have equal texts
-        .withColumns({"copy": F.dense_rank().over(copies), "again": F.coalesce(F.lag("fc_id").over(copies) == F.col("fc_id"), F.lit(False))})
-        .filter((F.col("copy") <= k) & ~F.col("again"))
-    )
-    pairs = similar_sets(
-        distinct_sets(wanted, "words"),
-        stored.filter("copy = 1"),
-        min_overlap,
-        right_rows=stored.select("set_id", "tokens", "fc_id"),
-    )
-    best = Window.partitionBy("left_set").orderBy(F.desc("similarity"), "fc_id")
-    top = (
-        pairs.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("left_set", "fc_id", F.col("similarity").alias("overlap"), "rank")
-    )
-    return wanted.select("match_key", "left_set").join(top, "left_set").drop("left_set")
+    if index is None:
+        if max_age_days is not None:
+            fact_checks = recent(fact_checks, as_of, max_age_days)
+        index = index_fact_checks(fact_checks)
+    elif max_age_days is not None:
+        raise ValueError("an index has no dates: index the fact-checks of the wanted age")
+    wanted = claims.select("match_key", search_words(search_query(F.col("normalized"))).alias("words"))
+    wanted = stored(wanted.withColumn("query", set_key(F.col("words"))), "wanted")
+    queries = wanted.groupBy("query").agg(F.first("words").alias("words"))
+    close = stored(best_sets(index, queries, k), "best")
+    top = best_members(index, close, k)
+    if min_overlap is not None:
+        top = top.filter(F.col("overlap") >= min_overlap)
+    return wanted.select("match_key", "query").join(top, "query").select("match_key", F.col("id").alias("fc_id"), "score", "overlap", "rank")
 
 
 def _leading_number(text: Column) -> Column:

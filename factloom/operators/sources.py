@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from ..session import shuffle_width
+from ..session import shuffle_width, stored
 from .matching import search_words
+from .wordindex import WordIndex, best_members, best_sets, build_index
 
-SEED_MATCHES = 3
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -146,87 +146,23 @@ def source_mix(sources: DataFrame) -> DataFrame:
     )
 
 
-def search_pages(
-    queries: DataFrame, pages: DataFrame, per_query: int = 10, min_share: float = 0.5
-) -> DataFrame:
+def index_pages(pages: DataFrame, path: str | None = None) -> WordIndex:
+    """The words of all pages, found once and stored."""
+    return build_index(pages, "page_id", search_words(F.col("text")), path)
+
+
+def search_pages(queries: DataFrame, pages: DataFrame | None, per_query: int = 10, index: WordIndex | None = None) -> DataFrame:
     """(claim_id, query_no, page_id, score, rank): the best pages per query.
 
-    A page qualifies when it has at least ``needed = ceil(n * min_share)`` of the query's
-    ``n`` distinct words.  It then has at least ``s = min(SEED_MATCHES, needed)`` of the
-    query's rarest ``n - needed + s`` words, so only those are looked up in the word
-    index: the most common words are not join keys, and few pairs are left to check.
-    Score = sum of ``floor(1000 * ln(pages / pages with the word))``; ties by page id.
-    Equal queries are searched once.
+    Score = sum of ``floor(1000 * ln(word sets / word sets with the word))``, one at least, over
+    the query's distinct words in the page; there is no least share of words; ties by word Jaccard, then page id.  Pages
+    with equal words are one word set of the index, and of such copies only ``per_query``
+    are carried.  Equal queries are searched once.  ``index`` is a stored index of the pages.
     """
-    wanted = queries.select(
-        "claim_id", "query_no",
-        F.coalesce(F.sha2(F.lower("query"), 256), F.lit("")).alias("query_key"), "query",
-    )
-    distinct = wanted.groupBy("query_key").agg(F.first("query").alias("query"))
-    q_words = distinct.select("query_key", F.explode(search_words(F.col("query"))).alias("token"))
-    p_sets = pages.select("page_id", search_words(F.col("text")).alias("page_words"))
-    index = p_sets.select("page_id", F.explode("page_words").alias("token"))
-    width = shuffle_width(queries)
-    n_pages = pages.agg(F.count("*")).scalar()
-    uses = (
-        index.join(q_words.select("token").distinct(), "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count("*").alias("uses"))
-        .withColumn("weight", F.floor(F.log(n_pages / F.col("uses")) * 1000))
-    )
-    weighted = (
-        q_words.join(uses, "token", "left")
-        .groupBy("query_key")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        F.coalesce("uses", F.lit(0)).alias("uses"), "token",
-                        F.coalesce("weight", F.lit(0)).alias("weight"),
-                    )
-                )
-            ).alias("terms")
-        )
-        .withColumn("needed", F.ceil(F.size("terms") * F.lit(min_share) - F.lit(1e-9)))
-        .withColumn("matches", F.least(F.lit(SEED_MATCHES).cast("bigint"), F.col("needed")))
-    )
-    seeds = (
-        weighted.select(
-            "query_key",
-            "matches",
-            F.explode(
-                F.slice("terms", F.lit(1), (F.size("terms") - F.col("needed") + F.col("matches")).cast("int"))
-            ).alias("t"),
-        )
-        .select("query_key", "matches", "t.token")
-        .repartition(width, "query_key", "token")
-        .join(index, "token")
-        .groupBy("query_key", "page_id")
-        .agg(F.count("*").alias("found"), F.first("matches").alias("matches"))
-        .filter(F.col("found") >= F.col("matches"))
-        .select("query_key", "page_id")
-        # another key order than the grouping, or this exchange would be dropped as redundant
-        .repartition(width, "page_id", "query_key")
-    )
-    # the smaller array second: its values become the hash set
-    shared = F.array_intersect(F.col("page_words"), F.transform("terms", lambda t: t["token"]))
-    hits = (
-        seeds.join(weighted, "query_key")
-        .join(p_sets, "page_id")
-        .select(
-            "query_key", "page_id", "terms",
-            F.explode(F.filter(F.array(shared), lambda w: F.size(w) >= F.col("needed"))).alias("found"),
-        )
-        .withColumn(
-            "score",
-            F.aggregate(
-                "terms", F.lit(0).cast("bigint"),
-                lambda s, t: s + F.when(F.array_contains("found", t["token"]), t["weight"]).otherwise(0),
-            ),
-        )
+    index = index_pages(pages) if index is None else index
+    wanted = stored(
+        queries.select("claim_id", "query_no", F.coalesce(F.sha2(F.lower("query"), 256), F.lit("")).alias("query"), search_words(F.col("query")).alias("words")), "wanted"
     )
-    best = Window.partitionBy("query_key").orderBy(F.desc("score"), "page_id")
-    top = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_query)
-    return wanted.drop("query").join(
-        top.select("query_key", "page_id", "score", "rank"), "query_key"
-    ).drop("query_key")
+    best = stored(best_sets(index, wanted.groupBy("query").agg(F.first("words").alias("words")), per_query), "best")
+    top = best_members(index, best, per_query).select("query", F.col("id").alias("page_id"), "score", "rank")
+    return wanted.drop("words").join(top, "query").drop("query")

@@ -110,12 +110,16 @@ dpages as (select doc_id as page_id, {PAGE_URL} as url, concat('Doc ', doc_id) a
   case when doc_id % 17 <> 0 then timestamp '2024-01-01' + to_days(cast(doc_id % 1000 as integer)) end as published_at, text from documents),
 qw as (select claim_id, query_no, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]{{3,}}')) as w from search_queries),
 qt as (select claim_id, query_no, len(w) as n, unnest(w) as token from qw),
-pt as (select page_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{3,}}'))) as token from dpages),
-tw as (select token, floor(ln((select count(*) from dpages) / count(*)::double) * 1000)::bigint as weight from pt
+pw as (select page_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{3,}}'))) as ws from dpages),
+ps as (select ws, row_number() over () as set_no from pw where len(ws) > 0 group by ws),
+pt as (select set_no, len(ws) as size, unnest(ws) as token from ps),
+tw as (select token, greatest(1, floor(ln((select count(*) from ps) / count(*)::double) * 1000))::bigint as weight from pt
   where token in (select token from qt) group by token),
-hits as (select claim_id, query_no, page_id, count(*) as found, any_value(n) as n, sum(weight)::bigint as score
-  from qt join pt using (token) join tw using (token) group by all having count(*) >= ceil(any_value(n) * 0.5::double - 1e-9)),
-top_pages as (select * from (select *, row_number() over (partition by claim_id, query_no order by score desc, page_id) as rank from hits) where rank <= 10)"""
+shit as (select claim_id, query_no, set_no, sum(weight)::bigint as score, count(*) / (any_value(n) + any_value(size) - count(*))::double as overlap
+  from qt join pt using (token) join tw using (token) group by all),
+hits as (select claim_id, query_no, page_id, score, overlap from (select *, rank() over (partition by claim_id, query_no order by score desc) as place from shit)
+  join ps using (set_no) join pw using (ws) where place <= 10),
+top_pages as (select * from (select *, row_number() over (partition by claim_id, query_no order by score desc, overlap desc, page_id) as rank from hits) where rank <= 10)"""
 SOURCE_CTES = f"""{SEARCH_CTES},
 results as (select t.claim_id, t.query_no, t.rank, d.page_id, d.url, d.title, d.published_at from top_pages t join dpages d using (page_id)),
 {url_ctes('results', 'urls')},
@@ -501,7 +505,7 @@ def web_evidence(spark, sf_dir):
     )
     claims = bench_claims(spark, sf_dir)
     queries = an.generate_queries(an.analyze_claims(claims))
-    results = so.search_pages(queries, pages, min_share=0.3).join(pages.drop("text", "word_count"), "page_id")
+    results = so.search_pages(queries, pages).join(pages.drop("text", "word_count"), "page_id")
     sources = so.score_sources(so.prepare_sources(results), AS_OF).drop("query_no", "rank", "score")
     wanted = pages.join(sources.select("page_id").distinct(), "page_id", "left_semi")
     rows = ev.extract_evidence(claims, ev.chunk_pages(wanted), sources)

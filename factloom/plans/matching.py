@@ -53,14 +53,16 @@ def _jaccard(a: str, b: str) -> str:
 
 
 SEARCHED = f"""
-cw as (select claim_id, normalized, clean, {_words("case when length(normalized) <= 2000 then normalized else concat(substring(normalized, 1, 1000), ' ... ', right(normalized, 1000)) end")} as w from norm),
+cw as (select claim_id, normalized, clean, {_words("normalized")} as w from norm),
 fw as (select *, {_words('claim_text')} as fwords from fact_checks),
-fd as (select fwords as fset, min(fc_id) as any_id from fw where len(fwords) > 0 group by 1),
-hit as (select claim_id, fset, len(list_intersect(w, fset)) as shared, len(w) as nw, len(fset) as nf from cw, fd
-  where len(fset) >= 0.5 * len(w) and len(w) >= 0.5 * len(fset)),
-sim as (select claim_id, fset, shared / (nw + nf - shared)::double as overlap from hit where shared / (nw + nf - shared)::double >= 0.5),
-cand as (select * from (select claim_id, fc_id, overlap, row_number() over (partition by claim_id order by overlap desc, fc_id) as rank
-  from sim join fw on sim.fset = fw.fwords) where rank <= 10),
+fd as (select list_sort(fwords) as fset, row_number() over () as set_no from fw where len(fwords) > 0 group by 1),
+ft as (select set_no, unnest(fset) as token from fd),
+fq as (select claim_id, unnest(w) as token from cw),
+fu as (select token, greatest(1, floor(ln((select count(*) from fd) / count(*)::double) * 1000))::bigint as weight from ft group by 1),
+hit as (select claim_id, set_no, sum(weight)::bigint as score, count(*) as shared from fq join fu using (token) join ft using (token) group by 1, 2),
+sim as (select h.claim_id, set_no, score, fset, shared / (len(w) + len(fset) - shared)::double as overlap from hit h join fd using (set_no) join cw on cw.claim_id = h.claim_id),
+cand as (select * from (select claim_id, fc_id, score, overlap, row_number() over (partition by claim_id order by score desc, overlap desc, fc_id) as rank
+  from (select * from (select *, rank() over (partition by claim_id order by score desc) as place from sim) where place <= 10) s join fw on s.fset = list_sort(fw.fwords)) where rank <= 10),
 pairs as (select c.claim_id, c.fc_id, c.rank, c.overlap, n.normalized, n.clean, f.claim_text, f.rating, f.publisher, f.url, f.review_date,
   {", ".join(f"{st.metadata(m, 'n.clean')} as my_{m}, {st.metadata(m, 'f.claim_text')} as their_{m}" for m in mt.COMPARED)}
   from cand c join norm n using (claim_id) join fact_checks f on f.fc_id = c.fc_id)"""
