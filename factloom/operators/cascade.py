@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ratio
+from ..session import stored
 from .cache import outcome_ttl
 from .matching import is_reliable, percent_text
 
@@ -96,10 +100,116 @@ def to_cache_rows(results: DataFrame) -> DataFrame:
     return fresh.filter(F.col("ttl").isNotNull())
 
 
-def ablation(claims: DataFrame, configs: dict[str, dict], as_of) -> DataFrame:
-    """The same claims under several tier configurations, with a ``config`` column."""
-    runs = [verify(claims, as_of=as_of, **tiers).withColumn("config", F.lit(name)) for name, tiers in configs.items()]
-    out = runs[0]
-    for run in runs[1:]:
-        out = out.unionByName(run)
-    return out
+SOURCE = "array<struct<title:string,url:string,publisher:string,publish_date:string,reliability:double>>"
+
+
+def _sources(df: DataFrame) -> Column:
+    """The ``sources`` of a table as result sources; none where the table has no such column."""
+    return F.coalesce(F.col("sources"), F.array().cast(SOURCE)).cast(SOURCE) if "sources" in df.columns else F.array().cast(SOURCE)
+
+
+def verify_in_stages(
+    claims: DataFrame,
+    cache: DataFrame | None,
+    search: Callable[[DataFrame], DataFrame] | None,
+    answer: Callable[[DataFrame], DataFrame] | None,
+    as_of: Column,
+) -> DataFrame:
+    """One verdict row per claim, with its sources and time; a tier given as None is switched off.
+
+    Every stage stores what is still open, and the next tier sees only that: ``search``
+    gets the claims without a live stored verdict and returns rated matches, one per
+    match_key; ``answer`` gets the claims that search left UNVERIFIED with confidence 0 and
+    returns claim_id, verdict, confidence, explanation and, if it has them, sources.  Both
+    may therefore cost much per claim.  ``claims``: claim_id, claim_hash, normalized,
+    match_key, anything else that the tiers need, and optionally provider_ok.
+    """
+    columns = [*RESULT, "sources", "verified_at"]
+    done = []
+    misses = claims
+    if cache is not None:
+        live = cache.filter(F.col("expires_at") >= as_of)
+        live = live.select("claim_hash", "verdict", "confidence", "explanation", "source_tier", _sources(live).alias("sources"))
+        hits = claims.select("claim_id", "claim_hash", "normalized").join(live, "claim_hash")
+        done.append(hits.select("*", F.lit(True).alias("cached"), F.lit("HIT").alias("outcome")))
+        misses = stored(claims.join(live.select("claim_hash"), "claim_hash", "left_anti"), "misses")
+    matches = None if search is None else stored(search(misses), "matches")
+    checked = fact_check_outcome(misses, matches)
+    if matches is not None:
+        checked = checked.join(matches.select("match_key", _sources(matches).alias("_sources")), "match_key", "left")
+    found = F.when(F.col("outcome") == "MATCH", F.col("_sources")) if matches is not None else F.lit(None).cast(SOURCE)
+    checked = checked.withColumn("sources", F.coalesce(found, F.array().cast(SOURCE))).withColumn("source_tier", F.lit("FACT_CHECK_API"))
+    checked = stored(checked.withColumn("cached", F.lit(False)).drop("_sources"), "checked")
+    if answer is not None:
+        unsure = (F.col("verdict") == "UNVERIFIED") & (F.col("confidence") == 0)
+        still_open = stored(checked.filter(unsure).select(*claims.columns), "open")
+        answers = answer(still_open)
+        answers = stored(answers.select("claim_id", "verdict", "confidence", "explanation", _sources(answers).alias("sources")), "answers")
+        told = still_open.select("claim_id", "claim_hash", "normalized").join(answers, "claim_id")
+        done.append(told.select("*", F.lit("AI_RAG").alias("source_tier"), F.lit(False).alias("cached"), F.lit("MODEL").alias("outcome")))
+        checked = checked.join(answers.select("claim_id"), "claim_id", "left_anti")
+    done.append(checked)
+    result = None
+    for part in done:
+        rows = part.withColumn("verified_at", as_of).select(*columns)
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
+#: tiers of a configuration: which of them it may use
+TIERS = ("cache", "fact_check", "model")
+
+
+def tier_outcomes(claims: DataFrame, cache: DataFrame, matches: DataFrame, model_verdicts: DataFrame, as_of: Column) -> DataFrame:
+    """One wide row per claim with what each tier would say: ``claim_id, cache, fact_check, model``.
+
+    Each is ``struct<verdict, confidence, outcome>``, null where the tier has nothing.  Every
+    table is read once, whatever the number of configurations compared on the result.
+    """
+    live = cache.filter(F.col("expires_at") >= as_of)
+    tier = lambda outcome: F.struct("verdict", "confidence", outcome.alias("outcome"))
+    checked = fact_check_outcome(claims, matches).select("claim_id", "claim_hash", tier(F.col("outcome")).alias("fact_check"))
+    return (
+        checked.join(live.select("claim_hash", tier(F.lit("HIT")).alias("cache")), "claim_hash", "left")
+        .join(model_verdicts.select("claim_id", tier(F.lit("MODEL")).alias("model")), "claim_id", "left")
+        .select("claim_id", "cache", "fact_check", "model")
+    )
+
+
+def configured(use: Iterable[str]) -> Column:
+    """The verdict of a configuration over a row of :func:`tier_outcomes`."""
+    use = set(use)
+    if not use <= set(TIERS):
+        raise ValueError(f"unknown tiers: {sorted(use - set(TIERS))}")
+    none = F.struct(F.lit("UNVERIFIED").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("DISABLED").alias("outcome"))
+    checked = F.col("fact_check") if "fact_check" in use else none
+    if "model" in use:
+        unsure = (checked["verdict"] == "UNVERIFIED") & (checked["confidence"] == 0)
+        checked = F.when(unsure & F.col("model").isNotNull(), F.col("model")).otherwise(checked)
+    return F.coalesce(F.col("cache"), checked) if "cache" in use else checked
+
+
+def ablation(outcomes: DataFrame, configs: dict[str, Iterable[str]]) -> DataFrame:
+    """``claim_id, config, verdict, confidence, outcome`` of every configuration, from one pass over the wide rows."""
+    each = F.array(*[F.struct(F.lit(name).alias("config"), configured(use).alias("r")) for name, use in configs.items()])
+    return outcomes.select("claim_id", F.explode(each).alias("c")).select("claim_id", "c.config", "c.r.verdict", "c.r.confidence", "c.r.outcome")
+
+
+def ablation_metrics(runs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Metrics of each configuration against ``truth`` (claim_id, truth); claims without truth count for the rates only.
+
+    ``decided`` are verdicts other than UNVERIFIED; ``searches`` and ``model_calls`` are the
+    claims that needed those tiers.
+    """
+    joined = runs.join(truth, "claim_id", "left")
+    right, decided = F.col("verdict") == F.col("truth"), F.col("verdict") != "UNVERIFIED"
+    known = F.col("truth").isNotNull()
+    return joined.groupBy("config").agg(
+        F.count(F.lit(1)).alias("claims"), F.count_if(decided).alias("decided"), F.count_if(known).alias("judged"),
+        ratio(F.count_if(known & right), F.count_if(known)).alias("accuracy"),
+        ratio(F.count_if(known & right & decided), F.count_if(known & decided)).alias("precision"),
+        ratio(F.count_if(decided), F.count(F.lit(1))).alias("coverage"),
+        F.count_if(F.col("outcome") == "HIT").alias("hits"),
+        F.count_if(~F.col("outcome").isin("HIT", "DISABLED")).alias("searches"),
+        F.count_if(F.col("outcome") == "MODEL").alias("model_calls"),
+    )

@@ -9,10 +9,13 @@ from ..operators import cache as ca
 from ..operators import cascade as cs
 from ..operators import evaluation as evl
 from ..operators import limits as li
+from ..operators import matching as mt
+from ..operators import ratings as rt
+from ..session import stored
 from . import sqltext as st
 from .catalog import query
 from .matching import FULL, keyed_claims, verdict_rows
-from .tables import SQL_LOG, read, request_log
+from .tables import SQL_LOG, fact_checks, read, request_log
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -192,8 +195,19 @@ def cascade_inputs(spark, sf_dir):
 
 @query("cascade", f"{CASCADE_SQL} select claim_id, cached, outcome, verdict, confidence, source_tier from casc")
 def cascade(spark, sf_dir):
-    claims, cache, matches, model = cascade_inputs(spark, sf_dir)
-    return cs.verify(claims, cache, matches, model, now()).select(
+    """Fact-checks are searched for misses only, and the model is asked for what they left open."""
+    keyed = keyed_claims(spark, sf_dir)
+    claims = keyed.select("claim_id", "claim_hash", "normalized", "metadata", "match_key", (F.col("claim_id") % 23 != 0).alias("provider_ok"))
+
+    def search(misses):
+        return rt.map_ratings(mt.match_fact_checks(misses, fact_checks(spark, sf_dir)))
+
+    def answer(still_open):
+        return still_open.filter("claim_id % 2 = 0").select(
+            "claim_id", F.expr(MODEL).alias("verdict"), F.lit(0.5).alias("confidence"), F.lit("model").alias("explanation")
+        )
+
+    return cs.verify_in_stages(claims, stored_cache(spark, sf_dir), search, answer, now()).select(
         "claim_id", "cached", "outcome", "verdict", "confidence", "source_tier"
     )
 
@@ -209,24 +223,44 @@ def cache_negative_ttl(spark, sf_dir):
     return rows.groupBy("outcome", "ttl").agg(F.count("*").alias("n"))
 
 
+CONFIGS = {"full": cs.TIERS, "no_model": ("cache", "fact_check"), "no_cache": ("fact_check", "model"), "fact_check_only": ("fact_check",), "model_only": ("model",)}
+_T2 = "case when outcome2 = 'MATCH' then v2 else 'UNVERIFIED' end"
+_T3 = "list_extract(['SUPPORTED','FALSE','MISLEADING'], t.claim_id % 3 + 1)"
+_HIT = "c.claim_hash is not null"
+RUNS_SQL = f"""{CASCADE_SQL},
+wide as (select t.claim_id, {_HIT} as hit, c.verdict as cv, outcome2, {_T2} as fv, t.claim_id % 2 = 0 as has_model, {_T3} as mv,
+    (outcome2 <> 'MATCH' or (v2 = 'UNVERIFIED' and c2 = 0)) as need from tier2 t left join (select * from cache where age <= 86400) c using (claim_hash)),
+runs as (
+  select claim_id, 'full' as config, case when hit then cv when need and has_model then mv else fv end as verdict, case when hit then 'HIT' when need and has_model then 'MODEL' else outcome2 end as outcome from wide union all
+  select claim_id, 'no_model', case when hit then cv else fv end, case when hit then 'HIT' else outcome2 end from wide union all
+  select claim_id, 'no_cache', case when need and has_model then mv else fv end, case when need and has_model then 'MODEL' else outcome2 end from wide union all
+  select claim_id, 'fact_check_only', fv, outcome2 from wide union all
+  select claim_id, 'model_only', case when has_model then mv else 'UNVERIFIED' end, case when has_model then 'MODEL' else 'DISABLED' end from wide)"""
+
+
+def ablation_runs(spark, sf_dir):
+    claims, cache, matches, model = cascade_inputs(spark, sf_dir)
+    return cs.ablation(stored(cs.tier_outcomes(claims, cache, matches, model, now()), "tiers"), CONFIGS)
+
+
+@query("ablation", f"{RUNS_SQL} select config, verdict, count(*) as n from runs group by all")
+def ablation(spark, sf_dir):
+    return ablation_runs(spark, sf_dir).groupBy("config", "verdict").agg(F.count("*").alias("n"))
+
+
 @query(
-    "ablation",
-    f"""{CASCADE_SQL} select 'full' as config, verdict, count(*) as n from casc group by 2 union all
-select 'no_model', case when cached then verdict when outcome2 = 'MATCH' then v2 else 'UNVERIFIED' end, count(*) from casc join tier2 using (claim_id) group by 2 union all
-select 'no_cache_no_model', case when outcome2 = 'MATCH' then v2 else 'UNVERIFIED' end, count(*) from tier2 group by 2""",
+    "ablation_metrics",
+    f"""{RUNS_SQL}, judged as (select r.*, l.rated_verdict as truth from runs r left join (select claim_id, rated_verdict from rated) l using (claim_id))
+select config, count(*) as claims, count_if(verdict <> 'UNVERIFIED') as decided, count_if(truth is not null) as judged,
+  count_if(verdict = truth) / nullif(count_if(truth is not null), 0)::double as accuracy,
+  count_if(verdict = truth and verdict <> 'UNVERIFIED') / nullif(count_if(truth is not null and verdict <> 'UNVERIFIED'), 0)::double as precision,
+  count_if(verdict <> 'UNVERIFIED') / count(*)::double as coverage, count_if(outcome = 'HIT') as hits, count_if(outcome not in ('HIT', 'DISABLED')) as searches,
+  count_if(outcome = 'MODEL') as model_calls from judged group by config""",
 )
-def ablation(spark, sf_dir):
-    claims, cache, matches, model = cascade_inputs(spark, sf_dir)
-    runs = cs.ablation(
-        claims,
-        {
-            "full": {"cache": cache, "matches": matches, "model_verdicts": model},
-            "no_model": {"cache": cache, "matches": matches},
-            "no_cache_no_model": {"matches": matches},
-        },
-        now(),
-    )
-    return runs.groupBy("config", "verdict").agg(F.count("*").alias("n"))
+def ablation_metrics(spark, sf_dir):
+    """Truth: the rating of the best fact-check of a claim, however weak the match; others are not judged."""
+    truth = verdict_rows(spark, sf_dir).select("claim_id", F.col("rated_verdict").alias("truth"))
+    return cs.ablation_metrics(ablation_runs(spark, sf_dir), truth)
 
 
 @query(
