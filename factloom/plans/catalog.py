@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("claims", "matching", "evidence", "verdicts", "serving", "metrics", "streams", "storage")
+_MODULES = ("claims", "matching", "evidence", "verdicts", "serving", "metrics", "streams", "storage", "endtoend")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -65,22 +65,20 @@ def _in(finder: str, text: str) -> str:
 _FACTUAL = f"""list_filter(list_transform(string_split_regex(reasoning, '[.!?]+'), lambda s: trim(s)),
   lambda s: length(s) >= 20 and regexp_matches(lower(s), {st.q('|'.join(lx.FACTUAL_CUES))}))"""
 _NEG = r"(?:^|[^\p{L}\p{N}_])(?:not|no|never|neither|nor|without|absence of|lack of)(?:[^\p{L}\p{N}_]|$)"
-SQL = f"""
-docs0 as (select doc_id as claim_id, n_chars, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from documents),
-docs1 as (select *, coalesce(ls[1], '') as line1, list_extract({st.sql_list(SAID)}, claim_id % {len(SAID)} + 1) as said,
-  list_extract({st.sql_list(STATUS)}, claim_id % {len(STATUS)} + 1) as status from docs0),
-docs2 as (select *, {REASONING} as reasoning from docs1),
-outs as (select claim_id, status, {RAW} as raw from docs2),
+#: outputs (claim_id, status, raw) -> parsed
+PARSE_SQL = f"""
 j0 as (select claim_id, status, regexp_replace(regexp_replace(trim(raw), '^(?:```json|```)', ''), '```$', '') as body from outs),
 j1 as (select *, json_valid(body) as good, case when json_valid(body) then body::json end as o from j0),
 j2 as (select claim_id, status, good, upper(o->>'verdict') as verdict, (o->>'confidence')::double as confidence, o->>'summary' as summary,
   o->>'reasoning' as reasoning, (o->'supporting_evidence')::varchar[] as supporting, (o->'contradicting_evidence')::varchar[] as contradicting from j1),
-parsed as (select *, coalesce(good and verdict in {st.in_list(lx.VERDICTS + ['AI_ERROR'])} and confidence between 0 and 1 and length(summary) > 0 and length(reasoning) > 0, false) as valid from j2),
-items as (select claim_id, unnest(range(len(ls))) as i, unnest(ls) as excerpt from docs0),
-ev as (select *, concat('E', i + 1) as evidence_id, list_extract(['SUPPORTS','CONTRADICTS','CONTEXTUAL','UNCLEAR'], (claim_id + i) % 4 + 1) as direction,
-  concat('h', (claim_id + i) % 3) as host, ((claim_id * 7 + i * 13) % 100)::double / 100 as relevance, ((claim_id * 3 + i * 5) % 100)::double / 100 as authority from items),
-prof0 as (select claim_id, count(*) as evidence_count, count(distinct host) as domains, avg(relevance) as avg_relevance, avg(authority) as avg_authority,
-  list(evidence_id order by i) as ids, string_agg(excerpt, ' ' order by i) as txt, list(struct_pack(id := evidence_id, d := direction, x := excerpt) order by i) as its from ev group by 1),
+parsed as (select *, coalesce(good and verdict in {st.in_list(lx.VERDICTS + ['AI_ERROR'])} and confidence between 0 and 1 and length(summary) > 0 and length(reasoning) > 0, false) as valid from j2),"""
+
+
+def grounding_sql(counts: str = "count(*) as evidence_count, count(distinct host) as domains, avg(relevance) as avg_relevance, avg(authority) as avg_authority") -> str:
+    """parsed and ev -> ground; ``counts`` are the package's counts, by default those of its context."""
+    return f"""
+prof0 as (select claim_id, {counts},
+  list(evidence_id order by i) as ids, string_agg(excerpt, ' ' order by i) as txt, list(struct_pack(id := evidence_id, d := direction, x := excerpt) order by i) as its from ev group by claim_id),
 prof as (select *, {_in(_NUM, 'txt')} as e_numbers, {_in(_NAME, 'txt')} as e_names, {_in(_YEAR, 'txt')} as e_years from prof0),
 g0 as (select p.*, coalesce(evidence_count, 0) as evidence_count, coalesce(domains, 0) as domains, avg_relevance, avg_authority, coalesce(ids, []) as ids,
   coalesce(e_numbers, []) as e_numbers, coalesce(e_names, []) as e_names, coalesce(e_years, []) as e_years, coalesce(its, []) as its,
@@ -95,6 +93,19 @@ g1 as (select *, list_filter(cites, lambda c: not list_contains(ids, c)) as inva
 ground as (select *, list_filter(factual_s, lambda s: len({_in(_NUM, 's')}) > 0 and not list_has_any({_in(_NUM, 's')}, e_numbers) and not list_has_any({_in(_NAME, 's')}, e_names)) as unsupported from g1)"""
 
 
+SQL = f"""
+docs0 as (select doc_id as claim_id, n_chars, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from documents),
+docs1 as (select *, coalesce(ls[1], '') as line1, list_extract({st.sql_list(SAID)}, claim_id % {len(SAID)} + 1) as said,
+  list_extract({st.sql_list(STATUS)}, claim_id % {len(STATUS)} + 1) as status from docs0),
+docs2 as (select *, {REASONING} as reasoning from docs1),
+outs as (select claim_id, status, {RAW} as raw from docs2),
+{PARSE_SQL.strip()}
+items as (select claim_id, unnest(range(len(ls))) as i, unnest(ls) as excerpt from docs0),
+ev as (select *, concat('E', i + 1) as evidence_id, list_extract(['SUPPORTS','CONTRADICTS','CONTEXTUAL','UNCLEAR'], (claim_id + i) % 4 + 1) as direction,
+  concat('h', (claim_id + i) % 3) as host, ((claim_id * 7 + i * 13) % 100)::double / 100 as relevance, ((claim_id * 3 + i * 5) % 100)::double / 100 as authority from items),
+{grounding_sql().strip()}"""
+
+
 def _sorted(expr: str) -> str:
     return f"array_to_string(list_sort({expr}), '|')"
 
