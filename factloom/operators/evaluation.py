@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -143,16 +143,18 @@ def ece_brier(df: DataFrame, bins: int = 10) -> DataFrame:
     )
 
 
-def exact_percentiles(df: DataFrame, value: str, by: tuple[str, ...], points: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, by: tuple[str, ...], points: dict[str, float], times: str | None = None) -> DataFrame:
     """``*by, n`` and an interpolated percentile per point, without gathering a group in one task.
 
     Values are counted, dealt over range partitions by (group, value), and summed up inside
     each partition; partition totals, at most one row per partition and group, give the
     offsets.  A percentile lies between the first values whose count from below passes its
     two neighbouring places.  Null values are left out; the dealt counts are checkpointed
-    because partition numbers must not change between the two readings.
+    because partition numbers must not change between the two readings.  ``times`` names a
+    column with the number of times that a row's value occurs, once by default.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
+    often = F.count(F.lit(1)) if times is None else F.sum(times)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(often.alias("_f"))
     ensure_checkpoint_dir(df.sparkSession)
     dealt = counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()).checkpoint()
     groups = Window.partitionBy(*by)
@@ -279,3 +281,36 @@ def error_rate_trend(log: DataFrame, window: str = "1 day") -> DataFrame:
 
 def retained(df: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
     return df.filter(F.col(ts) >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days"))
+
+
+def expired(df: DataFrame, kind: str, day: str, ages: dict[str, int], as_of: str, default: int) -> Column:
+    """Whether a row's whole day is older than the age, in days, of its class."""
+    age = F.lit(default)
+    for name, days in ages.items():
+        age = F.when(F.col(kind) == name, F.lit(days)).otherwise(age)
+    return F.col(day) < F.date_sub(F.to_date(F.lit(as_of)), age)
+
+
+def apply_retention(spark: SparkSession, table: str, totals: str, ages: dict[str, int], as_of: str, default: int, kind: str = "event_type", day: str = "day") -> int:
+    """Drop the days of a table that are older than their class may be kept; their totals stay.
+
+    ``table`` is partitioned by (class, day), so a class goes day by day and nothing is
+    rewritten.  Requests, errors and latency of the expiring days are first written to
+    ``totals`` with dynamic partition overwrite, the days are deleted after that: a run
+    that is repeated, or goes on after a failure, writes the same partitions again.
+    Returns the number of days dropped.
+    """
+    rows = spark.read.parquet(table)
+    old = rows.filter(expired(rows, kind, day, ages, as_of, default))
+    sums = old.groupBy(kind, day).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"),
+        F.sum("latency_ms").alias("latency_sum"), F.max("latency_ms").alias("latency_max"),
+    )
+    gone = old.select(kind, day).distinct().collect()  # one row for each class and day
+    if gone:
+        sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(kind, day).parquet(totals)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{kind}={r[0]}/{day}={r[1]}"), True)
+    return len(gone)

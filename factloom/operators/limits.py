@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.text import ratio
+from .evaluation import exact_percentiles
 
 
 def rate_limit(
@@ -41,22 +42,36 @@ def rate_limit(
     )
 
 
-def request_metrics(log: DataFrame, window: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Counts, hit ratio, verdict mix and latency per window; works on batches and streams."""
+def counted_metrics(log: DataFrame, window: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts per (window, latency): they add up, so no row or state holds the values of a window.
+
+    Works on batches and streams; :func:`window_metrics` makes the metrics of a window of them.
+    """
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     verdicts = [F.count_if(F.col("verdict") == v).alias(v.lower()) for v in lx.VERDICTS]
-    grouped = log.groupBy(span.alias("w")).agg(
+    grouped = log.groupBy(span.alias("w"), F.col("latency_ms")).agg(
         F.count("*").alias("requests"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
         F.count_if(F.col("tier") == "CACHE").alias("cached"),
         *verdicts,
-        F.avg("latency_ms").alias("avg_latency"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("p95_latency"),
     )
-    return grouped.select(
-        F.col("w.start").alias("window_start"), *grouped.columns[1:],
-        ratio(F.col("cached"), F.col("requests")).alias("hit_ratio"),
+    return grouped.select(F.col("w.start").alias("window_start"), *grouped.columns[1:])
+
+
+def window_metrics(counted: DataFrame) -> DataFrame:
+    """Counts, hit ratio, verdict mix and latency per window, from :func:`counted_metrics`."""
+    names = [c for c in counted.columns if c not in ("window_start", "latency_ms")]
+    timed = F.when(F.col("latency_ms").isNotNull(), F.col("requests"))
+    sums = counted.groupBy("window_start").agg(
+        *[F.sum(c).alias(c) for c in names], (F.sum(F.col("latency_ms") * F.col("requests")) / F.sum(timed)).alias("avg_latency")
     )
+    high = exact_percentiles(counted, "latency_ms", ("window_start",), {"p95_latency": 0.95}, times="requests").drop("n")
+    return sums.join(high, "window_start", "left").withColumn("hit_ratio", ratio(F.col("cached"), F.col("requests")))
+
+
+def request_metrics(log: DataFrame, window: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Metrics per window of a batch."""
+    return window_metrics(counted_metrics(log, window, slide))
 
 
 def viral_claims(log: DataFrame, window: str = "10 minutes", slide: str = "1 minute", top: int = 3) -> DataFrame:

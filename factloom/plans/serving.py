@@ -11,7 +11,7 @@ from ..operators import evaluation as evl
 from ..operators import limits as li
 from ..operators import matching as mt
 from ..operators import ratings as rt
-from ..session import stored
+from ..session import stored, work_folder
 from . import sqltext as st
 from .catalog import query
 from .matching import FULL, keyed_claims, verdict_rows
@@ -420,6 +420,29 @@ def retention(spark, sf_dir):
     return evl.retained(request_log(spark, sf_dir), "ts", AS_OF, 14).groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
+AGES = {"view": 7, "click": 10, "error": 25}
+_KEEP = "case event_type " + " ".join(f"when '{k}' then {v}" for k, v in AGES.items()) + " else 14 end"
+
+
+@query(
+    "retention_by_class",
+    f"""with {SQL_LOG}, d as (select *, ts::date as day, ts::date < date '{AS_OF[:10]}' - ({_KEEP})::integer as old from log)
+select event_type, old as expired, count(*) as requests, count(distinct day) as days, count_if(event_type = 'error') as errors, {st.half_up('sum(latency_ms)', 4)} as latency_sum from d group by 1, 2""",
+)
+def retention_by_class(spark, sf_dir):
+    """What stays as rows and what stays as totals once retention has run, twice, over a stored log."""
+    folder = work_folder(spark, "retention")
+    log = request_log(spark, sf_dir).withColumn("day", F.to_date("ts")).withColumn("kind", F.col("event_type"))
+    log.repartitionByRange("kind", "day").write.partitionBy("kind", "day").parquet(f"{folder}/log")
+    for _ in range(2):
+        evl.apply_retention(spark, f"{folder}/log", f"{folder}/totals", AGES, AS_OF, 14, kind="kind")
+    total = lambda requests, errors, latency: [F.sum(requests).alias("requests"), F.count_distinct("day").alias("days"), F.sum(errors).alias("errors"), round_half_up(F.sum(latency), 4).alias("latency_sum")]
+    kept = spark.read.parquet(f"{folder}/log").groupBy("kind").agg(*total(F.lit(1), (F.col("event_type") == "error").cast("int"), F.col("latency_ms")))
+    gone = spark.read.parquet(f"{folder}/totals").groupBy("kind").agg(*total(F.col("requests"), F.col("errors"), F.col("latency_sum")))
+    both = kept.withColumn("expired", F.lit(False)).unionByName(gone.withColumn("expired", F.lit(True)))
+    return both.select(F.col("kind").alias("event_type"), "expired", *[F.col(c).cast("long").alias(c) for c in ("requests", "days", "errors")], "latency_sum")
+
+
 @query(
     "security_events",
     f"""with {SQL_LOG}, w as (select request_id, row_number() over (partition by client_id order by ts_ms, request_id) - 1

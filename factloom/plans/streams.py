@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up
+from ..operators import limits as li
 from ..operators import matching as mt
 from ..operators import normalize as nm
 from ..sources import readers as rd
@@ -13,7 +14,7 @@ from . import sqltext as st
 from .catalog import query
 from .matching import BASE, SCORED
 from .serving import replay_sql
-from .tables import SQL_LOG, _decorated, fact_checks, log_columns, read
+from .tables import SQL_LOG, _decorated, fact_checks, log_columns, read, request_log
 
 
 def event_stream(spark, sf_dir):
@@ -39,13 +40,42 @@ def stream_verdict_cache(spark, sf_dir):
 @query(
     "stream_window_metrics",
     f"""with {SQL_LOG}, m as (select time_bucket(interval '1 hour', ts) as window_start, count(*) as requests, count_if(event_type = 'error') as errors,
-  {st.half_up('avg(latency_ms)', 6)} as avg_latency, count_if(tier = 'CACHE') / count(*)::double as hit_ratio from log group by 1)
+  {st.half_up('avg(latency_ms)', 6)} as avg_latency, {st.half_up('quantile_cont(latency_ms, 0.95)', 6)} as p95_latency, count_if(tier = 'CACHE') / count(*)::double as hit_ratio from log group by 1)
 select * from m where window_start + interval '1 hour' <= (select max(ts) from log) - interval '10 minutes'""",
 )
 def stream_window_metrics(spark, sf_dir):
-    """Closed windows only: append mode emits a window once the watermark has passed it."""
-    out = jobs.run_available(jobs.stream_metrics(event_stream(spark, sf_dir)))
-    return out.select("window_start", "requests", "errors", round_half_up(F.col("avg_latency"), 6).alias("avg_latency"), "hit_ratio")
+    """Closed windows only: append mode emits the counts of a window once the watermark has passed it."""
+    out = li.window_metrics(jobs.run_available(jobs.stream_metrics(event_stream(spark, sf_dir))))
+    return out.select(
+        "window_start", "requests", "errors", round_half_up(F.col("avg_latency"), 6).alias("avg_latency"), round_half_up(F.col("p95_latency"), 6).alias("p95_latency"), "hit_ratio"
+    )
+
+
+# rows arrive up to an hour and three quarters after their time, in files of a week each
+ARRIVAL = "unix_seconds(ts) + (request_id * 7919 % 106) * 60"
+_WEEK = 7 * 86400
+
+
+@query(
+    "late_rows",
+    f"""with {SQL_LOG}, a as (select *, (epoch_us(ts) // 1000000) + (request_id * 7919 % 106) * 60 as arrived from log),
+b as (select *, arrived // {_WEEK} - min(arrived // {_WEEK}) over () as batch from a),
+w as (select batch, max(max(ts)) over (order by batch rows between unbounded preceding and 1 preceding) - interval '10 minutes' as watermark from b group by batch)
+select b.batch, count(*) as rows, count_if(coalesce(b.ts < w.watermark, false)) as late, sum(case when b.ts < w.watermark then b.request_id else 0 end)::bigint as late_ids
+from b join w using (batch) group by 1""",
+)
+def late_rows(spark, sf_dir):
+    """Rows of every micro-batch, and those behind its watermark, which are kept beside the others."""
+    folder = jobs.work_folder(spark, "late")
+    log = request_log(spark, sf_dir).withColumn("file", F.floor(F.expr(ARRIVAL) / _WEEK))
+    weeks = [r[0] for r in log.select("file").distinct().orderBy("file").collect()]  # one row per week of the log
+    for week in weeks:  # one file after the other, as they would come in
+        log.filter(F.col("file") == week).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
+    arriving = jobs.stream_files(spark, f"{folder}/incoming", log.drop("file").schema, files_per_trigger=1)
+    jobs.split_late(arriving, folder, f"{folder}/state").awaitTermination()
+    progress = spark.read.parquet(f"{folder}/progress")
+    late = spark.read.schema("request_id long, batch long").parquet(f"{folder}/late").groupBy("batch").agg(F.sum("request_id").alias("late_ids"))
+    return progress.join(late, "batch", "left").select(F.col("batch").cast("long").alias("batch"), "rows", "late", F.coalesce("late_ids", F.lit(0)).cast("long").alias("late_ids"))
 
 
 @query(
@@ -53,19 +83,17 @@ def stream_window_metrics(spark, sf_dir):
     f"{BASE}, {SCORED} select claim_id, fc_id, match_type from best",
 )
 def stream_fact_checks(spark, sf_dir):
-    """A stream of posts matched against the fact-check table, one batch job per micro-batch."""
+    """A stream of posts matched against fact-checks that are indexed once; each micro-batch probes the index."""
+    folder = jobs.work_folder(spark, "stream")
+    checks = fact_checks(spark, sf_dir)
+    checks.write.parquet(f"{folder}/incoming")
+    arriving = jobs.stream_files(spark, f"{folder}/incoming", checks.schema)
+    jobs.index_arriving(arriving, folder, f"{folder}/index-state").awaitTermination()
     schema = spark.read.parquet(f"{sf_dir}/benchmark.parquet").schema
     posts = jobs.stream_files(spark, sf_dir, schema, "benchmark.parquet").selectExpr("item_id as post_id", "text")
-    checks = fact_checks(spark, sf_dir)
-
-    def match(batch):
-        keyed = mt.with_match_key(nm.claim_identity(_decorated(batch)))
-        best = mt.match_fact_checks(keyed, checks)
-        return keyed.select("match_key", "claim_id").join(best, "match_key").select("claim_id", "fc_id", "match_type")
-
-    folder = jobs.work_folder(spark, "stream")
-    jobs.each_batch(posts, match, f"{folder}/rows", f"{folder}/state").awaitTermination()
-    return spark.read.schema("claim_id long, fc_id long, match_type string").parquet(f"{folder}/rows/*")
+    claims_of = lambda batch: mt.with_match_key(nm.claim_identity(_decorated(batch)))
+    jobs.match_arriving(posts, claims_of, folder, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return spark.read.schema("claim_id long, fc_id long, match_type string, total double").parquet(f"{folder}/rows/*").drop("total")
 
 
 # ------------------------------------------------------- provider formats

@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import lexicon as lx
-from ..operators.limits import client_sessions, request_metrics
-from ..session import work_folder
+from ..operators.limits import client_sessions, counted_metrics
+from ..operators.matching import match_fact_checks, search_words
+from ..operators.wordindex import open_index, write_batch
+from ..session import stored, work_folder
 
 WATERMARK = "10 minutes"
 
@@ -104,7 +107,11 @@ def stream_verdict_cache(log: DataFrame, ttl_seconds: int = lx.CACHE_TTL_SECONDS
 
 
 def stream_metrics(log: DataFrame, window: str = "1 hour") -> DataFrame:
-    return request_metrics(log.withWatermark("ts", WATERMARK), window)
+    """Counts of closed windows by latency; the state is one small row for each window and value.
+
+    :func:`factloom.operators.limits.window_metrics` turns the written rows into metrics.
+    """
+    return counted_metrics(log.withWatermark("ts", WATERMARK), window)
 
 
 def stream_sessions(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -128,6 +135,39 @@ def each_batch(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_arriving(checks: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep a stored index of fact-checks up to date: every micro-batch is appended as a batch of it.
+
+    ``folder`` holds the index and the table ``checks`` that matches are read from.  A
+    repeated micro-batch replaces its own rows.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/checks/batch={number}")
+        arrived = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/checks/batch={number}")
+        write_batch(arrived, "fc_id", search_words(F.col("claim_text")), f"{folder}/index", number)
+
+    return checks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def match_arriving(posts: DataFrame, claims_of: Callable[[DataFrame], DataFrame], folder: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Match every micro-batch of posts against the stored fact-checks of ``folder``.
+
+    The index is opened anew for each batch, so checks that arrived meanwhile count; no
+    fact-check is split into words again, only those that a claim meets are read.
+    ``claims_of`` makes keyed claims (claim_id, normalized, metadata, match_key) of a batch.
+    """
+
+    def match(batch: DataFrame) -> DataFrame:
+        spark = batch.sparkSession
+        keyed = stored(claims_of(batch), "keyed")
+        checks = spark.read.parquet(f"{folder}/checks").drop("batch")
+        best = match_fact_checks(keyed, checks, index=open_index(spark, f"{folder}/index"))
+        return keyed.select("match_key", "claim_id").join(best, "match_key").select("claim_id", "fc_id", "match_type", "total")
+
+    return each_batch(posts, match, path, checkpoint)
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process everything that is there and return the written table."""
     spark = stream.sparkSession
@@ -141,6 +181,35 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+LATE_SCHEMA = "batch long, rows long, late long, newest timestamp, watermark timestamp"
+
+
+def split_late(log: DataFrame, folder: str, checkpoint: str, ts: str = "ts", delay: str = WATERMARK) -> StreamingQuery:
+    """Keep rows that come behind the watermark: on-time and late rows go to tables of their own.
+
+    The watermark of a micro-batch is the newest event time of all earlier ones less
+    ``delay``, as Spark's own.  ``folder`` gets ``on_time``, ``late`` and ``progress`` (one
+    row per batch: rows, late rows, newest time, watermark).  Progress is read back from
+    there, so a restarted stream and a repeated batch come to the same split.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        part = lambda name: f"{folder}/{name}/batch={number}"
+        newest = None
+        if number:
+            newest = spark.read.schema("newest timestamp, batch long").parquet(f"{folder}/progress").filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        watermark = F.lit(newest).cast("timestamp") - F.expr(f"interval {delay}")
+        rows = stored(batch.withColumn("_late", F.coalesce(F.col(ts) < watermark, F.lit(False))), "arrived")
+        rows.filter("not _late").drop("_late").write.mode("overwrite").parquet(part("on_time"))
+        rows.filter("_late").drop("_late").write.mode("overwrite").parquet(part("late"))
+        rows.agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if("_late").alias("late"), F.max(ts).alias("newest"), F.max(watermark).alias("watermark")
+        ).write.mode("overwrite").parquet(part("progress"))
+
+    return log.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def dropped_late_rows(query: StreamingQuery) -> int:
     """Rows refused because they came after the watermark, over all progress reports."""
     return sum(
