@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.text import find_all
-from ..session import shuffle_width
+from ..session import shuffle_width, stored
+from .simjoin import distinct_sets, set_key, similar_groups
 
 
 def drop_exact_copies(evidence: DataFrame, order: str = "pos") -> DataFrame:
@@ -267,6 +268,34 @@ def context_text(claims: DataFrame, context: DataFrame, max_chars: int = 1000) -
     )
 
 
+def near_copy_groups(rows: DataFrame, row_id: str, words: Column, threshold: float = 0.85) -> DataFrame:
+    """(row_id, representative, group_size, copies): one row per row with its group of near copies.
+
+    Rows whose word sets have a Jaccard similarity of ``threshold`` are linked, equal sets
+    too; a group is what links connect and its smallest id represents it.  ``copies`` are
+    the rows with the very same words.  Pairs inside a group are never written out.
+    """
+    named = stored(rows.select(F.col(row_id).alias("id"), words.alias("words")).withColumn("set_id", set_key(F.col("words"))), "words")
+    groups = named.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
+    labelled = stored(groups.join(similar_groups(distinct_sets(named.filter(F.size("words") > 0), "words"), threshold), "set_id", "left"), "groups")
+    labelled = labelled.withColumn("label", F.coalesce("label", "set_id"))
+    heads = labelled.groupBy("label").agg(F.min("first").alias("representative"), F.sum("copies").alias("group_size"))
+    found = labelled.join(heads, "label").select("set_id", "representative", "group_size", "copies")
+    return named.select(F.col("id").alias(row_id), "set_id").join(found, "set_id").drop("set_id")
+
+
+def independent_sources(sources: DataFrame, groups: DataFrame) -> DataFrame:
+    """Effective independent sources per claim: hosts whose first page is no near copy of another host's.
+
+    ``sources``: claim_id, page_id, host, source_pos. ``groups``: page_id, representative.
+    """
+    first = sources.groupBy("claim_id", "host").agg(F.min_by("page_id", F.struct("source_pos", "page_id")).alias("page_id"))
+    named = first.join(groups.select("page_id", "representative"), "page_id", "left")
+    return named.groupBy("claim_id").agg(
+        F.count(F.lit(1)).alias("hosts"), F.count_distinct(F.coalesce("representative", "page_id")).alias("independent_sources")
+    )
+
+
 def source_list(packages: DataFrame) -> DataFrame:
     """Sources shown with a verdict: snippet of 300 characters, defaults for missing fields."""
     return packages.select(

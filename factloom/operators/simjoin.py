@@ -13,9 +13,13 @@ the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BUCKETS = 65536
 
 
@@ -72,6 +76,22 @@ def _prefixes(sets: DataFrame, uses: Column, threshold: float, side: str) -> Dat
     )
 
 
+def _able(threshold: float) -> Column:
+    """Whether two prefix entries with one token can belong to a qualifying pair."""
+    overlap_needed = F.ceil(
+        F.lit(threshold / (1 + threshold)) * (F.col("l_size") + F.col("r_size")) - F.lit(1e-9)
+    )
+    reachable = 1 + F.least(
+        F.col("l_size") - F.col("l_place") - 1, F.col("r_size") - F.col("r_place") - 1
+    )
+    return (
+        (F.col("r_size") >= F.col("l_size") * F.lit(threshold) - F.lit(1e-9))
+        & (F.col("l_size") >= F.col("r_size") * F.lit(threshold) - F.lit(1e-9))
+        # holds at the first shared token of every qualifying pair
+        & (reachable >= overlap_needed)
+    )
+
+
 def similar_sets(
     left: DataFrame,
     right: DataFrame | None,
@@ -89,18 +109,7 @@ def similar_sets(
     uses = token_order(left.select("tokens") if right is None else left.select("tokens").union(right.select("tokens"))).scalar()
     a = _prefixes(left, uses, threshold, "l")
     b = _prefixes(other, uses, threshold, "r")
-    overlap_needed = F.ceil(
-        F.lit(threshold / (1 + threshold)) * (F.col("l_size") + F.col("r_size")) - F.lit(1e-9)
-    )
-    reachable = 1 + F.least(
-        F.col("l_size") - F.col("l_place") - 1, F.col("r_size") - F.col("r_place") - 1
-    )
-    able = (
-        (F.col("r_size") >= F.col("l_size") * F.lit(threshold) - F.lit(1e-9))
-        & (F.col("l_size") >= F.col("r_size") * F.lit(threshold) - F.lit(1e-9))
-        # holds at the first shared token of every qualifying pair
-        & (reachable >= overlap_needed)
-    )
+    able = _able(threshold)
     pairs = a.join(b, "token").filter(able)
     if right is None:
         pairs = pairs.filter(F.col("l_set_id") < F.col("r_set_id"))
@@ -118,3 +127,68 @@ def similar_sets(
         .filter(F.col("similarity") >= threshold)
         .drop("l_tokens", "r_tokens", "shared_prefix")
     )
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): nodes of links (a, b) with the smallest node that links reach.
+
+    Every round a label moves to the smallest of its neighbours and links inside a label
+    go; what remains are links between labels, which at least halve in long chains of
+    growing labels only after jumps, so moves are followed one step further each round.
+    """
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    while not edges.isEmpty():
+        near = edges.groupBy(F.col("b").alias("old")).agg(F.min("a").alias("to"))
+        further = near.select(F.col("old").alias("to"), F.col("to").alias("beyond"))
+        moves = stored(near.join(further, "to", "left").select("old", F.coalesce("beyond", "to").alias("new")), "moves")
+        labels = stored(labels.join(moves, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        for side in ("a", "b"):
+            edges = edges.join(moves, F.col(side) == F.col("old"), "left").withColumn(side, F.coalesce("new", side)).drop("old", "new")
+        edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    return labels
+
+
+#: rounds in which buckets are compared with one leader only, before the rest of the pairs
+LEADER_ROUNDS = 2
+
+
+def similar_groups(sets: DataFrame, threshold: float) -> DataFrame:
+    """(set_id, label): sets that links of Jaccard >= ``threshold`` connect; label is the smallest id.
+
+    ``sets``: one row per set, as from :func:`distinct_sets`.  Exact, without the pairs of
+    a group: in a few rounds every bucket (a prefix token and a range of sizes) is compared
+    with one leader, and what is linked becomes one label.  Then all pairs of prefixes
+    whose labels still differ are compared, so a link between two groups is never missed,
+    while a group of near copies costs a few links for each member.  Texts that are alike
+    but less than ``threshold`` stay apart and are compared pair by pair.
+    """
+    sets = stored(sets.select("set_id", "tokens"), "sets")
+    uses = token_order(sets).scalar()
+    entries = stored(_prefixes(sets, uses, threshold, "l").withColumn("band", F.floor(F.log(F.col("l_size")) * F.lit(-1 / math.log(threshold)))), "prefixes")
+    others = lambda df: df.select("token", *[F.col(f"l_{c}").alias(f"r_{c}") for c in ("set_id", "size", "place")], *[c for c in ("band", "r_label") if c in df.columns])
+    labels = links = None
+    for turn in range(LEADER_ROUNDS + 1):
+        mine = entries
+        if labels is not None:
+            mine = mine.join(labels.select(F.col("node").alias("l_set_id"), "label"), "l_set_id", "left")
+            mine = mine.withColumn("l_label", F.coalesce("label", "l_set_id")).drop("label")
+        else:
+            mine = mine.withColumn("l_label", F.col("l_set_id"))
+        if turn < LEADER_ROUNDS:
+            best = F.min_by(F.struct("l_set_id", "l_size", "l_place", "l_label"), F.struct(F.xxhash64("l_label", F.lit(turn)), "l_set_id"))
+            leaders = mine.groupBy("token", "band").agg(best.alias("x"))
+            leaders = leaders.select("token", "band", *[F.col(f"x.l_{c}").alias(f"r_{c}") for c in ("set_id", "size", "place", "label")])
+            met = mine.join(leaders, ["token", "band"])
+        else:
+            met = mine.join(others(mine.withColumn("r_label", F.col("l_label")).drop("band")), "token").filter(F.col("l_set_id") < F.col("r_set_id"))
+        pairs = met.filter((F.col("l_label") != F.col("r_label")) & _able(threshold)).select(
+            F.least("l_set_id", "r_set_id").alias("a"), F.greatest("l_set_id", "r_set_id").alias("b")
+        ).distinct()
+        named = lambda c, t: sets.select(F.col("set_id").alias(c), F.col("tokens").alias(t))
+        both = F.size(F.array_intersect("x", "y"))
+        near = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").filter(both / (F.size("x") + F.size("y") - both).cast("double") >= threshold)
+        found = stored(near.select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+    return sets.select("set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"))

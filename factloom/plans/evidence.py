@@ -10,9 +10,9 @@ from ..operators import analyze as an
 from ..operators import evidence as ev
 from ..operators import ranking as rk
 from ..operators import sources as so
-from ..operators.simjoin import distinct_sets, set_key, similar_sets
-from ..functions.text import word_set
-from ..session import ensure_checkpoint_dir
+from ..operators.simjoin import set_key
+from ..functions.text import jaccard, word_set
+from ..session import ensure_checkpoint_dir, stored
 from . import sqltext as st
 from .catalog import query
 from .claims import ANALYZED, QUERIES_SQL
@@ -559,27 +559,55 @@ def embedding_similarity(spark, sf_dir):
     return a.join(b, "vec_id").select("vec_id", round_half_up(ev.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
+def _groups_sql(source: str, row_id: str) -> str:
+    """Components of the links between distinct word sets, by the smallest id reached."""
+    return f"""
+gw as (select {row_id} as id, list_sort({word_list('text')}) as ws from {source}),
+gs as (select ws, min(id) as first, count(*) as copies from gw group by 1),
+gl as (select a.first as a, b.first as b from gs a join gs b on a.first <> b.first and len(a.ws) >= 0.85 * len(b.ws) and len(b.ws) >= 0.85 * len(a.ws)
+  where len(a.ws) > 0 and len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))::double >= 0.85),
+gr as (select first as node, first as reached from gs union select r.node, l.b from gr r join gl l on r.reached = l.a),
+gh as (select node as first, min(reached) as representative from gr group by 1),
+gt as (select representative, sum(copies)::bigint as group_size from gh join gs using (first) group by 1),
+groups as (select id, representative, group_size, copies, gs.ws, gs.first from gw join gs using (ws) join gh using (first) join gt using (representative))"""
+
+
+@query("near_dup_groups", f"with recursive {_groups_sql('documents', 'doc_id')} select id as doc_id, representative, group_size, copies from groups")
+def near_dup_groups(spark, sf_dir):
+    """Every document with the smallest id of its group of near copies (word Jaccard >= 0.85)."""
+    return rk.near_copy_groups(read(spark, sf_dir, "documents"), "doc_id", word_set(F.col("text")))
+
+
 @query(
     "near_dup_pairs",
-    f"""with w as (select doc_id, {word_list('text')} as ws from documents), s as (select list_sort(ws) as ws, min(doc_id) as doc_id, count(*) as copies from w group by 1)
-select a.doc_id as left_doc, b.doc_id as right_doc, a.copies as left_copies, b.copies as right_copies,
+    f"""with recursive {_groups_sql('documents', 'doc_id')}
+select a.id as left_doc, b.id as right_doc, a.copies as left_copies, b.copies as right_copies,
   {st.half_up('len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))::double', 6)} as similarity
-from s a join s b on a.doc_id < b.doc_id and len(a.ws) >= 0.85 * len(b.ws) and len(b.ws) >= 0.85 * len(a.ws)
-where len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))::double >= 0.85""",
+from groups b join groups a on a.id = b.representative where b.id = b.first and b.id <> b.representative""",
 )
 def near_dup_pairs(spark, sf_dir):
-    """Document pairs with word Jaccard >= 0.85; copies are counted, not paired."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", word_set(F.col("text")).alias("words"))
-    groups = docs.groupBy(set_key(F.col("words")).alias("set_id")).agg(
-        F.min("doc_id").alias("doc"), F.count("*").alias("copies")
-    )
-    pairs = similar_sets(distinct_sets(docs, "words"), None, 0.85)
-    l = groups.withColumnsRenamed({"set_id": "left_set", "doc": "a", "copies": "ca"})
-    r = groups.withColumnsRenamed({"set_id": "right_set", "doc": "b", "copies": "cb"})
-    swap = F.col("a") < F.col("b")
-    return pairs.join(l, "left_set").join(r, "right_set").select(
-        F.least("a", "b").alias("left_doc"), F.greatest("a", "b").alias("right_doc"),
-        F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("left_copies"),
-        F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("right_copies"),
-        round_half_up(F.col("similarity"), 6).alias("similarity"),
+    """Each group's representative with every other word set of the group, not the pairs among these; copies are counted."""
+    words = stored(read(spark, sf_dir, "documents").select("doc_id", word_set(F.col("text")).alias("words")), "words")
+    found = stored(rk.near_copy_groups(words, "doc_id", F.col("words")), "groups")
+    named = found.join(words, "doc_id").withColumn("set_id", set_key(F.col("words")))
+    one = named.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "representative", "copies", "words"), "doc_id").alias("x")).select("x.*")
+    head = one.select(F.col("doc_id").alias("representative"), F.col("copies").alias("left_copies"), F.col("words").alias("head"))
+    return one.filter("doc_id <> representative").join(head, "representative").select(
+        F.col("representative").alias("left_doc"), F.col("doc_id").alias("right_doc"), "left_copies", F.col("copies").alias("right_copies"),
+        round_half_up(jaccard(F.col("head"), F.col("words")), 6).alias("similarity"),
     )
+
+
+@query(
+    "independent_sources",
+    with_sql(
+        f"{SOURCE_CTES}, {_groups_sql('documents', 'doc_id')}",
+        """select claim_id, count(*) as hosts, count(distinct representative) as independent_sources from (
+  select claim_id, host, arg_min(page_id, struct_pack(a := source_pos, b := page_id)) as page_id from sources group by all) s join groups g on g.id = s.page_id group by 1""",
+    ),
+)
+def independent_sources(spark, sf_dir):
+    """Near-identical pages of several hosts count once."""
+    _, pages, results = search_results(spark, sf_dir)
+    sources = so.score_sources(so.prepare_sources(results), AS_OF)
+    return rk.independent_sources(sources, rk.near_copy_groups(pages, "page_id", word_set(F.col("text"))))
