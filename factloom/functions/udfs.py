@@ -176,39 +176,3 @@ def page_text_udf(min_chars: int, max_chars: int):
         return html.map(lambda h: None if h is None else main_text(h, min_chars, max_chars))
 
     return extract
-
-
-def chunk_text(text: str, min_words: int, max_words: int, overlap: int) -> list[str]:
-    """Fill chunks with whole sentences, repeating the last ``overlap`` sentences."""
-    chunks: list[str] = []
-    held: list[str] = []
-    size = 0
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        length = len(sentence.split())
-        if length > max_words:
-            for part in re.split(r"(?<=,)\s+", sentence):
-                part_size = len(part.split())
-                if held and size + part_size > max_words:
-                    chunks.append(" ".join(held))
-                    held, size = [], 0
-                held.append(part)
-                size += part_size
-        elif size + length <= max_words:
-            held.append(sentence)
-            size += length
-        else:
-            if size >= min_words:
-                chunks.append(" ".join(held))
-            held = held[-overlap:] + [sentence]
-            size = sum(len(s.split()) for s in held)
-    if held and size >= min_words:
-        chunks.append(" ".join(held))
-    return chunks
-
-
-def chunk_udf(min_words: int, max_words: int, overlap: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunk(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [] if t is None else chunk_text(t, min_words, max_words, overlap))
-
-    return chunk

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.text import find_all
-from ..functions.udfs import chunk_udf, page_text_udf
+from ..functions.udfs import page_text_udf
 
 
 def page_text(pages: DataFrame, min_chars: int = 200, max_chars: int = 50000) -> DataFrame:
@@ -31,14 +31,48 @@ def word_count(text: Column) -> Column:
     return F.size(find_all(text, r"\S+"))
 
 
+_HELD = "array<struct<t:string,n:int>>"
+
+
+def _pieces(text: Column, max_words: int) -> Column:
+    """Sentences, and the parts between commas of those that are too long: ``array<struct<t, n, part>>``."""
+    counted = lambda t, part: F.struct(t.alias("t"), word_count(t).alias("n"), F.lit(part).alias("part"))
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: counted(s, False))
+    parts = lambda s: F.transform(F.split(s["t"], r"(?<=,)\s+"), lambda p: counted(p, True))
+    return F.flatten(F.transform(sentences, lambda s: F.when(s["n"] > max_words, parts(s)).otherwise(F.array(s))))
+
+
+def chunks(text: Column, min_words: int = 50, max_words: int = 500, overlap: int = 1) -> Column:
+    """Chunks filled with whole sentences, each beginning with the last ``overlap`` sentences of the one before.
+
+    A fold over the sentences whose state is the chunk being filled.  A chunk of fewer than
+    ``min_words`` is dropped when a sentence does not fit, and at the end; parts of a
+    sentence of more than ``max_words`` are dealt without overlap.
+    """
+    size = lambda held: F.aggregate(held, F.lit(0), lambda s, x: s + x["n"])
+    closed = lambda a: F.array_append(a["chunks"], F.array_join(a["held"]["t"], " "))
+
+    def step(a: Column, x: Column) -> Column:
+        item = F.struct(x["t"].alias("t"), x["n"].alias("n"))
+        fits = a["size"] + x["n"] <= max_words
+        more = F.array_append(a["held"], item)
+        carried = F.array_append(F.slice(a["held"], F.greatest(F.lit(1), F.size(a["held"]) - overlap + 1), F.lit(overlap)), item) if overlap else F.array(item)
+        held = F.when(fits | (x["part"] & (F.size(a["held"]) == 0)), more).when(x["part"], F.array(item)).otherwise(carried)
+        close = ~fits & F.when(x["part"], F.size(a["held"]) > 0).otherwise(a["size"] >= min_words)
+        return F.struct(F.when(close, closed(a)).otherwise(a["chunks"]).alias("chunks"), held.alias("held"), F.when(fits, a["size"] + x["n"]).otherwise(size(held)).alias("size"))
+
+    start = F.struct(F.array().cast("array<string>").alias("chunks"), F.array().cast(_HELD).alias("held"), F.lit(0).alias("size"))
+    last = lambda a: F.when((F.size(a["held"]) > 0) & (a["size"] >= min_words), closed(a)).otherwise(a["chunks"])
+    return F.aggregate(_pieces(text, max_words), start, step, last)
+
+
 def chunk_pages(
     pages: DataFrame, min_words: int = 50, max_words: int = 500, overlap: int = 1
 ) -> DataFrame:
     """(page_id, chunk_index, chunk): overlapping chunks, computed once per page."""
-    chunk = chunk_udf(min_words, max_words, overlap)
     long_enough = pages.filter(word_count(F.col("text")) >= min_words)
     return long_enough.select(
-        "page_id", F.posexplode(chunk(F.col("text"))).alias("chunk_index", "chunk")
+        "page_id", F.posexplode(chunks(F.col("text"), min_words, max_words, overlap)).alias("chunk_index", "chunk")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from ..functions.text import find_all
+from ..functions.text import find_all, round_half_up
 from ..session import shuffle_width, stored
 from .simjoin import distinct_sets, set_key, similar_groups
 
@@ -243,7 +243,8 @@ def context_text(claims: DataFrame, context: DataFrame, max_chars: int = 1000) -
         return F.concat(F.lit(label), value, F.lit("\n"))
 
     def score(name: str) -> Column:
-        return F.format_string("%.2f", F.col(name))
+        # nine digits first: a sum that misses a half by its last bit is rounded as the half
+        return F.format_string("%.2f", round_half_up(round_half_up(F.col(name), 9), 2))
 
     section = F.concat(
         line("EVIDENCE id=", F.col("evidence_id")),

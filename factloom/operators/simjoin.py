@@ -150,7 +150,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 #: rounds in which buckets are compared with one leader only, before the rest of the pairs
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 
 
 def similar_groups(sets: DataFrame, threshold: float) -> DataFrame:
@@ -190,5 +190,6 @@ def similar_groups(sets: DataFrame, threshold: float) -> DataFrame:
         near = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").filter(both / (F.size("x") + F.size("y") - both).cast("double") >= threshold)
         found = stored(near.select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if turn == 0 or not found.isEmpty():
+            labels = components(links)
     return sets.select("set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.text import round_half_up
-from ..operators import evidence as ev
 from ..operators import retrieval as rt
 from . import sqltext as st
 from .catalog import query
@@ -72,7 +71,7 @@ select claim_id, outcome, verdict, {st.half_up('confidence', 6)} as confidence,
 def end_to_end(spark, sf_dir):
     """Every benchmark claim; fact-checks and pages are searched for what is still open only."""
     result = rt.check_claims(
-        keyed_claims(spark, sf_dir), stored_cache(spark, sf_dir), fact_checks(spark, sf_dir), document_pages(spark, sf_dir), voting_model, now(), AS_OF, chunks=ev.line_chunks
+        keyed_claims(spark, sf_dir), stored_cache(spark, sf_dir), fact_checks(spark, sf_dir), document_pages(spark, sf_dir), voting_model, now(), AS_OF
     )
     return result.select(
         "claim_id", "outcome", "verdict", round_half_up(F.col("confidence"), 6).alias("confidence"), "explanation", "source_tier", F.size("sources").alias("n_sources"), "verified_at"

@@ -53,7 +53,7 @@ def evidence_rows(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     sources = sources.checkpoint()
     wanted = pages.join(sources.select("page_id").distinct(), "page_id", "left_semi")
-    rows = ev.extract_evidence(claims, ev.line_chunks(wanted), sources)
+    rows = ev.extract_evidence(claims, ev.chunk_pages(wanted), sources)
     return claims, pages, sources, rows
 
 
@@ -140,10 +140,31 @@ def _signal(groups) -> str:
     )
 
 
+def chunk_ctes(source: str, out: str = "lines") -> str:
+    """(page_id, text) -> (page_id, chunk_index, chunk): sentences folded one after the other, as ``evidence.chunks`` does."""
+    n = lambda t: f"len(regexp_extract_all({t}, '\\S+'))"
+    cut = lambda t, after: f"string_split(regexp_replace({t}, '([{after}])\\s+', concat('\\1', chr(1)), 'g'), chr(1))"
+    joined = "array_to_string(list_transform(held, lambda piece: piece.t), ' ')"
+    fits = "size + x.n <= 500"
+    return f"""
+cs as (select page_id, unnest(range(len(ss))) as i, unnest(ss) as t from (select page_id, {cut('text', '.!?')} as ss from {source} where {n('text')} >= 50)),
+cp as (select page_id, i, 0 as j, t, {n('t')} as n, false as part from cs where {n('t')} <= 500 union all
+  select page_id, i, unnest(range(len(ps))), unnest(ps), 0, true from (select page_id, i, {cut('t', ',')} as ps from cs where {n('t')} > 500)),
+ci as (select page_id, row_number() over (partition by page_id order by i, j) as k, struct_pack(t := t, n := {n('t')}) as x, part from cp),
+cf0 as (select page_id, 0::bigint as k, []::struct(t varchar, n bigint)[] as held, 0::bigint as size, null::varchar as chunk from ci group by 1
+  union all
+  select f.page_id, ci.k, case when {fits.replace('x.', 'ci.x.')} or (part and len(held) = 0) then list_append(held, ci.x) when part then [ci.x] else list_append(held[len(held):], ci.x) end,
+    case when {fits.replace('x.', 'ci.x.')} or (part and len(held) = 0) then size + ci.x.n when part then ci.x.n else coalesce(held[len(held)].n, 0) + ci.x.n end,
+    case when not ({fits.replace('x.', 'ci.x.')}) and case when part then len(held) > 0 else size >= 50 end then {joined} end
+  from cf0 f join ci on ci.page_id = f.page_id and ci.k = f.k + 1),
+cz as (select page_id, k, chunk from cf0 where chunk is not null union all
+  select page_id, k + 1, {joined} from (select page_id, max(k) as k, arg_max(held, k) as held, arg_max(size, k) as size from cf0 group by 1) where len(held) > 0 and size >= 50),
+{out} as materialized (select page_id, row_number() over (partition by page_id order by k) - 1 as chunk_index, chunk from cz)"""
+
+
 EVIDENCE_CTES = f"""{SOURCE_CTES},
-lines as (select page_id, unnest(range(len(ls))) as chunk_index, unnest(ls) as chunk from (
-  select page_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from dpages
-  where len(regexp_extract_all(text, '\\S+')) >= 50 and page_id in (select page_id from sources))),
+wanted as (select * from dpages where page_id in (select page_id from sources)),
+{chunk_ctes('wanted')},
 feats as (select *, lower(chunk) as lowered, list_distinct({st.find_unicode('chunk', _NUM_BODY)}) as p_numbers,
   list_distinct({st.find_unicode('chunk', _NAME_BODY)}) as p_names, list_distinct(regexp_extract_all(lower(chunk), '{_W}')) as p_words from lines),
 sig as (select *, {_signal(lx.CONTRADICTION_SIGNALS)} as against, {_signal(lx.SUPPORT_SIGNALS)} as in_favour from feats),
@@ -431,10 +452,14 @@ def context_select(spark, sf_dir):
     )
 
 
-_SECTION = """concat('EVIDENCE id=', evidence_id, chr(10), 'SOURCE_TYPE: ', source_type, chr(10), 'DIRECTION: ', direction, chr(10),
+def _shown(col: str) -> str:
+    return f"printf('%.2f', {st.half_up(st.half_up(col, 9), 2)})"
+
+
+_SECTION = f"""concat('EVIDENCE id=', evidence_id, chr(10), 'SOURCE_TYPE: ', source_type, chr(10), 'DIRECTION: ', direction, chr(10),
   'PUBLISHER: ', coalesce(nullif(publisher, ''), 'Unknown'), chr(10), 'PUBLISHED_AT: ', coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00'), 'Unknown'), chr(10),
-  'URL: ', url, chr(10), 'RELEVANCE: ', printf('%.2f', floor(relevance * 100 + 0.5) / 100), chr(10), 'AUTHORITY: ', printf('%.2f', authority), chr(10),
-  'RECENCY: ', printf('%.2f', recency), chr(10), 'CONTENT:', chr(10), substring(excerpt, 1, 1000), chr(10))"""
+  'URL: ', url, chr(10), 'RELEVANCE: ', {_shown('relevance')}, chr(10), 'AUTHORITY: ', {_shown('authority')}, chr(10),
+  'RECENCY: ', {_shown('recency')}, chr(10), 'CONTENT:', chr(10), substring(excerpt, 1, 1000), chr(10))"""
 
 
 @query(
@@ -490,7 +515,11 @@ def page_chunks(spark, sf_dir):
     return chunks.select("page_id", "chunk_index", ev.word_count(F.col("chunk")).alias("words"), F.sha2("chunk", 256).alias("chunk_hash"))
 
 
-@query("document_chunks")
+@query(
+    "document_chunks",
+    f"""with recursive dtexts as (select doc_id as page_id, text from documents), {chunk_ctes('dtexts', 'dchunks')}
+select page_id, chunk_index, len(regexp_extract_all(chunk, '\\S+')) as words, sha256(chunk) as chunk_hash from dchunks""",
+)
 def document_chunks(spark, sf_dir):
     pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
     chunks = ev.chunk_pages(pages)

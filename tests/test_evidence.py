@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from factloom.functions.udfs import chunk_text, main_text, word_edit_distance
+from factloom.functions.udfs import main_text, word_edit_distance
 from factloom.operators import evidence as ev
 from factloom.operators import ranking as rk
 from factloom.operators import sources as so
@@ -19,18 +20,43 @@ def test_main_text_prefers_article_and_drops_boilerplate():
     assert main_text("plain " * 100, 200, 300).endswith("...")
 
 
-def test_chunks_cover_text_with_overlap():
+def plain_chunks(text, least, most, overlap):
+    """The same sequentially, a sentence at a time."""
+    out, held = [], []
+    size = lambda: sum(len(s.split()) for s in held)
+
+    def close():
+        out.append(" ".join(held))
+
+    for sentence in re.split(r"(?<=[.!?])\s+", text):
+        parts = re.split(r"(?<=,)\s+", sentence) if len(sentence.split()) > most else None
+        for part in parts or [sentence]:
+            if size() + len(part.split()) <= most:
+                held.append(part)
+            elif parts:
+                if held:
+                    close()
+                held = [part]
+            else:
+                if size() >= least:
+                    close()
+                held = held[max(0, len(held) - overlap) :] + [part]
+    if held and size() >= least:
+        close()
+    return out
+
+
+def test_chunks_against_a_plain_loop(spark):
     rng = random.Random(1)
-    sentences = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(5, 40))) + "." for _ in range(60)]
-    chunks = chunk_text(" ".join(sentences), 50, 100, 1)
-    assert all(len(c.split()) >= 50 for c in chunks)
-    joined = " ".join(chunks)
-    assert all(s in joined for s in sentences[:-3])
-    for left, right in zip(chunks, chunks[1:]):
-        assert right.split(".")[0] in left
-    long = "word, " * 700
-    assert all(len(c.split()) <= 500 for c in chunk_text(long, 50, 500, 1))
-    assert chunk_text("too short.", 50, 500, 1) == []
+    word = lambda: rng.choice(["w", "word", "a,", "b.", "c!", "x"])
+    sentence = lambda n: " ".join(f"w{rng.randint(0, 9)}" for _ in range(n)) + "."
+    texts = ["", "one", " \n ", "too short.", "word, " * 700, "word " * 700, " ".join(sentence(rng.randint(1, 40)) for _ in range(200))]
+    texts += ["".join(word() + rng.choice([" ", "  ", "\n"]) for _ in range(rng.randrange(400))) for _ in range(60)]
+    texts += [sentence(90) + " " + "long, " * 150 + sentence(3) + " " + sentence(60)]
+    for least, most, overlap in ((50, 100, 1), (5, 20, 1), (5, 20, 2), (1, 8, 0), (50, 500, 1)):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+        for r in df.select("i", ev.chunks(F.col("text"), least, most, overlap).alias("c")).collect():
+            assert r.c == plain_chunks(texts[r.i], least, most, overlap), (r.i, least, most, overlap)
 
 
 def test_word_edit_distance():
