@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import stored, width
@@ -96,23 +96,35 @@ def search(
 
     Returns ``query_id, rank, vec_id, score``: Euclidean distances in double precision on
     the original vectors, nearest first, ties to the smaller id.  Vectors that are null,
-    zero, or hold null or non-finite components take no part, nor do null ids and vectors
-    of another length than the longest.  Rows repeated with their id are one candidate at
-    its nearest vector, and one query at its first vector.  A query that found fewer than
-    ``k`` looks into every bucket of the first table, so small tables lose nothing.  An
-    empty table gives no rows; other columns are not read.
+    zero, or hold null or non-finite components take no part, nor do null ids.  Between
+    vectors of different lengths there is no distance: each length is searched on its own,
+    one after the other, so lengths should be few.  Rows repeated with their id are one
+    candidate at its nearest vector, and one query, at the first vector in array order (of
+    the longest ones).  A query that found fewer than ``k`` looks into every bucket of the
+    first table, so small tables lose nothing.  An empty table gives no rows; other columns
+    are not read.
     """
     # as doubles, which is exact for floats
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter("id is not null and " + _usable("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = rows.agg(F.max(F.size("v")).alias("size"), F.max(norm).alias("most"), F.min(norm).alias("least")).first()
-    if facts["size"] is None:
+    facts = rows.groupBy(F.size("v").alias("size")).agg(F.max(norm).alias("most"), F.min(norm).alias("least"), F.max(F.col("id") % query_every == 0).alias("asked"))
+    chosen = F.min(F.struct((-F.size("v")).alias("shorter"), "v"))["v"].alias("v")
+    asked = rows.filter(F.col("id") % query_every == 0).groupBy("id").agg(chosen)
+    found = None
+    for fact in sorted(facts.filter("asked").collect()):  # one narrow row per length that has queries
+        own = rows.filter(F.size("v") == fact["size"])
+        part = _search(own, asked.filter(F.size("v") == fact["size"]), fact, k, tables, probes)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    size = int(facts["size"])
-    hasher = Hasher(size, facts["most"], facts["most"] - facts["least"] <= _EVEN * facts["most"], tables)
-    rows = rows.filter(F.size("v") == size)
-    queries = rows.filter(F.col("id") % query_every == 0).dropDuplicates(["id"])
+    return found
+
+
+def _search(rows: DataFrame, queries: DataFrame, fact: Row, k: int, tables: int, probes: int) -> DataFrame:
+    """``search`` of queries ``id, v`` among rows ``id, v`` of one length, of which ``fact`` has the length and the norms."""
+    size = int(fact["size"])
+    hasher = Hasher(size, fact["most"], fact["most"] - fact["least"] <= _EVEN * fact["most"], tables)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((tables, 2 * hasher.size), np.int64)
@@ -189,7 +201,7 @@ def search(
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=found_schema)
 
     def lookup(members: DataFrame, probes_: DataFrame) -> DataFrame:
-        dealt = members.unionByName(probes_).repartition(width(vectors.sparkSession), "t", "bucket", "block")
+        dealt = members.unionByName(probes_).repartition(width(rows.sparkSession), "t", "bucket", "block")
         pairs = dealt.sortWithinPartitions("t", "bucket", "block", "query").mapInArrow(compare, "query_id long, vec_id long, score double")
         return pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
