@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 STEPS = 64
 HIDDEN = 8
 #: the training sample: documents per language, and windows of each document
-DOCUMENTS_PER_LANGUAGE, WINDOWS_PER_DOCUMENT = 400, 12
+DOCUMENTS_PER_LANGUAGE, WINDOWS_PER_DOCUMENT, LANGUAGES = 400, 12, 256
 EPOCH_STEPS, BATCH, RATE, SEED = 300, 128, 0.02, 5
 #: windows labelled together
 WIDE = 4096
@@ -231,16 +231,20 @@ def has_letter(text: Column) -> Column:
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Train on the rows where ``learn`` holds, the label isn't null and the text has bytes.
 
-    The sample is the first ``DOCUMENTS_PER_LANGUAGE`` documents of a language by hash of
-    their id, with ``WINDOWS_PER_DOCUMENT`` windows evenly over each text; only these
-    windows reach the driver.  None if there is nothing to learn from.
+    The sample is the first ``DOCUMENTS_PER_LANGUAGE`` different texts by hash of each of the
+    ``LANGUAGES`` labels with most of them, with ``WINDOWS_PER_DOCUMENT`` windows evenly over
+    each; only these windows reach the driver, however often an id or a text is repeated.  None if there is nothing to learn from.
     """
-    rows = docs.filter(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # bounded by the sample size
-    chosen = F.broadcast(rows.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= DOCUMENTS_PER_LANGUAGE).select("id", "lang").distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sample = texts.join(chosen, ["id", "lang"], "left_semi").filter("octet_length(text) > 0").select("id", "lang", "text")
+    learned = learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)
+    rows = docs.filter(learned).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    digested = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    narrow = digested.groupBy("lang", "digest").agg(F.min("id").alias("id"))
+    most = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "lang").limit(LANGUAGES)
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "digest")
+    ranked = narrow.join(F.broadcast(most.select("lang")), "lang", "left_semi").withColumn("rank", F.row_number().over(by_hash))
+    chosen = F.broadcast(ranked.filter(F.col("rank") <= DOCUMENTS_PER_LANGUAGE).select("lang", "digest"))  # bounded by the sample size
+    sample = digested.join(chosen, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    sample = sample.select("id", "lang", "text")
     out = "lang string, id string, at long, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -231,3 +231,33 @@ def test_scores_of_messy_rows(messy, none):
     assert context_tree.score(none, F.lit(True)).collect() == []
     even = context_tree.score(messy, F.lit(False)).filter("doc_id = 15").first()
     assert even.score == pytest.approx(16 * math.log10(0.5)) and even.n_known == 0 and even.train_tokens == 0
+
+
+def test_every_length_is_searched_on_its_own(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(400)] + [(401, rng.normal(size=17).tolist())]
+    rows += [(1000 + i, rng.normal(size=8).tolist()) for i in range(150)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in cross_polytope.search(table).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {0, 100, 200, 300, 1000, 1100}
+    right = 0
+    for query, near in got.items():
+        own = dict(rows)[query]
+        apart = sorted((float(np.linalg.norm(np.subtract(v, own))), k) for k, v in rows if k != query and len(v) == len(own))
+        assert [n[0] for n in sorted(near)] == list(range(1, 11))
+        right += len({n[1] for n in near} & {k for _, k in apart[:10]})
+    assert right >= 54
+
+
+def test_sample_of_repeated_ids_and_empty_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_gru, "train", lambda windows, sizes, labels, languages: seen.append((len(windows), Counter(labels.tolist()), languages)))
+    monkeypatch.setattr(language_gru, "DOCUMENTS_PER_LANGUAGE", 50)
+    rows = [(1, f"word {k} " * 40, "a") for k in range(3000)]  # one id of many texts
+    rows += [(2, "the same text " * 40, "a")] * 3000
+    rows += [(10_000 + k, None if k % 2 else "", "b") for k in range(5000)] + [(20_000 + k, f"real {k} " * 40, "b") for k in range(30)]
+    language_gru.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    (total, by_label, languages), = seen
+    assert languages == ["a", "b"] and by_label[0] == 50 * 12 and by_label[1] == 30 * 12 and total == 80 * 12
