@@ -101,13 +101,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a column that tells rows with equal ids apart and is returned as well.
     """
     row = F.col(row_col) if row_col else F.lit(0).cast("long")
-    sized = stored(
-        docs.select(
-            F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).alias("source"),
-            F.regexp_count(whole(text_col), F.lit(WORD)).cast("long").alias("size"),
-        ),
-        "sizes",
+    read = docs.select(
+        F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).alias("source"),
+        F.regexp_count(whole(text_col), F.lit(WORD)).cast("long").alias("size"),
     )
+    # rows that agree in all of these are numbered, so that one id of many rows has many blocks
+    counted = read.groupBy("id", "row", "source", "size").agg(F.count(F.lit(1)).alias("times"))
+    sized = stored(counted.select("id", "row", "source", "size", F.explode(F.sequence(F.lit(1), "times")).alias("turn")), "sizes")
     targets = source_targets(sized, most)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     spread = F.col("size") > 0
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "id", "row", "src", "size", "source_size", "target",
         F.when(spread, F.floor(share)).otherwise(0).cast("long").alias("base"),
         F.when(spread, share - F.floor(share)).otherwise(0.0).alias("part"),
-        F.pmod(F.xxhash64("id", "row"), F.ceil(F.col("documents") / BLOCK)).alias("block"),
+        F.pmod(F.xxhash64("id", "row", "size", "turn"), F.ceil(F.col("documents") / BLOCK)).alias("block"),
     )
     done = stored(units.groupBy("src", "block").applyInPandas(_rounder(seed, 0, False), units.schema), "rounded")
     open_ = done.filter("part > 0 and part < 1")

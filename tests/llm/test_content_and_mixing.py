@@ -110,3 +110,26 @@ def test_residuals_meet_in_a_tree(spark, monkeypatch):
     docs = spark.range(1200).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "if(id % 3 = 0, 'a', 'b') as source")
     by = pivotal.mix(docs).join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want")).collect()
     assert all(abs(r.t - r.want) <= 7 for r in by)
+
+
+def test_one_id_of_many_rows_has_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pivotal, "BLOCK", 64)
+    sizes = []
+    keep = pivotal.stored
+
+    def seen(df, name):
+        table = keep(df, name)
+        if name == "rounded" and not sizes:
+            sizes.extend(r["count"] for r in table.groupBy("src", "block").count().collect())
+        return table
+
+    monkeypatch.setattr(pivotal, "stored", seen)
+    rows = [(1, "same words here", "a")] * 2000 + [(1, "w " * k, "a") for k in range(1, 200)] + [(2, "one two", "b")] * 800
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = pivotal.mix(docs).collect()
+    assert len(mixed) == len(rows) and max(sizes) < 64 * 3 and len(sizes) > 30
+    for size in {r.source_size for r in mixed}:
+        of = [r for r in mixed if r.source_size == size]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 199
+    again = pivotal.mix(docs.repartition(7)).collect()
+    assert sorted(map(tuple, mixed)) == sorted(map(tuple, again))
