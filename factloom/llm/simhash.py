@@ -123,14 +123,14 @@ def distance_for(similarity: float, bits: int, deviations: float = 2.0) -> int:
 
 
 def pivots(bits: int, count: int = PIVOTS, seed: int = SEED) -> np.ndarray:
-    """Random reference fingerprints as rows of two 64-bit words."""
+    """Random reference fingerprints as rows of 64-bit words, two at least."""
     found = [random.Random(seed * 1000 + i).getrandbits(bits) for i in range(count)]
-    return np.array([[x & _ALL, x >> BITS] for x in found], np.uint64)
+    return np.array([[x >> at & _ALL for at in range(0, max(bits, 2 * BITS), BITS)] for x in found], np.uint64)
 
 
 def distance_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Hamming distance of every fingerprint to every pivot."""
-    return sum(np.bitwise_count(fps[:, None, k] ^ references[None, :, k]) for k in range(2)).astype(np.int16)
+    return sum(np.bitwise_count(fps[:, None, k] ^ references[None, :, k]) for k in range(fps.shape[1])).astype(np.int16)
 
 
 def _near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
@@ -269,157 +269,189 @@ def links(nodes: DataFrame, distance: int, masks: list[int], bits: int = BITS) -
 
 # ------------------------------------------------------------------ near copies by exact similarity
 
+#: 64-bit words of a sketch's fingerprint
+FP_WORDS = 4
+_FPS = [f"fp{k}" for k in range(FP_WORDS)]
+#: random odd factors and offsets, one per minimum
+_MINIMA = np.random.default_rng(SEED).integers(0, 1 << 63, (2, 4096), np.uint64) * np.uint64(2) + np.uint64(1)
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str = "text") -> DataFrame:
-    """``node, digest, size, fp, fp2``: digest and size of a text's set of shingles, and its 128-bit fingerprint."""
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), whole(text_col).alias("text"))
+
+def minima(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Smallest values of ``count`` permutations of a set of hashes; sets share each with a chance of their similarity."""
+    least = np.full(count, _ALL, np.uint64)
+    for at in range(0, len(hashes), 2048):  # bounds the memory of a long text
+        least = np.minimum(least, ((hashes[at : at + 2048, None] ^ _MINIMA[1, :count]) * _MINIMA[0, :count]).min(0))
+    return least
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key per band: a mix of the band's number and its ``rows`` minima."""
+    parts = minima(hashes, bands * rows).reshape(bands, rows)
+    mixed = _second(parts + _MINIMA[1, :rows]) * _MINIMA[0, :rows]
+    return _second(mixed.sum(1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """SimHash of ``64 * FP_WORDS`` bits as signed words, each of other hash bits of the same shingles."""
+    out = [_signed(fingerprint(hashes))]
+    for _ in range(FP_WORDS - 1):
+        hashes = _second(hashes ^ np.uint64(0xA0761D6478BD642F))
+        out.append(_signed(fingerprint(hashes)))
+    return out
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str = "text") -> DataFrame:
+    """``id, digest, size, keys, fp0..``: digest and size of a text's set of shingles, its band keys and its wide fingerprint."""
+    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    kinds = {"digest": "binary", "size": "int", "keys": "binary", **dict.fromkeys(_FPS, "bigint")}
+    out = texts.select("id", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]).schema
+    arrow = (pa.binary(), pa.int32(), pa.binary(), *[pa.int64()] * FP_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
+            found: list[tuple] = []
             for t in b.column(1):
                 hashes = np.unique(shingle_hashes(t.as_py(), words))
-                out.append((xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), _signed(fingerprint(hashes)), _signed(fingerprint(_second(hashes)))))
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64())
-            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["node", "digest", "size", "fp", "fp2"])
+                found.append((_digest(hashes), len(hashes), band_keys(hashes, bands, rows).tobytes(), *wide_fingerprint(hashes)))
+            columns = [pa.array([r[k] for r in found], kind) for k, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", *kinds])
 
-    return rows.mapInArrow(run, "node long, digest binary, size int, fp long, fp2 long")
+    return texts.mapInArrow(run, out)
 
 
-def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str = "text") -> DataFrame:
-    """``node, hashes``: a text's different shingle hashes in order, as bytes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), whole(text_col).alias("text"))
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``text`` -> ``digest, hashes``: a text's different shingle hashes in order, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["digest", "hashes"]
+            )
 
-    return rows.mapInArrow(run, "node long, hashes binary")
+    return texts.select("text").mapInArrow(run, "digest binary, hashes binary")
 
 
-def forest(edges: np.ndarray) -> np.ndarray:
-    """Which of the edges join what earlier ones leave apart."""
-    nodes, ends = np.unique(edges, return_inverse=True)
-    parent = list(range(len(nodes)))
-    out = np.zeros(len(edges), bool)
-    for k, (a, b) in enumerate(ends.reshape(-1, 2).tolist()):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        while parent[b] != b:
-            parent[b] = parent[parent[b]]
-            b = parent[b]
-        if a != b:
-            parent[b] = a
-            out[k] = True
-    return out
+_BUCKET = ["key", "node", "label", "size", *_FPS]
+_BUCKET_DDL = "key long, node long, label long, size int, " + ", ".join(f"{c} long" for c in _FPS)
+
+
+def _in_buckets(nodes: DataFrame, begin: int, end: int) -> DataFrame:
+    """A row per node and band from ``begin`` to ``end``; rows of a bucket share ``key``."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64).reshape(len(b), -1)
+            for band in range(begin, end):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].copy()), *b.columns[1:]], _BUCKET)
+
+    return nodes.select("keys", *_BUCKET[1:]).mapInArrow(spread, _BUCKET_DDL).repartition("key")
+
+
+class _Discard:
+    """Which pairs of rows may reach the similarity: other labels, sizes that allow it, fingerprints within the distance."""
+
+    def __init__(self, similarity: float, distance: int):
+        self.similarity, self.distance, self.references = similarity, distance, pivots(BITS * FP_WORDS)
 
+    def __call__(self, label: np.ndarray, size: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        able = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= self.similarity * np.maximum(size[i], size[j]))
+        i, j = i[able], j[able]
+        if not len(i):
+            return i, j
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)  # pivot distances only of rows in such pairs
+        near = _near(fps[used], distance_table(fps[used], self.references), at[: len(i)], at[len(i) :], self.distance)
+        return i[near], j[near]
 
-def candidates(nodes: DataFrame, distance: int, similarity: float, masks: list[int], thin: bool) -> DataFrame:
-    """``node, label, size, fp, fp2`` -> pairs ``a, b`` of a bucket with different labels that may reach the similarity, and their first ``mask``.
 
-    A pair is within ``distance`` bits, and its sizes allow the similarity.  With ``thin`` a
-    batch of buckets gives a forest of its pairs, in which every node that has a pair keeps
-    one; without, it gives all pairs.
+def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+
+def leader_pairs(nodes: DataFrame, begin: int, end: int, similarity: float, distance: int) -> DataFrame:
+    """``keys, node, label, size, fp0..`` -> pairs ``a, b`` of each bucket's leader with one node of every other label in it.
+
+    Rows are streamed from sorted partitions and only the leader is held, so a bucket may
+    have any size; it gives fewer pairs than it has labels.
     """
+    discard = _Discard(similarity, distance)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, before = None, None  # the open bucket's first row, and the last row's key and label
         for b in batches:
-            node, label, size, fp, fp2 = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            for t, mask in enumerate(masks):
-                key = (fp & np.int64(_signed(mask & _ALL))).view(np.uint64)
-                key = key * np.uint64(0x9E3779B97F4A7C15) + _second((fp2 & np.int64(_signed(mask >> BITS))).view(np.uint64))
-                columns = [pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), *(pa.array(x) for x in (node, label, size, fp, fp2))]
-                yield pa.RecordBatch.from_arrays(columns, ["mask", "key", "node", "label", "size", "fp", "fp2"])
-
-    references = pivots(2 * BITS)
-
-    def found(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        mask, key, node, label, size, fp, fp2 = (np.concatenate(c) for c in zip(*parts, strict=True))
-        ends = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (mask[1:] != mask[:-1]), True]) + 1
-        stop = np.repeat(ends, np.diff(np.r_[0, ends]))
-        fps = np.stack([fp, fp2], 1).view(np.uint64)
-        table = distance_table(fps, references)
-        kept: list[np.ndarray] = []
-
-        def batch() -> Iterator[pa.RecordBatch]:
-            pairs = np.concatenate(kept) if kept else np.empty((0, 2), np.int64)
-            kept.clear()
-            if len(pairs):
-                i, j = pairs.T
-                columns = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), mask[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "mask"])
-
-        def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-
-        later = stop - np.arange(len(stop)) - 1
-        if thin:  # in a large bucket each step looks only at what isn't reached yet
-            for begin, end in itertools.pairwise([0, *ends.tolist()]):
-                if end - begin <= 64:
-                    continue
-                later[begin:end] = 0
-                rest = np.arange(begin, end)
-                while len(rest):
-                    front, rest = [int(rest[0])], rest[1:]
-                    while front and len(rest):
-                        x = front.pop(0)
-                        near = able(np.full(len(rest), x), rest)
-                        at = np.flatnonzero(near)
-                        near[at] = _near(fps, table, np.full(len(at), x), rest[at], distance)
-                        if near.any():
-                            kept.append(np.stack([np.full(near.sum(), x), rest[near]], 1))
-                            front += rest[near].tolist()
-                            rest = rest[~near]
-        # rows with all later rows of their bucket, a bounded number of pairs at once
-        total = np.cumsum(later)
-        at = 0
-        while at < len(stop):
+            if not len(b):
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if lead is None:
+                lead, before = [c[:1] for c in columns], (columns[0][0], columns[2][0])
+            columns = [np.concatenate(c) for c in zip(lead, columns, strict=True)]
+            key, node, label, size = columns[:4]
+            starts = np.r_[True, key[1:] != key[:-1]]
+            other = np.r_[False, label[1:] != np.r_[before[1], label[1:-1]]]
+            leader = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
+            j = np.flatnonzero(other & ~starts)
+            i, j = discard(label, size, np.stack(columns[4:], 1).view(np.uint64), leader[j], j)
+            if len(i):
+                yield _pairs(node, i, j)
+            lead, before = [c[leader[-1]][None] for c in columns], (key[-1], label[-1])
+
+    # labels of a bucket lie together, in another order in every bucket
+    dealt = _in_buckets(nodes, begin, end).sortWithinPartitions("key", F.xxhash64("key", "label"), "label", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def bucket_pairs(nodes: DataFrame, begin: int, end: int, similarity: float, distance: int) -> DataFrame:
+    """All pairs ``a, b`` with different labels of all buckets that may reach the similarity.
+
+    A task holds the rows of one bucket, and compares a bounded number of pairs at once.
+    """
+    discard = _Discard(similarity, distance)
+
+    def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, node, label, size, *words = (np.concatenate(c) for c in zip(*parts, strict=True))
+        fps = np.stack(words, 1).view(np.uint64)
+        ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
+        # labels are sorted in a bucket: a row meets those after its label's last
+        run = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (label[1:] != label[:-1]), True]) + 1
+        stop, after = np.repeat(ends, np.diff(np.r_[0, ends])), np.repeat(run, np.diff(np.r_[0, run]))
+        later = stop - after
+        total, at = np.cumsum(later), 0
+        while at < len(key):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
             n = later[at:to]
             i = np.repeat(np.arange(at, to), n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            ok = able(i, j)
-            i, j = i[ok], j[ok]
-            ok = _near(fps, table, i, j, distance)
-            pairs = np.stack([i[ok], j[ok]], 1)
-            if thin and len(pairs):
-                kept.append(pairs)
-                joined = np.concatenate(kept)
-                kept[:] = [joined[forest(node[joined])]]
-            elif len(pairs):
-                kept.append(pairs)
-                yield from batch()
+            j = np.repeat(after[at:to], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = discard(label, size, fps, i, j)
+            if len(i):
+                yield _pairs(node, i, j)
             at = to
-        yield from batch()
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            part = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+            part = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if not len(part[0]):
                 continue
-            # rows of the last bucket wait for the next batch
-            last = np.flatnonzero((part[1] != part[1][-1]) | (part[0] != part[0][-1]))
+            last = np.flatnonzero(part[0] != part[0][-1])  # rows of the last bucket wait for the next batch
             cut = int(last[-1]) + 1 if len(last) else 0
-            if held and (held[-1][1][-1] != part[1][0] or held[-1][0][-1] != part[0][0]):
+            if held and held[-1][0][-1] != part[0][0]:
                 yield from found(held)
                 held = []
             if cut:
-                yield from found([*held, tuple(c[:cut] for c in part)])
+                yield from found([*held, [c[:cut] for c in part]])
                 held = []
-            held.append(tuple(c[cut:] for c in part))
+            held.append([c[cut:] for c in part])
         if held:
             yield from found(held)
 
-    keyed = nodes.select("node", "label", "size", "fp", "fp2").mapInArrow(
-        spread, "mask int, key long, node long, label long, size int, fp long, fp2 long"
-    )
-    # another order in every table, so that forests of different tables differ
-    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", F.xxhash64("mask", "node"))
-    return dealt.mapInArrow(pairs, "a long, b long, mask int").groupBy("a", "b").agg(F.min("mask").alias("mask"))
+    dealt = _in_buckets(nodes, begin, end).sortWithinPartitions("key", "label", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -440,40 +472,52 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(
-    docs: DataFrame, words: int, similarity: float, distance: int, masks: list[int], id_col: str, text_col: str = "text", first: int = 4
-) -> DataFrame:
+    docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str = "text",
+    bands: int = 32, rows: int = 8, first: int = 8, deviations: float = 3.0,
+) -> DataFrame:
     """``id_col, component_id`` of every row: the smallest id reachable over pairs of at least this Jaccard similarity.
 
-    Similarity is that of sets of word shingles, and exact: fingerprints only draw the pairs
-    that are compared.  Pairs of one component need no comparison, so forests of the pairs
-    come first (of ``first`` tables, then of the others), and after them all pairs between
-    different components.  Texts with equal sets meet once.  Ids are whole numbers, not null,
-    and a second reading of ``docs`` must give the same.
+    Similarity is that of sets of word shingles, and exact: sketches only draw the pairs that
+    are compared.  Sets that agree on a band of minima meet in a bucket; of a bucket's pairs
+    the sizes and the fingerprints, first their pivot distances, discard what lies beyond
+    ``deviations`` of the distance at that similarity.  Pairs of one component need no
+    comparison, so buckets first pair their leader with one member of every label: in the
+    ``first`` bands, then, with the components of these as labels, in the others.  Then all
+    pairs of a bucket between different components follow.  Texts with equal sets meet once,
+    null and empty ones too; very long ones are hashed in blocks.  An empty table gives no
+    rows, and other columns are not read.  Ids are of any type that has an order, not null;
+    rows repeated with their id keep their rows, and are one if their text is the same.
     """
-    rows = stored(sketches(docs, words, id_col, text_col), "sketches")
-    nodes = stored(
-        rows.groupBy("digest").agg(F.min("node").alias("node"), *[F.first(c).alias(c) for c in ("size", "fp", "fp2")]), "nodes"
-    )
-    drawn = stored(candidates(nodes.withColumn("label", F.col("node")), distance, similarity, masks, thin=True), "drawn")
-    paired = stored(drawn.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
-    sets = stored(shingle_sets(docs.join(paired.select(F.col("node").alias(id_col)), id_col, "left_semi"), words, id_col, text_col), "sets")
-
-    def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """Pairs that the components leave apart."""
-        one, two = (found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
-        of = {c: F.coalesce(f"of_{c}", c) for c in ("a", "b")}
-        return pairs.join(one, "a", "left").join(two, "b", "left").filter(of["a"] != of["b"]).select("a", "b")
-
-    links = stored(similar(drawn.filter(F.col("mask") < first), sets, similarity), "links")
-    found = components(links)
-    later = similar(labelled(drawn.filter(F.col("mask") >= first), found), sets, similarity)
-    links = stored(links.unionByName(later), "links")
-    found = components(links)
-    apart = nodes.join(paired, "node").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    rest = candidates(apart, distance, similarity, masks, thin=False).join(drawn.select("a", "b"), ["a", "b"], "left_anti")
-    found = components(links.unionByName(similar(rest, sets, similarity)))
-    classes = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(classes, "digest").select(F.col("node").alias(id_col), "component_id")
+    distance = distance_for(similarity, BITS * FP_WORDS, deviations)
+    known = stored(sketches(docs, words, bands, rows, id_col, text_col), "sketches")
+    grouped = known.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "keys", *_FPS)])
+    nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are stored with the nodes
+    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar, from the texts of their nodes."""
+        needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("id", "digest", "node")
+        needed = stored(needed, "needed")
+        sets = shingle_sets(texts.join(needed.select("id"), "id", "left_semi"), words)
+        once = sets.groupBy("digest").agg(F.first("hashes").alias("hashes"))  # an id may be repeated
+        sets = stored(once.join(needed, "digest").select("node", "hashes"), "sets")
+        return similar(pairs, sets, similarity)
+
+    links = found = None
+    for begin, end, drawn in ((0, first, leader_pairs), (first, bands, leader_pairs), (0, bands, bucket_pairs)):
+        named = nodes.withColumn("component", F.col("node")) if found is None else nodes.join(found, "node", "left")
+        pairs = stored(drawn(named.withColumn("label", F.coalesce("component", "node")), begin, end, similarity, distance), "drawn")
+        if pairs.isEmpty():
+            continue
+        more = compared(pairs)
+        links = stored(more if links is None else links.unionByName(more), "links")
+        found = components(links)
+    if found is None:
+        return known.join(nodes.select("digest", F.col("id").alias("component_id")), "digest").select(F.col("id").alias(id_col), "component_id")
+    named = nodes.join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    classes = named.join(least, "component").select("digest", "component_id")
+    return known.select("id", "digest").join(classes, "digest").select(F.col("id").alias(id_col), "component_id")
 
 
 # ------------------------------------------------------------------ components

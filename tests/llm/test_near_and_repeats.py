@@ -171,11 +171,48 @@ def test_groups_of_near_copies_are_those_of_all_pairs(spark):
         if before == least:
             break
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    distance = simhash.distance_for(0.8, 128, 6.0)
-    found = simhash.similar_groups(docs, 5, 0.8, distance, [0, *simhash.sampled_masks(14, 8, 128)], "doc_id", first=1)
+    # bands of one value miss no pair
+    found = simhash.similar_groups(docs, 5, 0.8, "doc_id", bands=40, rows=1, first=1, deviations=6.0)
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(least))
 
 
+def pairs_drawn(spark, monkeypatch, texts):
+    """Groups of the texts, and how many pairs were drawn for them."""
+    drawn = []
+    keep = simhash.stored
+
+    def counted(df, name):
+        table = keep(df, name)
+        if name == "drawn":
+            drawn.append(table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, 5, 0.8, "doc_id").collect()}
+    return found, sum(drawn)
+
+
+def edited(rng, base, changes):
+    words = list(base)
+    for at in rng.sample(range(len(base)), changes):
+        words[at] = f"new{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_pairs_of_a_group_grow_with_its_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{x}" for x in rng.sample(range(10**6), 200)]
+    for n in (1000, 2000):
+        near, count = pairs_drawn(spark, monkeypatch, [edited(rng, base, 2) for _ in range(n)])  # similarity about 0.82
+        print("near copies", n, count)
+        assert set(near.values()) == {0} and count < 8 * n
+    for n in (1000, 2000):  # one template: similarity about 0.55, nothing to join
+        alike, count = pairs_drawn(spark, monkeypatch, [edited(rng, base[:60], 3) for _ in range(n)])
+        print("merely similar", n, count)
+        assert count < 8 * n
+
+
 # ------------------------------------------------------------------ repeated strings
 
 
