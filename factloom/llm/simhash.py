@@ -279,8 +279,10 @@ _MINIMA = np.random.default_rng(SEED).integers(0, 1 << 63, (2, 4096), np.uint64)
 def minima(hashes: np.ndarray, count: int) -> np.ndarray:
     """Smallest values of ``count`` permutations of a set of hashes; sets share each with a chance of their similarity."""
     least = np.full(count, _ALL, np.uint64)
-    for at in range(0, len(hashes), 2048):  # bounds the memory of a long text
-        least = np.minimum(least, ((hashes[at : at + 2048, None] ^ _MINIMA[1, :count]) * _MINIMA[0, :count]).min(0))
+    for at in range(0, len(hashes), 64):  # blocks that stay in a core's cache
+        block = hashes[at : at + 64, None] ^ _MINIMA[1, :count]
+        block *= _MINIMA[0, :count]
+        np.minimum(least, block.min(0), out=least)
     return least
 
 
@@ -293,11 +295,14 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     """SimHash of ``64 * FP_WORDS`` bits as signed words, each of other hash bits of the same shingles."""
-    out = [_signed(fingerprint(hashes))]
+    words = [hashes]
     for _ in range(FP_WORDS - 1):
-        hashes = _second(hashes ^ np.uint64(0xA0761D6478BD642F))
-        out.append(_signed(fingerprint(hashes)))
-    return out
+        words.append(_second(words[-1] ^ np.uint64(0xA0761D6478BD642F)))
+    parts = np.stack(words, 1).astype("<u8").view(np.uint8)
+    counts = np.zeros(BITS * FP_WORDS, np.int64)
+    for at in range(0, len(parts), 255):  # counts of a block fit into a byte
+        counts += np.add.reduce(np.unpackbits(parts[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8").tolist()
 
 
 def _digest(hashes: np.ndarray) -> bytes:
