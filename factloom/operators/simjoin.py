@@ -20,15 +20,18 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-BUCKETS = 65536
+BUCKETS = 262144
+#: numbers of 64 bits in the parity sketch of a set
+SKETCH = 8
 
 
 def set_key(tokens: Column) -> Column:
-    """Identifier of a token set, independent of order.
+    """Identifier of a token set, independent of order: 128 bits as a short text.
 
     Never null, so joins on it need no null filter that would compute the tokens twice.
     """
-    return F.coalesce(F.sha2(F.array_join(F.sort_array(tokens), "\u0001"), 256), F.lit(""))
+    digest = F.sha2(F.array_join(F.sort_array(tokens), "\u0001"), 256)
+    return F.coalesce(F.base64(F.substring(F.unhex(digest), 1, 16)), F.lit(""))
 
 
 def distinct_sets(df: DataFrame, tokens: str) -> DataFrame:
@@ -62,7 +65,10 @@ def _needed(size: Column, threshold: float) -> Column:
 
 
 def _prefixes(sets: DataFrame, uses: Column, threshold: float, side: str) -> DataFrame:
-    """(set_id, size, place, token) for the prefix tokens of each set, ranked inside the row."""
+    """(set_id, size, place, token) for the prefix tokens of each set, ranked inside the row.
+
+    ``token`` is a hash: two tokens that share one add a candidate, which is compared in full.
+    """
     ranked = F.sort_array(
         F.transform(F.array_distinct("tokens"), lambda t: F.struct(F.get(F.col("_uses"), _bucket(t).cast("int")).alias("uses"), t.alias("token")))
     )
@@ -71,7 +77,7 @@ def _prefixes(sets: DataFrame, uses: Column, threshold: float, side: str) -> Dat
     kept = F.slice("ranked", F.lit(1), (size - _needed(size, threshold) + 1).cast("int"))
     return (
         df.select("set_id", size.alias("size"), F.posexplode(kept).alias("place", "entry"))
-        .select("set_id", "size", "place", "entry.token")
+        .select("set_id", "size", "place", F.xxhash64("entry.token").alias("token"))
         .select(*[F.col(c).alias(c if c == "token" else f"{side}_{c}") for c in ("set_id", "size", "place", "token")])
     )
 
@@ -92,6 +98,30 @@ def _able(threshold: float) -> Column:
     )
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(set_id, size, s0..): every token of a set turns one of 64 * ``SKETCH`` bits over."""
+    h = F.xxhash64("token")
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    place = F.pmod(F.shiftright(F.col("h"), 6), F.lit(SKETCH))
+    flat = sets.select("set_id", F.explode(F.array_distinct("tokens")).alias("token")).select("set_id", h.alias("h"))
+    return flat.groupBy("set_id").agg(
+        F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.when(place == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{i}") for i in range(SKETCH)]
+    )
+
+
+def _close(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) that may reach ``threshold``; no pair that does is lost.
+
+    Sets that differ in d tokens have sketches that differ in at most d bits, and similar sets
+    differ in a bounded share of their tokens.  Only what is left has its tokens sent around.
+    """
+    x = left.select(F.col("set_id").alias("a"), F.col("size").alias("n"), *[F.col(f"s{i}").alias(f"x{i}") for i in range(SKETCH)])
+    y = right.select(F.col("set_id").alias("b"), F.col("size").alias("m"), *[F.col(f"s{i}").alias(f"y{i}") for i in range(SKETCH)])
+    bits = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(SKETCH)), F.lit(0))
+    most = (F.col("n") + F.col("m")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9)
+    return stored(pairs.join(x, "a").join(y, "b").filter(bits <= most).select("a", "b"), "close")
+
+
 def similar_sets(
     left: DataFrame,
     right: DataFrame | None,
@@ -113,9 +143,9 @@ def similar_sets(
     pairs = a.join(b, "token").filter(able)
     if right is None:
         pairs = pairs.filter(F.col("l_set_id") < F.col("r_set_id"))
-    pairs = pairs.groupBy(
-        F.col("l_set_id").alias("left_set"), F.col("r_set_id").alias("right_set")
-    ).agg(F.count("*").alias("shared_prefix"))
+    pairs = pairs.select(F.col("l_set_id").alias("a"), F.col("r_set_id").alias("b")).distinct()
+    sketches = stored(_sketches(left), "sketches")
+    pairs = _close(pairs, sketches, sketches if right is None else _sketches(right), threshold).withColumnsRenamed({"a": "left_set", "b": "right_set"})
     l = left.select(F.col("set_id").alias("left_set"), F.col("tokens").alias("l_tokens"))
     r = rows.withColumnsRenamed({"set_id": "right_set", "tokens": "r_tokens"})
     both = F.size(F.array_intersect("l_tokens", "r_tokens"))
@@ -125,7 +155,7 @@ def similar_sets(
         .join(r, "right_set")
         .withColumn("similarity", both / union.cast("double"))
         .filter(F.col("similarity") >= threshold)
-        .drop("l_tokens", "r_tokens", "shared_prefix")
+        .drop("l_tokens", "r_tokens")
     )
 
 
@@ -166,6 +196,7 @@ def similar_groups(sets: DataFrame, threshold: float) -> DataFrame:
     sets = stored(sets.select("set_id", "tokens"), "sets")
     uses = token_order(sets).scalar()
     entries = stored(_prefixes(sets, uses, threshold, "l").withColumn("band", F.floor(F.log(F.col("l_size")) * F.lit(-1 / math.log(threshold)))), "prefixes")
+    sketches = stored(_sketches(sets), "sketches")
     others = lambda df: df.select("token", *[F.col(f"l_{c}").alias(f"r_{c}") for c in ("set_id", "size", "place")], *[c for c in ("band", "r_label") if c in df.columns])
     labels = links = None
     for turn in range(LEADER_ROUNDS + 1):
@@ -185,6 +216,7 @@ def similar_groups(sets: DataFrame, threshold: float) -> DataFrame:
         pairs = met.filter((F.col("l_label") != F.col("r_label")) & _able(threshold)).select(
             F.least("l_set_id", "r_set_id").alias("a"), F.greatest("l_set_id", "r_set_id").alias("b")
         ).distinct()
+        pairs = _close(pairs, sketches, sketches, threshold)
         named = lambda c, t: sets.select(F.col("set_id").alias(c), F.col("tokens").alias(t))
         both = F.size(F.array_intersect("x", "y"))
         near = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").filter(both / (F.size("x") + F.size("y") - both).cast("double") >= threshold)
