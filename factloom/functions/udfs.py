@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,9 +171,18 @@ def main_text(html: str, min_chars: int, max_chars: int) -> str | None:
     return html if len(html) >= min_chars else None
 
 
+#: pages of a batch that are Python strings at a time
+PAGES_AT_ONCE = 32
+
+
 def page_text_udf(min_chars: int, max_chars: int):
-    @F.pandas_udf(T.StringType())
-    def extract(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: None if h is None else main_text(h, min_chars, max_chars))
+    @F.arrow_udf(T.StringType())
+    def extract(html: pa.Array) -> pa.Array:
+        # a few pages at a time: neither the pages nor the texts of a batch become Python strings together
+        def texts(few: pa.Array) -> list[str | None]:
+            return [None if (h := page.as_py()) is None else main_text(h, min_chars, max_chars) for page in few]
+
+        parts = [pa.array(texts(html.slice(i, PAGES_AT_ONCE)), type=pa.string()) for i in range(0, len(html), PAGES_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=pa.string())
 
     return extract
