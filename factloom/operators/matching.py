@@ -11,7 +11,7 @@ from ..functions.udfs import jaro_winkler
 from ..session import stored
 from .normalize import claim_metadata, collapse_spaces
 from .simjoin import set_key
-from .wordindex import WordIndex, best_members, best_sets, build_index
+from .wordindex import BROADCAST_SETS, WordIndex, best_members, best_sets, build_index
 
 COMPARED = ["numbers", "entities", "dates", "negation"]
 
@@ -76,7 +76,17 @@ def fact_check_candidates(
     top = best_members(index, close, k)
     if min_overlap is not None:
         top = top.filter(F.col("overlap") >= min_overlap)
-    return wanted.select("match_key", "query").join(top, "query").select("match_key", F.col("id").alias("fc_id"), "score", "overlap", "rank")
+    found = wanted.select("match_key", "query").join(top, "query")
+    return stored(found.select("match_key", F.col("id").alias("fc_id"), "score", "overlap", "rank"), "candidates")
+
+
+def named_checks(fact_checks: DataFrame, found: DataFrame) -> DataFrame:
+    """Fact-checks whose ``fc_id`` is in ``found``: the others stay where they are.
+
+    More ids than a broadcast takes leave the table as it is; the join that follows decides.
+    """
+    ids = stored(found.select("fc_id").distinct(), "named")
+    return fact_checks.join(F.broadcast(ids), "fc_id", "left_semi") if ids.count() <= BROADCAST_SETS else fact_checks
 
 
 def _leading_number(text: Column) -> Column:
@@ -189,7 +199,7 @@ def score_candidates(
     before the Python text comparison, so hopeless pairs never leave the JVM.
     """
     mine = claims.select("match_key", "normalized", F.struct(*[f"metadata.{f}" for f in COMPARED]).alias("mine"))
-    theirs = fact_checks.select("fc_id", "claim_text")
+    theirs = named_checks(fact_checks, candidates).select("fc_id", "claim_text")
     pairs = candidates.join(theirs, "fc_id").join(mine, "match_key")
     pairs = pairs.withColumn("theirs", claim_metadata(F.col("claim_text"), COMPARED))
     pairs = pairs.select(
@@ -241,8 +251,8 @@ def match_fact_checks(
     """Best match per ``match_key`` with publisher and review of the fact-check."""
     claims = distinct_claims(keyed)
     candidates = fact_check_candidates(claims, fact_checks, **search)
-    best = best_matches(score_candidates(claims, fact_checks, candidates, weights, thresholds))
-    detail = fact_checks.select("fc_id", "claim_text", "claimant", "publisher", "review")
+    best = stored(best_matches(score_candidates(claims, fact_checks, candidates, weights, thresholds)), "matches")
+    detail = named_checks(fact_checks, best).select("fc_id", "claim_text", "claimant", "publisher", "review")
     return best.join(detail, "fc_id")
 
 

@@ -9,6 +9,7 @@ from ..functions.text import jaccard, round_half_up, word_set
 from ..operators import matching as mt
 from ..operators import normalize as nm
 from ..operators import ratings as rt
+from ..session import stored
 from . import sqltext as st
 from .catalog import query
 from .tables import RATINGS, SQL_BENCH, SQL_FACT_CHECKS, bench_claims, fact_checks, read
@@ -30,7 +31,7 @@ def _pairs(spark, sf_dir):
     return (
         keyed.select("match_key", "claim_id", "normalized", F.col("metadata").alias("mine"))
         .join(found, "match_key")
-        .join(checks.select("fc_id", "claim_text"), "fc_id")
+        .join(mt.named_checks(checks, found).select("fc_id", "claim_text"), "fc_id")
         .withColumn("theirs", nm.claim_metadata(F.col("claim_text"), mt.COMPARED))
     )
 
@@ -308,7 +309,8 @@ select claim_id, reliable, verdicts, verdicts > 1 as contested, case when verdic
 )
 def fc_conflicts(spark, sf_dir):
     keyed, checks, pairs = scored(spark, sf_dir)
-    rated = rt.rate(checks.select("fc_id", "review"), F.col("review.textual_rating")).select(
+    pairs = stored(pairs, "scored")
+    rated = rt.rate(mt.named_checks(checks, pairs).select("fc_id", "review"), F.col("review.textual_rating")).select(
         "fc_id", F.col("rated_verdict").alias("verdict")
     )
     conflicts = mt.conflicting_fact_checks(pairs, rated)

@@ -78,7 +78,7 @@ def retrieval(spark, sf_dir):
     """Search results as ranking; strongly overlapping or every fifth candidate as truth."""
     keyed, checks, found = _candidates(spark, sf_dir)
     rows = keyed.select("match_key", "claim_id").join(found, "match_key").join(
-        checks.select("fc_id", F.col("publisher.name").alias("host")), "fc_id"
+        mt.named_checks(checks, found).select("fc_id", F.col("publisher.name").alias("host")), "fc_id"
     )
     ranked = rows.select("claim_id", F.col("fc_id").alias("item"), "rank", "host", "overlap")
     truth = ranked.filter("overlap >= 0.8 or item % 5 = 0").select("claim_id", "item", (1 + F.col("item") % 3).alias("grade"))
