@@ -272,6 +272,8 @@ def links(nodes: DataFrame, distance: int, masks: list[int], bits: int = BITS) -
 #: 64-bit words of a sketch's fingerprint
 FP_WORDS = 4
 _FPS = [f"fp{k}" for k in range(FP_WORDS)]
+#: 64-bit words of a parity sketch
+_ODD = [f"odd{k}" for k in range(4)]
 #: random odd factors and offsets, one per minimum
 _MINIMA = np.random.default_rng(SEED).integers(0, 1 << 63, (2, 4096), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -305,23 +307,30 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8").tolist()
 
 
+def parity(hashes: np.ndarray) -> list[int]:
+    """A bit per cell, set if an odd number of a set's hashes lies there: two sets differ in at least as many hashes as bits."""
+    cells = _second(hashes ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(64 * len(_ODD))
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * len(_ODD)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str = "text") -> DataFrame:
-    """``id, digest, size, keys, fp0..``: digest and size of a text's set of shingles, its band keys and its wide fingerprint."""
+    """``id, digest, size, keys, fp0.., odd0..``: digest and size of a text's set of shingles, band keys, wide fingerprint, parities."""
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    kinds = {"digest": "binary", "size": "int", "keys": "binary", **dict.fromkeys(_FPS, "bigint")}
+    kinds = {"digest": "binary", "size": "int", "keys": "binary", **dict.fromkeys([*_FPS, *_ODD], "bigint")}
     out = texts.select("id", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]).schema
-    arrow = (pa.binary(), pa.int32(), pa.binary(), *[pa.int64()] * FP_WORDS)
+    arrow = (pa.binary(), pa.int32(), pa.binary(), *[pa.int64()] * len([*_FPS, *_ODD]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple] = []
             for t in b.column(1):
                 hashes = np.unique(shingle_hashes(t.as_py(), words))
-                found.append((_digest(hashes), len(hashes), band_keys(hashes, bands, rows).tobytes(), *wide_fingerprint(hashes)))
+                found.append((_digest(hashes), len(hashes), band_keys(hashes, bands, rows).tobytes(), *wide_fingerprint(hashes), *parity(hashes)))
             columns = [pa.array([r[k] for r in found], kind) for k, kind in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", *kinds])
 
@@ -345,7 +354,7 @@ _BUCKET = ["key", "node", "label", "size", *_FPS]
 _BUCKET_DDL = "key long, node long, label long, size int, " + ", ".join(f"{c} long" for c in _FPS)
 
 
-def _in_buckets(nodes: DataFrame, begin: int, end: int) -> DataFrame:
+def _in_buckets(nodes: DataFrame, begin: int, end: int, also: list[str] | None = None) -> DataFrame:
     """A row per node and band from ``begin`` to ``end``; rows of a bucket share ``key``."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,9 +363,11 @@ def _in_buckets(nodes: DataFrame, begin: int, end: int) -> DataFrame:
                 continue
             keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64).reshape(len(b), -1)
             for band in range(begin, end):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].copy()), *b.columns[1:]], _BUCKET)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].copy()), *b.columns[1:]], [*_BUCKET, *also])
 
-    return nodes.select("keys", *_BUCKET[1:]).mapInArrow(spread, _BUCKET_DDL).repartition("key")
+    also = also or []
+    ddl = ", ".join([_BUCKET_DDL, *[f"{c} long" for c in also]])
+    return nodes.select("keys", *_BUCKET[1:], *also).mapInArrow(spread, ddl).repartition("key")
 
 
 class _Discard:
@@ -365,9 +376,13 @@ class _Discard:
     def __init__(self, similarity: float, distance: int):
         self.similarity, self.distance, self.references = similarity, distance, pivots(BITS * FP_WORDS)
 
-    def __call__(self, label: np.ndarray, size: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, label: np.ndarray, size: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         able = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= self.similarity * np.maximum(size[i], size[j]))
         i, j = i[able], j[able]
+        if odd is not None and len(i):  # exact: no pair of this similarity differs in so many hashes
+            room = (1 - self.similarity) / (1 + self.similarity) * (size[i].astype(np.int64) + size[j])
+            able = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= room + 1e-3
+            i, j = i[able], j[able]
         if not len(i):
             return i, j
         used, at = np.unique(np.concatenate([i, j]), return_inverse=True)  # pivot distances only of rows in such pairs
@@ -414,13 +429,14 @@ def leader_pairs(nodes: DataFrame, begin: int, end: int, similarity: float, dist
 def bucket_pairs(nodes: DataFrame, begin: int, end: int, similarity: float, distance: int) -> DataFrame:
     """All pairs ``a, b`` with different labels of all buckets that may reach the similarity.
 
-    A task holds the rows of one bucket, and compares a bounded number of pairs at once.
+    A task holds the rows of one bucket, and compares a bounded number of pairs at once;
+    parity sketches discard, beside the fingerprints, only what can't be similar.
     """
     discard = _Discard(similarity, distance)
 
     def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, node, label, size, *words = (np.concatenate(c) for c in zip(*parts, strict=True))
-        fps = np.stack(words, 1).view(np.uint64)
+        fps, odd = np.stack(words[:FP_WORDS], 1).view(np.uint64), np.stack(words[FP_WORDS:], 1).view(np.uint64)
         ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
         # labels are sorted in a bucket: a row meets those after its label's last
         run = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (label[1:] != label[:-1]), True]) + 1
@@ -432,7 +448,7 @@ def bucket_pairs(nodes: DataFrame, begin: int, end: int, similarity: float, dist
             n = later[at:to]
             i = np.repeat(np.arange(at, to), n)
             j = np.repeat(after[at:to], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            i, j = discard(label, size, fps, i, j)
+            i, j = discard(label, size, fps, i, j, odd)
             if len(i):
                 yield _pairs(node, i, j)
             at = to
@@ -455,7 +471,7 @@ def bucket_pairs(nodes: DataFrame, begin: int, end: int, similarity: float, dist
         if held:
             yield from found(held)
 
-    dealt = _in_buckets(nodes, begin, end).sortWithinPartitions("key", "label", "node")
+    dealt = _in_buckets(nodes, begin, end, _ODD).sortWithinPartitions("key", "label", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -495,7 +511,7 @@ def similar_groups(
     """
     distance = distance_for(similarity, BITS * FP_WORDS, deviations)
     known = stored(sketches(docs, words, bands, rows, id_col, text_col), "sketches")
-    grouped = known.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "keys", *_FPS)])
+    grouped = known.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "keys", *_FPS, *_ODD)])
     nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are stored with the nodes
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
 
