@@ -11,8 +11,10 @@ from ..functions.udfs import jaro_winkler
 from ..session import stored
 from .normalize import claim_metadata, collapse_spaces
 from .simjoin import set_key
-from .wordindex import BROADCAST_SETS, WordIndex, best_members, best_sets, build_index
+from .wordindex import WordIndex, best_members, best_sets, build_index
 
+#: ids of fact-checks that are broadcast at most, 8 bytes each
+BROADCAST_SETS = 500_000
 COMPARED = ["numbers", "entities", "dates", "negation"]
 
 
