@@ -337,6 +337,26 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, te
     return texts.mapInArrow(run, out)
 
 
+#: bits of a filter per id, and 32,768-bit pieces of it at most (16 MB, which are broadcast)
+FILTER_BITS, FILTER_PIECES = 16, 4096
+
+
+def among(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows whose id may be among ``ids``: none of those is missed, and few others come along.
+
+    The ids travel as a bitmap of their hashes, of bounded size, so rows stay where they are.
+    """
+    pieces = min(FILTER_PIECES, max(1, -(-ids.count() * FILTER_BITS // 32_768)))
+    bit = F.pmod(F.xxhash64(id_col), F.lit(pieces * 32_768).cast("long"))
+    piece, place = F.floor(bit / 32_768).cast("int"), F.pmod(bit, F.lit(32_768)).cast("long")
+    # dealt before they are grouped, else every task sends all pieces
+    dealt = ids.select(piece.alias("piece"), place.alias("place")).repartition("piece")
+    bits = stored(dealt.groupBy("piece").agg(F.bitmap_construct_agg("place").alias("bits")), "bits")
+    octet = F.conv(F.hex(F.substring("bits", (F.shiftright("place", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    of = rows.withColumn("piece", piece).withColumn("place", place).join(F.broadcast(bits), "piece")
+    return of.filter(octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod("place", F.lit(8)).cast("int"))) != 0).select(*rows.columns)
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``text`` -> ``digest, hashes``: a text's different shingle hashes in order, as bytes."""
 
@@ -519,8 +539,8 @@ def similar_groups(
         """The pairs that are similar, from the texts of their nodes."""
         needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("id", "digest", "node")
         needed = stored(needed, "needed")
-        sets = shingle_sets(texts.join(needed.select("id"), "id", "left_semi"), words)
-        once = sets.groupBy("digest").agg(F.first("hashes").alias("hashes"))  # an id may be repeated
+        sets = shingle_sets(among(texts, needed.select("id")), words)
+        once = sets.groupBy("digest").agg(F.first("hashes").alias("hashes"))  # an id may be repeated, and others come along
         sets = stored(once.join(needed, "digest").select("node", "hashes"), "sets")
         return similar(pairs, sets, similarity)
 
