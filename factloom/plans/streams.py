@@ -34,7 +34,9 @@ def stream_rate_limit(spark, sf_dir):
 
 @query("stream_verdict_cache", f"with recursive {replay_sql(86400)} select request_id, window_start, outcome from replayed")
 def stream_verdict_cache(spark, sf_dir):
-    return jobs.run_available(jobs.stream_verdict_cache(event_stream(spark, sf_dir)))
+    folder = jobs.work_folder(spark, "stream")
+    jobs.replay_arriving(event_stream(spark, sf_dir), folder, f"{folder}/state").awaitTermination()
+    return spark.read.schema(jobs.CACHE_ROWS).parquet(f"{folder}/rows/*")
 
 
 @query(

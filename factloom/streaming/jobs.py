@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import lexicon as lx
+from ..operators.cache import cache_replay
 from ..operators.limits import client_sessions, counted_metrics
 from ..operators.matching import match_fact_checks, search_words
 from ..operators.wordindex import open_index, write_batch
@@ -92,9 +93,12 @@ def _cache_state(ttl_ms: int) -> Callable:
 
 
 def stream_verdict_cache(log: DataFrame, ttl_seconds: int = lx.CACHE_TTL_SECONDS) -> DataFrame:
-    """HIT or MISS per request against a cache whose entries live ``ttl_seconds`` from the miss."""
+    """HIT or MISS per request against a cache whose entries live ``ttl_seconds`` from the miss.
+
+    One task holds the requests of a claim; :func:`replay_arriving` spreads them.
+    """
     return (
-        log.withWatermark("ts", WATERMARK)
+        log.select("claim_hash", "ts", "ts_ms", "request_id").withWatermark("ts", WATERMARK)
         .groupBy("claim_hash")
         .applyInPandasWithState(
             _cache_state(ttl_seconds * 1000),
@@ -168,6 +172,44 @@ def match_arriving(posts: DataFrame, claims_of: Callable[[DataFrame], DataFrame]
     return each_batch(posts, match, path, checkpoint)
 
 
+CACHE_ROWS = "request_id long, window_start long, outcome string"
+
+
+def replay_arriving(log: DataFrame, folder: str, checkpoint: str, ttl_seconds: int = lx.CACHE_TTL_SECONDS, delay: str = WATERMARK) -> StreamingQuery:
+    """The verdict cache as a batch replay of every micro-batch, so a claim with most of the traffic has many tasks.
+
+    ``folder`` gets ``rows``, ``opened`` (the last miss of each claim that can still serve) and
+    ``progress`` (the newest event time so far), a partition of each for every batch.  What the
+    batch before left there goes on, so a restarted stream and a repeated batch come to the
+    same rows.  Rows behind the watermark are refused, as by Spark's own state.
+    """
+
+    def replay(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        part = lambda name, n: f"{folder}/{name}/batch={n}"
+        batch = batch.select("claim_hash", "ts", "ts_ms", "request_id")
+        opened = None
+        newest = F.max("ts")
+        if number:
+            before = spark.read.schema("newest timestamp").parquet(part("progress", number - 1)).first()[0]
+            newest = F.greatest(newest, F.lit(before).cast("timestamp"))
+            batch = batch.filter(F.col("ts") >= F.lit(before).cast("timestamp") - F.expr(f"interval {delay}")) if before else batch
+            opened = spark.read.schema("claim_hash string, opened long").parquet(part("opened", number - 1))
+        rows = cache_replay(stored(batch, "arrived"), ttl_seconds, opened=opened).select("claim_hash", "ts", "request_id", "window_start", "outcome")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(part("rows", number))
+        rows = spark.read.schema(rows.schema).parquet(part("rows", number))
+        rows.agg(newest.alias("newest")).write.mode("overwrite").parquet(part("progress", number))
+        last = rows.filter("outcome = 'MISS'").select("claim_hash", F.col("window_start").alias("opened"))
+        last = last if opened is None else last.unionByName(opened)
+        now = spark.read.schema("newest timestamp").parquet(part("progress", number))
+        kept = last.groupBy("claim_hash").agg(F.max("opened").alias("opened")).join(
+            F.broadcast(now.select(F.unix_millis(F.col("newest") - F.expr(f"interval {delay}")).alias("watermark")))
+        ).filter(F.col("opened") + ttl_seconds * 1000 >= F.col("watermark")).drop("watermark")
+        kept.write.mode("overwrite").parquet(part("opened", number))
+
+    return log.writeStream.foreachBatch(replay).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process everything that is there and return the written table."""
     spark = stream.sparkSession

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from factloom.operators import cache as ca
+from factloom.streaming import jobs
 
 
 def _log(spark, rows):
@@ -51,3 +52,43 @@ def test_jobs_do_not_grow_with_the_windows(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"replay {n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[1] == jobs[0]
+
+
+def _arriving(spark, folder, rows, files):
+    size = len(rows) // files
+    for i in range(files):
+        log = _log(spark, rows[i * size : (i + 1) * size]).withColumn("ts", F.timestamp_millis("ts_ms"))
+        log.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return jobs.stream_files(spark, f"{folder}/in", log.schema, files_per_trigger=1)
+
+
+def _streamed(spark, folder):
+    return {r.request_id: (r.window_start, r.outcome) for r in spark.read.schema(jobs.CACHE_ROWS).parquet(f"{folder}/rows/*").collect()}
+
+
+def test_stream_cache_goes_on_from_batch_to_batch(spark, tmp_path, monkeypatch):
+    """One claim has half of the traffic and several pieces in every batch; its window outlives batches."""
+    monkeypatch.setattr(ca, "PIECE", 60)
+    rows = sorted(_rows(7, 600, 300_000), key=lambda r: (r[2], r[0]))
+    stream = _arriving(spark, tmp_path, rows, 3)
+    jobs.replay_arriving(stream, str(tmp_path), f"{tmp_path}/state", 70).awaitTermination()
+    assert _streamed(spark, tmp_path) == slow_replay(rows, 70_000)
+
+
+def test_stream_cache_after_a_restart_and_with_late_rows(spark, tmp_path):
+    hour = 3_600_000
+    for rows in ([(1, "a", 0), (2, "b", hour)], [(3, "a", hour - 60_000), (4, "b", 0), (5, "b", 2 * hour + 1)]):
+        stream = _arriving(spark, tmp_path, rows, 1)
+        jobs.replay_arriving(stream, str(tmp_path), f"{tmp_path}/state", 3600).awaitTermination()
+    # request 4 is an hour late; 3 is late by a minute only, and its claim's window is open
+    assert _streamed(spark, tmp_path) == {1: (0, "MISS"), 2: (hour, "MISS"), 3: (0, "HIT"), 5: (2 * hour + 1, "MISS")}
+
+
+def test_no_task_of_the_stream_query_holds_a_claim(spark, sf_dir, monkeypatch):
+    """The state of a claim was fed with all its requests by one task."""
+    from factloom.plans import catalog
+
+    called, real = [], jobs.stream_verdict_cache
+    monkeypatch.setattr(jobs, "stream_verdict_cache", lambda *a: called.append(a) or real(*a))
+    catalog.queries()["stream_verdict_cache"](spark, sf_dir).count()
+    assert not called
