@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..functions.text import find_all, round_half_up
 from ..session import shuffle_width, stored
-from .simjoin import distinct_sets, set_key, similar_groups
+from .simjoin import set_key, similar_groups
 
 
 def drop_exact_copies(evidence: DataFrame, order: str = "pos") -> DataFrame:
@@ -276,10 +276,9 @@ def near_copy_groups(rows: DataFrame, row_id: str, words: Column, threshold: flo
     too; a group is what links connect and its smallest id represents it.  ``copies`` are
     the rows with the very same words.  Pairs inside a group are never written out.
     """
-    named = stored(rows.select(F.col(row_id).alias("id"), words.alias("words")).withColumn("set_id", set_key(F.col("words"))), "words")
-    groups = named.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-    labelled = stored(groups.join(similar_groups(distinct_sets(named.filter(F.size("words") > 0), "words"), threshold), "set_id", "left"), "groups")
-    labelled = labelled.withColumn("label", F.coalesce("label", "set_id"))
+    named = rows.select(F.col(row_id).alias("id"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
+    named = stored(named.withColumn("set_id", set_key(F.col("words"))), "words")
+    labelled = stored(similar_groups(named, threshold), "groups")
     heads = labelled.groupBy("label").agg(F.min("first").alias("representative"), F.sum("copies").alias("group_size"))
     found = labelled.join(heads, "label").select("set_id", "representative", "group_size", "copies")
     return named.select(F.col("id").alias(row_id), "set_id").join(found, "set_id").drop("set_id")

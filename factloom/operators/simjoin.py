@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 BUCKETS = 262144
-#: numbers of 64 bits in the parity sketch of a set
-SKETCH = 8
+#: numbers of 64 bits in the parity sketch of a set, and in that of long sets, made for those in pairs only
+SKETCH, LONG_SKETCH = 8, 64
 
 
 def set_key(tokens: Column) -> Column:
@@ -98,26 +98,26 @@ def _able(threshold: float) -> Column:
     )
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """(set_id, size, s0..): every token of a set turns one of 64 * ``SKETCH`` bits over."""
+def _sketches(sets: DataFrame, numbers: int = SKETCH) -> DataFrame:
+    """(set_id, size, s0..): every token of a set turns one of 64 * ``numbers`` bits over."""
     h = F.xxhash64("token")
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    place = F.pmod(F.shiftright(F.col("h"), 6), F.lit(SKETCH))
+    place = F.pmod(F.shiftright(F.col("h"), 6), F.lit(numbers))
     flat = sets.select("set_id", F.explode(F.array_distinct("tokens")).alias("token")).select("set_id", h.alias("h"))
     return flat.groupBy("set_id").agg(
-        F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.when(place == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{i}") for i in range(SKETCH)]
+        F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.when(place == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{i}") for i in range(numbers)]
     )
 
 
-def _close(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def _close(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, numbers: int = SKETCH) -> DataFrame:
     """The (a, b) that may reach ``threshold``; no pair that does is lost.
 
     Sets that differ in d tokens have sketches that differ in at most d bits, and similar sets
     differ in a bounded share of their tokens.  Only what is left has its tokens sent around.
     """
-    x = left.select(F.col("set_id").alias("a"), F.col("size").alias("n"), *[F.col(f"s{i}").alias(f"x{i}") for i in range(SKETCH)])
-    y = right.select(F.col("set_id").alias("b"), F.col("size").alias("m"), *[F.col(f"s{i}").alias(f"y{i}") for i in range(SKETCH)])
-    bits = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(SKETCH)), F.lit(0))
+    x = left.select(F.col("set_id").alias("a"), F.col("size").alias("n"), *[F.col(f"s{i}").alias(f"x{i}") for i in range(numbers)])
+    y = right.select(F.col("set_id").alias("b"), F.col("size").alias("m"), *[F.col(f"s{i}").alias(f"y{i}") for i in range(numbers)])
+    bits = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(numbers)), F.lit(0))
     most = (F.col("n") + F.col("m")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9)
     return stored(pairs.join(x, "a").join(y, "b").filter(bits <= most).select("a", "b"), "close")
 
@@ -181,47 +181,88 @@ def components(links: DataFrame) -> DataFrame:
 
 #: rounds in which buckets are compared with one leader only, before the rest of the pairs
 LEADER_ROUNDS = 1
+#: most sets whose numbers are sent to every task to pick their words; for more, all words are shuffled
+PICKED = 2_000_000
 
 
-def similar_groups(sets: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, label): sets that links of Jaccard >= ``threshold`` connect; label is the smallest id.
+def _short_sets(named: DataFrame, threshold: float) -> DataFrame:
+    """(set_id, copies, first, node, size, prefix): one row per set without its words.
 
-    ``sets``: one row per set, as from :func:`distinct_sets`.  Exact, without the pairs of
-    a group: in a few rounds every bucket (a prefix token and a range of sizes) is compared
-    with one leader, and what is linked becomes one label.  Then all pairs of prefixes
-    whose labels still differ are compared, so a link between two groups is never missed,
-    while a group of near copies costs a few links for each member.  Texts that are alike
-    but less than ``threshold`` stay apart and are compared pair by pair.
+    ``node`` is the ``row`` that stands for the set.  ``prefix`` has the hashes of the prefix
+    tokens in their places; a token that no other row can hold is null, as it finds nothing.
     """
-    sets = stored(sets.select("set_id", "tokens"), "sets")
-    uses = token_order(sets).scalar()
-    entries = stored(_prefixes(sets, uses, threshold, "l").withColumn("band", F.floor(F.log(F.col("l_size")) * F.lit(-1 / math.log(threshold)))), "prefixes")
-    sketches = stored(_sketches(sets), "sketches")
-    others = lambda df: df.select("token", *[F.col(f"l_{c}").alias(f"r_{c}") for c in ("set_id", "size", "place")], *[c for c in ("band", "r_label") if c in df.columns])
+    uses = token_order(named.select(F.col("words").alias("tokens"))).scalar()
+    ranked = F.sort_array(
+        F.transform(F.array_distinct("words"), lambda t: F.struct(F.get(F.col("_uses"), _bucket(t).cast("int")).alias("uses"), t.alias("token")))
+    )
+    size = F.size("ranked")
+    kept = F.slice("ranked", F.lit(1), (size - _needed(size, threshold) + 1).cast("int"))
+    rows = named.select("id", "row", "set_id", "words", uses.alias("_uses")).select("id", "row", "set_id", ranked.alias("ranked")).select(
+        "id", "row", "set_id", size.alias("size"), F.transform(kept, lambda e: F.when(e["uses"] > 1, F.xxhash64(e["token"]))).alias("prefix")
+    )
+    sets = rows.groupBy("set_id").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.min_by(F.struct("row", "size", "prefix"), "row").alias("e")
+    )
+    return sets.select("set_id", "copies", "first", F.col("e.row").alias("node"), "e.size", "e.prefix")
+
+
+def _linked(pairs: DataFrame, named: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) whose words have a Jaccard similarity of ``threshold``; only their words are shuffled.
+
+    Longer sketches come first: a short one has all its bits at random for a set of a thousand words.
+    """
+
+    def of(pairs: DataFrame) -> DataFrame:
+        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "nodes")
+        few = nodes.count() <= PICKED
+        return named.select("row", "words").join(F.broadcast(nodes) if few else nodes, "row", "left_semi")
+
+    sketches = stored(_sketches(of(pairs).select(F.col("row").alias("set_id"), F.col("words").alias("tokens")), LONG_SKETCH), "sketches")
+    pairs = _close(pairs, sketches, sketches, threshold, LONG_SKETCH)
+    words = of(pairs)
+    named_as = lambda c, t: words.select(F.col("row").alias(c), F.col("words").alias(t))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both / (F.size("x") + F.size("y") - both).cast("double") >= threshold
+    return pairs.join(named_as("a", "x"), "a").join(named_as("b", "y"), "b").filter(alike).select("a", "b")
+
+
+def similar_groups(named: DataFrame, threshold: float) -> DataFrame:
+    """(set_id, copies, first, label): sets that links of Jaccard >= ``threshold`` connect have one label.
+
+    ``named``: stored rows (id, row, set_id, words) with different words in ``words`` and a
+    number of their own in ``row``; rows with equal words share a ``set_id``.  Exact, without
+    the pairs of a group: in a few rounds every bucket (a prefix token and a range of sizes)
+    is compared with one leader, and what is linked becomes one label.  Then all pairs of
+    prefixes whose labels still differ are compared, so a link between two groups is never
+    missed, while a group of near copies costs a few links for each member.  Texts that are
+    alike but less than ``threshold`` stay apart and are compared pair by pair.  Words travel
+    for the pairs alone that sketches leave.
+    """
+    sets = stored(_short_sets(named, threshold), "sets")
+    sketches = stored(_sketches(named.select(F.col("row").alias("set_id"), F.col("words").alias("tokens"))), "sketches")
+    band = F.floor(F.log(F.col("l_size")) * F.lit(-1 / math.log(threshold)))
+    fields = ["l_set_id", "l_size", "l_place", "l_label"]
+    others = lambda df: df.withColumnsRenamed({c: c.replace("l_", "r_", 1) for c in fields})
     labels = links = None
     for turn in range(LEADER_ROUNDS + 1):
-        mine = entries
+        mine = sets.withColumn("label", F.col("node"))
         if labels is not None:
-            mine = mine.join(labels.select(F.col("node").alias("l_set_id"), "label"), "l_set_id", "left")
-            mine = mine.withColumn("l_label", F.coalesce("label", "l_set_id")).drop("label")
-        else:
-            mine = mine.withColumn("l_label", F.col("l_set_id"))
+            mine = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mine = mine.select(F.col("node").alias("l_set_id"), F.col("size").alias("l_size"), F.col("label").alias("l_label"), F.posexplode("prefix").alias("l_place", "token"))
+        mine = mine.filter(F.col("token").isNotNull()).select("token", *fields)
         if turn < LEADER_ROUNDS:
-            best = F.min_by(F.struct("l_set_id", "l_size", "l_place", "l_label"), F.struct(F.xxhash64("l_label", F.lit(turn)), "l_set_id"))
-            leaders = mine.groupBy("token", "band").agg(best.alias("x"))
-            leaders = leaders.select("token", "band", *[F.col(f"x.l_{c}").alias(f"r_{c}") for c in ("set_id", "size", "place", "label")])
-            met = mine.join(leaders, ["token", "band"])
+            mine = mine.withColumn("band", band)
+            best = F.min_by(F.struct(*fields), F.struct(F.xxhash64("l_label", F.lit(turn)), "l_set_id"))
+            leaders = mine.groupBy("token", "band").agg(best.alias("x")).select("token", "band", "x.*")
+            met = mine.join(others(leaders), ["token", "band"])
         else:
-            met = mine.join(others(mine.withColumn("r_label", F.col("l_label")).drop("band")), "token").filter(F.col("l_set_id") < F.col("r_set_id"))
+            met = mine.join(others(mine), "token").filter(F.col("l_set_id") < F.col("r_set_id"))
         pairs = met.filter((F.col("l_label") != F.col("r_label")) & _able(threshold)).select(
             F.least("l_set_id", "r_set_id").alias("a"), F.greatest("l_set_id", "r_set_id").alias("b")
         ).distinct()
         pairs = _close(pairs, sketches, sketches, threshold)
-        named = lambda c, t: sets.select(F.col("set_id").alias(c), F.col("tokens").alias(t))
-        both = F.size(F.array_intersect("x", "y"))
-        near = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").filter(both / (F.size("x") + F.size("y") - both).cast("double") >= threshold)
-        found = stored(near.select("a", "b"), "links")
+        found = stored(_linked(pairs, named, threshold), "links")
         links = found if links is None else links.unionByName(found)
         if turn == 0 or not found.isEmpty():
             labels = components(links)
-    return sets.select("set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"))
+    return sets.join(labels, "node", "left").select("set_id", "copies", "first", F.coalesce("label", "node").alias("label"))
